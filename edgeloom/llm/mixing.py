@@ -91,9 +91,9 @@ def plan(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) ->
     some = sums.filter("tokens > 0")
     e = exponent(some, entropy, repeats)
     u = F.pow(F.col("tokens").cast("double"), F.lit(e)) / F.col("tokens")
-    least = some.agg(F.min(u).alias("least")).withColumn("one", F.lit(1))
-    take = F.when(F.col("tokens") > 0, F.floor(u / F.col("least") * F.col("tokens") + 0.5)).otherwise(0).cast("bigint")
-    sums = sums.withColumn("one", F.lit(1)).join(F.broadcast(least), "one", "left").select("source", "tokens", take.alias("take"))
+    least = some.agg(F.min(u)).first()[0] or 1.0
+    take = F.when(F.col("tokens") > 0, F.floor(u / F.lit(least) * F.col("tokens") + 0.5)).otherwise(0).cast("bigint")
+    sums = sums.select("source", "tokens", take.alias("take"))
     passes = F.when(F.col("tokens") > 0, F.expr("take div tokens")).otherwise(1)
     sums = sums.select("source", passes.alias("passes"), F.when(F.col("tokens") > 0, F.col("take") % F.col("tokens")).otherwise(0).alias("rest"))
     rows = blocks.alias("b").join(sums.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.*", "passes", "rest")

@@ -96,12 +96,12 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """
     rows = docs.select("doc_id", text_size().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "lang", "source")
     ranked = rank_along_curve(rows, metadata_dimensions())
-    total = F.broadcast(docs.agg(F.count(F.lit(1)).alias("total")).withColumn("one", F.lit(1)))
-    ranked = ranked.withColumn("one", F.lit(1)).join(total, "one").withColumn("shard", F.expr(f"int(rank * {shards} div total)"))
+    total = max(1, docs.count())
+    ranked = ranked.withColumn("shard", F.expr(f"int(rank * {shards} div {total})"))
     at = F.col("rank")
     return ranked.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
-        (at - F.expr(f"(shard * total + {shards - 1}) div {shards}")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve",
+        (at - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve",
     )
 
 
