@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Characters of text that are cut into pre-tokens at a time, roughly.
 SLICE = 1 << 20
 #: Pre-tokens whose ids are kept by a worker (about 150 bytes each).
-CACHE = 1_000_000
+CACHE = 250_000
 #: Bytes of text that are encoded together.
 TOGETHER = 2 << 20
 
@@ -142,32 +142,32 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str] |
     shared = docs.sparkSession.sparkContext.broadcast((read_ranks(path), pattern))
     keep = list(dict.fromkeys(["doc_id", *(keep or [])]))
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * ids
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches):
         codec = Codec(*shared.value)
         for batch in batches:
-            n, a, b, all_ids = [], [], [], []
-            for packed in _encoded(codec, batch.column(0)):
-                n.append(len(packed) // 4)
-                a.append(hashlib.sha256(packed).hexdigest())
-                b.append(hashlib.sha256(codec.decode(packed)).hexdigest())
+            for at, packed in _encoded(codec, batch.column(0)):
+                columns = [
+                    *batch.slice(at, len(packed)).columns[1:],
+                    pa.array([len(x) // 4 for x in packed], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()),
+                    pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in packed], pa.string()),
+                ]
                 if ids:
-                    all_ids.append(np.frombuffer(packed, dtype="<u4").astype(np.int64))
-            columns = [*batch.columns[1:], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            if ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
+                    ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
 
     return docs.select("text", *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
 def _encoded(codec: Codec, column: pa.Array):
-    held, size = [], 0
-    for text in column:
+    """(first row, packed ids of it and the following rows): a few MB of text at a time."""
+    held, size, first = [], 0, 0
+    for i, text in enumerate(column):
         held.append(text.as_py())
         size += len(held[-1] or "")
-        if size >= TOGETHER:
-            yield from codec.encode(held)
-            held, size = [], 0
-    yield from codec.encode(held)
+        if size >= TOGETHER or i == len(column) - 1:
+            yield first, codec.encode(held)
+            held, size, first = [], 0, i + 1
