@@ -30,6 +30,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = work_dir(df.sparkSession)
     df.write.parquet(path)
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).deleteOnExit(p)  # when the driver ends; results may read the table until then
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
