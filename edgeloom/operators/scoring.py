@@ -47,6 +47,84 @@ def tucker(rows: DataFrame, core: np.ndarray) -> DataFrame:
     return rows.withColumn("score", run(*names))
 
 
+def score_negatives(edges: DataFrame, negatives: DataFrame, nodes: DataFrame, relations: DataFrame, decoder: str = "distmult") -> DataFrame:
+    """``edge_id, src, rel, pos, neg, pos_score, score`` of every edge (edge_id, batch_id, chunk, src, rel, dst) and each negative of its
+    chunk (batch_id, chunk, pos, neg).
+
+    A node table of at most ``MATRIX_BYTES`` is broadcast as a matrix and scored by numpy: then edges move without vectors.
+    A larger one is joined: a chunk's negatives are looked up and gathered once (their number is a parameter), so an edge's
+    own vector is shuffled once and not once for each negative.
+    """
+    first = nodes.select("embedding").first()
+    fits = first is not None and nodes.count() * len(first[0]) * 8 <= MATRIX_BYTES
+    return (_by_matrix if fits else _by_join)(edges, negatives, nodes, relations, decoder)
+
+
+def _by_join(edges, negatives, nodes, relations, decoder) -> DataFrame:
+    rows = lookup(lookup(lookup(edges, nodes, "src", "s"), relations, "rel", "r"), nodes, "dst", "t")
+    rows = rows.select("edge_id", "src", "rel", "batch_id", "chunk", "s", "r", score(decoder, F.col("s"), F.col("r"), F.col("t")).alias("pos_score"))
+    found = lookup(negatives, nodes, "neg", "v").select("batch_id", "chunk", F.struct("pos", "neg", "v").alias("n"))
+    rows = rows.join(found.groupBy("batch_id", "chunk").agg(F.collect_list("n").alias("ns")), ["batch_id", "chunk"])
+    one = lambda n: F.struct(n["pos"].alias("pos"), n["neg"].alias("neg"), score(decoder, F.col("s"), F.col("r"), n["v"]).alias("score"))
+    return rows.select("edge_id", "src", "rel", "pos_score", F.explode(F.transform("ns", one)).alias("n")).select("edge_id", "src", "rel", "n.pos", "n.neg", "pos_score", "n.score")
+
+
+def _by_matrix(edges, negatives, nodes, relations, decoder) -> DataFrame:
+    def matrix(t):
+        pdf = t.select("vec_id", "embedding").toPandas().sort_values("vec_id")
+        return pdf["vec_id"].to_numpy(), np.array(pdf["embedding"].tolist(), dtype=np.float64)
+
+    shared = edges.sparkSession.sparkContext.broadcast((*matrix(nodes), *matrix(relations)))
+    op, compare, sign = DECODERS[decoder]
+
+    def run(batches):
+        ids, m, rel_ids, rels = shared.value
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                src, rel, dst = (part.column(i).to_numpy() for i in (1, 2, 3))
+                negs = part.column(5)
+                flat = negs.flatten().to_numpy()
+                width = np.diff(negs.offsets.to_numpy())
+                q = _NUMPY[op](m[np.searchsorted(ids, src)], rels[np.searchsorted(rel_ids, rel)])
+                own = _NUMPY[compare](q, m[np.searchsorted(ids, dst)]) * sign
+                s = _NUMPY[compare](np.repeat(q, width, axis=0), m[np.searchsorted(ids, flat)]) * sign
+                offsets = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
+                scores = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], part.column(4), negs, pa.array(own), scores], names=["edge_id", "src", "rel", "pos", "neg", "pos_score", "score"])
+
+    together = negatives.groupBy("batch_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "neg"))).alias("n"))
+    together = together.select("batch_id", "chunk", F.col("n.pos").alias("pos"), F.col("n.neg").alias("neg"))
+    rows = edges.join(together, ["batch_id", "chunk"]).select("edge_id", "src", "rel", "dst", "pos", "neg")
+    out = rows.mapInArrow(run, "edge_id bigint, src bigint, rel int, pos array<int>, neg array<bigint>, pos_score double, score array<double>")
+    return out.select("edge_id", "src", "rel", "pos_score", F.explode(F.arrays_zip("pos", "neg", "score")).alias("n")).select("edge_id", "src", "rel", "n.pos", "n.neg", "pos_score", "n.score")
+
+
+def _halves(x: np.ndarray) -> np.ndarray:
+    k = x.shape[1] // 2
+    return x[:, :k] + 1j * x[:, k:]
+
+
+def _complex(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    z = _halves(x) * _halves(r)
+    return np.concatenate([z.real, z.imag], axis=1)
+
+
+def _rows_dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, y)
+
+
+_NUMPY = {
+    "hadamard": np.multiply,
+    "translation": np.add,
+    "noop": lambda x, r: x,
+    "complex_hadamard": _complex,
+    "dot": _rows_dot,
+    "l2": lambda x, y: np.sqrt(np.maximum(_rows_dot(x - y, x - y), 1e-8)),
+    "cosine": lambda x, y: _rows_dot(x, y) / np.maximum(np.sqrt(_rows_dot(x, x) * _rows_dot(y, y)), 1e-300),
+}
+
+
 def top_k(scored: DataFrame, k: int, key: str = "edge_id") -> DataFrame:
     """The k best negatives of each edge (ties: first position)."""
     own = Window.partitionBy(key).orderBy(F.col("score").desc(), "pos")

@@ -304,13 +304,9 @@ def scored_negatives(spark, d) -> DataFrame:
     """edge_id, pos, neg, pos_score, score: globally filtered uniform negatives under DistMult."""
     e, n = chunked(spark, d)
     emb, _ = nodes(spark, d)
-    pairs = negatives.filter_known(negatives.corrupt(e, negatives.uniform(e, NEGATIVES, n)), e)
-    pairs = pairs.select("edge_id", "src", "rel", "dst", "pos", "neg")
-    rows = scoring.lookup(scoring.lookup(e.select("edge_id", "src", "rel", "dst"), emb, "src", "s"), relations(emb), "rel", "r")
-    rows = scoring.lookup(rows, emb, "dst", "t").withColumn("q", V.hadamard(F.col("s"), F.col("r")))
-    rows = rows.select("edge_id", "q", V.dot(F.col("q"), F.col("t")).alias("pos_score"))
-    wide = pairs.select("edge_id", "pos", "neg").join(rows, "edge_id")
-    return scoring.lookup(wide, emb, "neg", "v").select("edge_id", "pos", "neg", "pos_score", V.dot(F.col("q"), F.col("v")).alias("score"))
+    own = e.select("edge_id", "batch_id", "chunk", "src", "rel", "dst")
+    scored = scoring.score_negatives(own, negatives.uniform(e, NEGATIVES, n), emb, relations(emb))
+    return negatives.filter_known(scored, e).select("edge_id", "pos", "neg", "pos_score", "score")
 
 
 _SC = f"""{KG}, {EMB}, {CHUNKED}, {_UNI}, {_GLOBAL},

@@ -88,6 +88,18 @@ def test_scores_by_hand(spark):
     assert df.select(V.cosine(s, F.array_repeat(F.lit(0.0), 4))).first()[0] == 0
 
 
+@pytest.mark.parametrize("decoder", list(scoring.DECODERS))
+def test_matrix_and_join_agree(spark, decoder):
+    rng = np.random.default_rng(3)
+    nodes = spark.createDataFrame([(i * 3, rng.normal(size=4).tolist()) for i in range(9)], "vec_id bigint, embedding array<double>")
+    rels = nodes.filter("vec_id < 6").selectExpr("cast(vec_id as int) AS vec_id", "embedding")
+    e = negatives.chunk_edges(edges_of(spark, [(3 * (i % 9), 3 * (i % 2), 3 * (i * i % 9)) for i in range(20)]), 10, 2).select("edge_id", "batch_id", "chunk", "src", "rel", "dst")
+    neg = negatives.uniform(e, 3, 9).withColumn("neg", F.col("neg") * 3)
+    rows = lambda f: {(r.edge_id, r.pos, r.neg): (r.pos_score, r.score) for r in f(e, neg, nodes, rels, decoder).collect()}
+    a, b = rows(scoring._by_matrix), rows(scoring._by_join)
+    assert a.keys() == b.keys() and len(a) == 60 and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
 def test_losses_by_hand(spark):
     s = spark.createDataFrame([(0, 2.0, 1.0), (0, 2.0, 2.5)], "edge_id bigint, pos_score double, score double")
     got = scoring.losses(s).first()
