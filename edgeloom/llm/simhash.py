@@ -29,7 +29,7 @@ SEED = 42
 #: Bytes of text that are cut into words at a time.
 SLICE = 4 << 20
 #: Rows of a block that one task compares; larger blocks are dealt out as tile pairs.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 TILE = 512
 
 
