@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import materialise
+from edgeloom.llm.common import materialise, salted_left_join
+
+#: Tasks over which the neighbours of a node are spread.
+SALTS = 8
 
 
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``links`` (a, b) of any orderable type -> (node, root): the smallest node reachable; roots have no row of their own.
 
-    The number of links never grows.  A node with very many links is pre-aggregated by ``min`` before the shuffle and its
-    join side is split by adaptive execution.  Only a count and a checksum of each round come to the driver.  Self links and
+    The number of links never grows.  A node with very many links is pre-aggregated by ``min`` before the shuffle and
+    its neighbours are spread over ``SALTS`` tasks in the join.  Only a count and a checksum of each round come to the driver.  Self links and
     links with null are ignored; no links give no rows.
     """
     edges = materialise(_oriented(links.select("a", "b")).distinct())
@@ -38,13 +41,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return salted_left_join(both, least, "a", F.col("b"), SALTS).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the smallest of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = salted_left_join(edges, least, "a", F.col("b"), SALTS).filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).unionByName(moved).distinct()
 
 
