@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from edgeloom.functions.hashing import M, h
+
 
 def lanes(states: DataFrame, devices: int) -> DataFrame:
     """Adds ``lane`` = state mod devices and ``superstep`` = state div devices."""
@@ -135,3 +137,79 @@ def predicted_epoch(rounds: DataFrame) -> DataFrame:
 def summary(samples: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     agg = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.round(F.percentile(value, 0.5), 6).alias("median"), F.round(F.avg(value), 6).alias("avg"), F.max(value).alias("max"), F.round(F.stddev(value), 6).alias("std"))
     return agg.withColumn("spread", F.col("max") - F.col("min"))
+
+
+def lane_moves(schedule: DataFrame) -> DataFrame:
+    """``lane, superstep, part, move``: partitions that a lane admits or evicts when it goes from one state to the next.
+
+    The first state admits all its partitions.
+    """
+    keys = ["lane", "superstep", "part"]
+    now = schedule.select(*keys)
+    before = schedule.select("lane", (F.col("superstep") + 1).alias("superstep"), "part")
+    steps = schedule.select("lane", "superstep").distinct()
+    admitted = now.join(before, keys, "left_anti").withColumn("move", F.lit("admit"))
+    evicted = before.join(steps, ["lane", "superstep"], "left_semi").join(now, keys, "left_anti").withColumn("move", F.lit("evict"))
+    return admitted.unionByName(evicted).select(*keys, "move")
+
+
+def compatible_states(schedule: DataFrame) -> DataFrame:
+    """``a, b``: pairs of states without a common partition.  A schedule has at most a few thousand states."""
+    sets = schedule.groupBy("state").agg(F.collect_set("part").alias("parts"))
+    x, y = sets.select(F.col("state").alias("a"), F.col("parts").alias("p")), sets.select(F.col("state").alias("b"), F.col("parts").alias("q"))
+    return x.join(y, (F.col("a") < F.col("b")) & ~F.arrays_overlap("p", "q")).select("a", "b")
+
+
+def overlap_stats(pairs: DataFrame) -> DataFrame:
+    """By superstep, of the overlaps of its pairs of states: ``pairs, total, worst, mean, conflicts`` (pairs that overlap)."""
+    return pairs.groupBy("superstep").agg(
+        F.count(F.lit(1)).alias("pairs"), F.sum("overlap").alias("total"), F.max("overlap").alias("worst"),
+        F.round(F.avg("overlap"), 6).alias("mean"), F.count_if(F.col("overlap") > 0).alias("conflicts"),
+    )
+
+
+def top_share_coverage(counts: DataFrame, share: float, key: str = "state") -> DataFrame:
+    """Share of a state's accesses that the most accessed ``share`` of its entities take (at least one entity)."""
+    own = Window.partitionBy(key).orderBy(F.col("n").desc(), "entity")
+    sizes = counts.groupBy(key).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("k"))
+    rows = counts.withColumn("r", F.row_number().over(own)).join(sizes, key)
+    return rows.groupBy(key).agg(F.max("k").alias("entities"), F.round(F.sum(F.when(F.col("r") <= F.col("k"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("coverage"))
+
+
+def smallest_hashes(edges: DataFrame, key: str, k: int, seed: int = 21, salts: int = 16) -> DataFrame:
+    """Distinct-count sketch of the nodes of a group: its ``k`` smallest distinct hashes as ``key, hash``.
+
+    The smallest are taken inside ``salts`` slices of a group first, so at most ``salts`` x ``k`` rows of it meet in one task.
+    """
+    rows = edges.select(key, F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("hash", h(seed, "node"))
+    rows = rows.select(key, "hash", F.pmod(F.xxhash64("hash"), F.lit(salts)).alias("slice")).distinct()
+    first = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("hash"))).filter(F.col("r") <= k).drop("r")
+    return first(first(rows, key, "slice").drop("slice"), key)
+
+
+def merge_sketches(sketches: DataFrame, key: str, k: int) -> DataFrame:
+    """The sketch of a union: the k smallest of all hashes; ``sketches`` may hold several of one key."""
+    rows = sketches.select(key, "hash").distinct()
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("hash"))).filter(F.col("r") <= k).drop("r")
+
+
+def estimate_distinct(sketches: DataFrame, key: str, k: int) -> DataFrame:
+    """``key, estimate``: (k - 1) / (k-th smallest hash as a share of the range); exact if there are fewer than k hashes."""
+    agg = sketches.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("hash").alias("kth"))
+    return agg.select(key, F.when(F.col("n") < k, F.col("n").cast("double")).otherwise(F.round((k - 1) * (M * F.lit(1.0)) / F.col("kth"), 4)).alias("estimate"))
+
+
+def sketch_overlap(sketches: DataFrame, key: str) -> DataFrame:
+    """``key, similarity`` of a group and the next one: common hashes over the size of the smaller sketch."""
+    size = sketches.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    after = lambda df: df.withColumn(key, F.col(key) - 1)
+    shared = sketches.join(after(sketches), [key, "hash"]).groupBy(key).agg(F.count(F.lit(1)).alias("shared"))
+    both = size.join(after(size).withColumnRenamed("n", "m"), key).join(shared, key, "left")
+    return both.select(key, F.round(F.coalesce("shared", F.lit(0)) / F.least("n", "m"), 6).alias("similarity"))
+
+
+def percent_change(samples: DataFrame, value: str, side: str, base, other, by: tuple[str, ...] = ()) -> DataFrame:
+    """Means of ``value`` where ``side`` is ``base`` or ``other``, and the change from one to the other in percent."""
+    mean = lambda v: F.avg(F.when(F.col(side) == v, F.col(value)))
+    agg = samples.groupBy(*by).agg(mean(base).alias("base"), mean(other).alias("other"))
+    return agg.select(*by, F.round("base", 6).alias("base"), F.round("other", 6).alias("other"), F.round(100 * (F.col("other") - F.col("base")) / F.col("base"), 4).alias("change"))

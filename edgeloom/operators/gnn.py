@@ -95,3 +95,36 @@ def rgcn(edges: DataFrame, x: DataFrame, dim: int, w_rel: dict[int, np.ndarray],
 
 def concat(*columns: str) -> Column:
     return F.concat(*columns)
+
+
+def vector_max(rows: DataFrame, key: list[str], vector: str, dim: int, name: str = "x") -> DataFrame:
+    """Element-wise maximum by key, pre-aggregated; keys without rows have none (fill with zeros after a left join)."""
+    tops = rows.groupBy(*key).agg(*[F.max(F.col(vector)[i]).alias(f"__{i}") for i in range(dim)])
+    return tops.select(*key, F.array(*[F.col(f"__{i}") for i in range(dim)]).alias(name))
+
+
+def part_of(vector: str, offset: int, dim: int) -> Column:
+    """Embedding layer: ``dim`` elements of a stored vector from ``offset`` (0 based)."""
+    return F.slice(vector, offset + 1, dim)
+
+
+def linear(weights: np.ndarray, *columns: str) -> Column:
+    """Reduction layer: W times the concatenated columns."""
+    return matmul(concat(*columns), weights)
+
+
+def finish(vector: Column, bias: np.ndarray | None = None, activation: str = "none") -> Column:
+    """Bias and activation (none, relu, sigmoid) after a layer."""
+    out = vector if bias is None else V.add(vector, F.array(*[F.lit(float(b)) for b in bias]))
+    return {"none": V.no_op(out, None), "relu": V.relu(out), "sigmoid": V.sigmoid(out)}[activation]
+
+
+def encode(edges: DataFrame, x: DataFrame, layers: list) -> DataFrame:
+    """All nodes through a stack of layers.
+
+    A layer is (f, bias, activation) with f: (edges, x) -> (node_id, x).  A layer's output is the next one's input, so each
+    layer is one aggregation over the edges for all nodes, not a sampled tree for every batch.
+    """
+    for f, bias, activation in layers:
+        x = f(edges, x).select("node_id", finish(F.col("x"), bias, activation).alias("x"))
+    return x

@@ -107,3 +107,17 @@ def filter_known(pairs: DataFrame, known: DataFrame, side: str = "dst", same_bat
 
 def neighbours_drawn(draw: str = "u"):
     return F.col(draw) / M
+
+
+def reversed_edges(edges: DataFrame) -> DataFrame:
+    """Edges seen from their other end: source corruption of an edge is destination corruption of the reversed one."""
+    return edges.withColumns({"src": F.col("dst"), "dst": F.col("src")})
+
+
+def batch_sample(edges: DataFrame, count: int, seed: int = 15) -> DataFrame:
+    """``batch_id, pos, edge_id, node``: ``count`` random endpoints of a batch with the edges they were taken from."""
+    sizes = edges.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
+    plan = sizes.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    plan = plan.withColumn("batch_row", h(seed, "batch_id", "pos") % F.col("rows")).drop("rows")
+    end = F.when(h(seed + 1, "batch_id", "pos") % 2 == 0, F.col("src")).otherwise(F.col("dst"))
+    return plan.join(edges.select("batch_id", "batch_row", "edge_id", "src", "dst"), ["batch_id", "batch_row"]).select("batch_id", "pos", "edge_id", end.alias("node"))

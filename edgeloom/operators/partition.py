@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from edgeloom.functions.hashing import h
-from edgeloom.functions.ranking import by_hash, number_rows
+from edgeloom.functions.ranking import by_hash, by_value, number_rows
 
 
 def partition_size(num_nodes: int, parts: int) -> int:
@@ -91,3 +91,27 @@ def resident_slot(node: Column, slots: Column, size: int, num_nodes: int, parts:
     part = partition_of(node, num_nodes, parts)
     slot = F.element_at(slots, part)
     return F.when(slot.isNull(), F.raise_error(F.lit("partition is not resident"))).otherwise(slot * size + node - part * size)
+
+
+def row_range(edges: DataFrame, first: int, count: int, row_id: str = "edge_id") -> DataFrame:
+    """A contiguous slice; the bounds reach the scan, and files that were written in row order are skipped by their statistics."""
+    return edges.filter(F.col(row_id).between(first, first + count - 1))
+
+
+def ordered_in_bucket(edges: DataFrame, by: str) -> DataFrame:
+    """Adds ``place``: position of an edge in its bucket when the bucket is sorted by ``by`` (ties: edge_id)."""
+    own = Window.partitionBy("src_part", "dst_part").orderBy(by, "edge_id")
+    return edges.withColumn("place", F.row_number().over(own) - 1)
+
+
+def merge_sorted(base: DataFrame, delta: DataFrame, by: str) -> DataFrame:
+    """Base and delta edges as one table with ``place`` along ``by``, then base before delta, then edge_id."""
+    both = base.withColumn("added", F.lit(0)).unionByName(delta.withColumn("added", F.lit(1)))
+    return number_rows(both, by_value(both, by), [by, "added", "edge_id"], "place")
+
+
+def every_nth(edges: DataFrame, stride: int) -> DataFrame:
+    """Every ``stride``-th edge of each bucket, in order of edge_id."""
+    own = Window.partitionBy("src_part", "dst_part").orderBy("edge_id")
+    rows = edges.withColumn("__at", F.row_number().over(own) - 1)
+    return rows.filter(F.col("__at") % stride == 0).drop("__at")

@@ -225,3 +225,45 @@ def accuracy(predictions: DataFrame) -> DataFrame:
     """100 x share of rows whose largest logit (first one of equals) is at the label."""
     best = F.array_position("logits", F.array_max("logits")) - 1
     return predictions.agg(F.round(100 * F.avg((best == F.col("label")).cast("double")), 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def both_sides(edges: DataFrame, negatives: DataFrame, nodes: DataFrame, relations: DataFrame, inverse: DataFrame, decoder: str = "distmult") -> DataFrame:
+    """Scores of dst and src corruption: those of ``score_negatives`` with ``side``.
+
+    The same negatives serve both sides; a source is corrupted by scoring the reversed edge under its inverse relation.
+    """
+    from edgeloom.operators.negatives import reversed_edges
+
+    own = edges.select("edge_id", "batch_id", "chunk", "src", "rel", "dst")
+    dst = score_negatives(own, negatives, nodes, relations, decoder).withColumn("side", F.lit("dst"))
+    src = score_negatives(reversed_edges(own).select(*own.columns), negatives, nodes, inverse, decoder).withColumn("side", F.lit("src"))
+    return dst.unionByName(src)
+
+
+def pooled_metrics(scored: DataFrame) -> DataFrame:
+    """Metrics of the ranks of both sides in one list."""
+    return metrics(rank(scored.withColumn("edge_id", F.struct("edge_id", "side"))))
+
+
+def relation_scores(edges: DataFrame, nodes: DataFrame, relations: DataFrame, decoder: str = "distmult") -> DataFrame:
+    """``edge_id, pos, neg_rel, score`` of edges whose relation was replaced (edge_id, src, dst, pos, neg_rel)."""
+    rows = lookup(lookup(lookup(edges, nodes, "src", "s"), relations, "neg_rel", "r"), nodes, "dst", "t")
+    return rows.select("edge_id", "pos", "neg_rel", score(decoder, F.col("s"), F.col("r"), F.col("t")).alias("score"))
+
+
+def norms(table: DataFrame, vector: str = "embedding", coefficient: float = 1.0, p: int = 2) -> DataFrame:
+    """``n, penalty, mean_norm``: coefficient / 2 x the sum of the vectors' p-norms, and their mean."""
+    x = V.doubles(vector)
+    norm = F.sqrt(V.dot(x, x)) if p == 2 else F.pow(V.total(F.transform(x, lambda v: F.pow(F.abs(v), F.lit(float(p))))), F.lit(1.0 / p))
+    return table.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(norm) * (coefficient / 2), 6).alias("penalty"), F.round(F.avg(norm), 6).alias("mean_norm"))
+
+
+def selection_scores(edges: DataFrame, negatives: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edge_id, pos, neg, score`` = minus the squared distance of src and candidate: orders candidates as L2 does, without a root.
+
+    A chunk's candidates are gathered once (their number is a parameter), so an edge's vector is shuffled once.
+    """
+    found = lookup(negatives, nodes, "neg", "v").groupBy("batch_id", "chunk").agg(F.collect_list(F.struct("pos", "neg", "v")).alias("ns"))
+    rows = lookup(edges.select("edge_id", "batch_id", "chunk", "src"), nodes, "src", "s").join(found, ["batch_id", "chunk"])
+    one = lambda n: F.struct(n["pos"].alias("pos"), n["neg"].alias("neg"), (-V.squared_l2(F.col("s"), n["v"])).alias("score"))
+    return rows.select("edge_id", F.explode(F.transform("ns", one)).alias("n")).select("edge_id", "n.*")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions import vectors as V
 from edgeloom.functions.hashing import M, h, h_sql
 from edgeloom.functions.ranking import by_value, number_rows
-from edgeloom.operators import analyze, gnn, graph, ids, negatives, optim, partition, scoring
+from edgeloom.operators import analyze, checks, gnn, graph, ids, negatives, optim, partition, scoring
 from edgeloom.plans import schedule
 from edgeloom.streaming.events import windowed_counts
 
@@ -647,3 +647,246 @@ def lane_barrier(spark, d):
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_windowed(spark, d):
     return windowed_counts(table(spark, d, "events"))
+
+
+# ---- more of ids and partitions ------------------------------------------------------------------------------------------
+
+
+@query(f"{KG} SELECT edge_id, src, dst FROM kg WHERE edge_id BETWEEN 500 AND 1499")
+def edge_slice(spark, d):
+    return partition.row_range(kg(spark, d)[0], 500, 1000).select("edge_id", "src", "dst")
+
+
+@query(f"""{HETERO}, raw AS (SELECT unnest([src, dst]) AS raw_id FROM het), hub AS (SELECT raw_id FROM raw GROUP BY raw_id ORDER BY count(*) DESC, raw_id LIMIT 50)
+SELECT raw_id, row_number() OVER (ORDER BY raw_id NOT IN (SELECT raw_id FROM hub), md5(raw_id), raw_id) - 1 AS mapped_id FROM (SELECT DISTINCT raw_id FROM raw)""")
+def hub_first_ids(spark, d):
+    e = hetero(spark, d)
+    return ids.sequential_train_ids(e, ids.top_degree(e, 50))
+
+
+_SLOT = {0: 2, 1: 0, 2: 3, 3: 1}
+
+
+@query(f"""{KG}, {BUCKETS}, sl AS (SELECT * FROM (VALUES {", ".join(str(x) for x in _SLOT.items())}) t(part, slot))
+SELECT edge_id, a.slot * {PSIZE} + src - src_part * {PSIZE} AS src_slot, b.slot * {PSIZE} + dst - dst_part * {PSIZE} AS dst_slot FROM bk JOIN sl a ON a.part = src_part JOIN sl b ON b.part = dst_part""")
+def resident_slots(spark, d):
+    e, n = kg(spark, d)
+    rows = partition.with_buckets(e, n, PARTS).filter(F.col("src_part").isin(list(_SLOT)) & F.col("dst_part").isin(list(_SLOT)))
+    slots, size = F.create_map(*[F.lit(x) for pair in _SLOT.items() for x in pair]), partition.partition_size(n, PARTS)
+    return rows.select("edge_id", *[partition.resident_slot(F.col(c), slots, size, n, PARTS).alias(f"{c}_slot") for c in ("src", "dst")])
+
+
+@query(f"""{KG} SELECT unnest(['src_null', 'src_range', 'rel_range', 'qval_negative', 'dst_below_100']) AS rule,
+unnest([count_if(src IS NULL), count_if(src < 0 OR src >= (SELECT n FROM n)), count_if(rel < 0 OR rel >= 7), count_if(qval < 0), count_if(dst >= 100)])::BIGINT AS bad FROM kg""")
+def edge_checks(spark, d):
+    e, n = kg(spark, d, False)
+    rules = {"src_null": checks.not_null("src"), "src_range": checks.in_range("src", 0, n), "rel_range": checks.in_range("rel", 0, 7), "qval_negative": checks.not_negative("qval"), "dst_below_100": checks.in_range("dst", 0, 100)}
+    return checks.violations(e, rules)
+
+
+for _side in ("src", "dst"):
+    QUERIES[f"bucket_order_{_side}"] = lambda spark, d, s=_side: (lambda e, n: partition.ordered_in_bucket(partition.with_buckets(e, n, PARTS), s).select("edge_id", F.col("place").cast("bigint").alias("place")))(*kg(spark, d))
+    SQL[f"bucket_order_{_side}"] = f"WITH {KG}, {BUCKETS} SELECT edge_id, row_number() OVER (PARTITION BY src_part, dst_part ORDER BY {_side}, edge_id) - 1 AS place FROM bk"
+
+
+@query(f"{KG} SELECT edge_id, (edge_id % 10 = 0)::INT AS added, row_number() OVER (ORDER BY src, edge_id % 10 = 0, edge_id) - 1 AS place FROM kg")
+def merge_sorted_delta(spark, d):
+    e, _ = kg(spark, d)
+    return partition.merge_sorted(e.filter("edge_id % 10 <> 0"), e.filter("edge_id % 10 = 0"), "src").select("edge_id", "added", "place")
+
+
+@query(f"{KG}, {BUCKETS}, r AS (SELECT edge_id, row_number() OVER (PARTITION BY src_part, dst_part ORDER BY edge_id) - 1 AS k FROM bk) SELECT edge_id FROM r WHERE k % 8 = 0")
+def stride_sample(spark, d):
+    e, n = kg(spark, d)
+    return partition.every_nth(partition.with_buckets(e, n, PARTS), 8).select("edge_id")
+
+
+@query(f"{KG} SELECT node_id, n, row_number() OVER (ORDER BY node_id) - 1 AS place FROM (SELECT node_id, count(*) AS n FROM (SELECT unnest([src, dst]) AS node_id FROM kg) GROUP BY ALL)")
+def unique_counts_sorted(spark, d):
+    counts = kg(spark, d, False)[0].select(F.explode(F.array("src", "dst")).alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+    return number_rows(counts, by_value(counts, "node_id"), ["node_id"], "place")
+
+
+# ---- more of negatives and scores ------------------------------------------------------------------------------------------
+
+
+@query(f"""{KG}, {CHUNKED}, bs AS (SELECT batch_id, count(*) AS rows FROM ch GROUP BY ALL),
+bp AS (SELECT batch_id, pos.range::INT AS pos, {h_sql(15, "batch_id", "pos.range")} % rows AS batch_row, {h_sql(16, "batch_id", "pos.range")} % 2 AS u FROM bs, range(50) pos)
+SELECT batch_id, pos, edge_id, CASE WHEN u = 0 THEN src ELSE dst END AS node FROM bp JOIN ch USING (batch_id, batch_row)""")
+def batch_endpoint_sample(spark, d):
+    return negatives.batch_sample(chunked(spark, d)[0], 50)
+
+
+def _both(spark, d):
+    e, n = chunked(spark, d)
+    emb, _ = nodes(spark, d)
+    inverse = emb.filter("vec_id BETWEEN 7 AND 13").select((F.col("vec_id") - 7).cast("int").alias("vec_id"), "embedding")
+    return scoring.both_sides(e, negatives.uniform(e, NEGATIVES, n), emb, relations(emb), inverse)
+
+
+@query(f"""{KG}, {EMB}, iv AS (SELECT vec_id - 7 AS rel, e AS rv FROM emb WHERE vec_id BETWEEN 7 AND 13), {CHUNKED}, {_UNI},
+p AS (SELECT edge_id, a.e AS s, rv AS r, b.e AS t, 'dst' AS side FROM kg JOIN emb a ON a.vec_id = src JOIN emb b ON b.vec_id = dst JOIN rl ON rl.rel = kg.rel
+      UNION ALL SELECT edge_id, a.e, rv, b.e, 'src' FROM kg JOIN emb a ON a.vec_id = dst JOIN emb b ON b.vec_id = src JOIN iv ON iv.rel = kg.rel),
+q AS (SELECT edge_id, side, {_HAD} AS q, list_inner_product({_HAD}, t) AS pos_score FROM p),
+sc AS (SELECT edge_id, side, pos_score, list_inner_product(q, emb.e) AS score FROM ch JOIN uni USING (batch_id, chunk) JOIN q USING (edge_id) JOIN emb ON vec_id = neg),
+rk AS (SELECT edge_id, side, count_if(score >= pos_score - 1e-9) + 1 AS rank FROM sc GROUP BY ALL)
+SELECT count(*) AS n, round(avg(1 / rank), 6) AS mrr, round(avg(rank), 6) AS mean_rank, {", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS hits_{k}" for k in scoring.HITS)} FROM rk""")
+def lp_metrics_both_sides(spark, d):
+    return scoring.pooled_metrics(_both(spark, d).withColumn("score", F.col("score") + 1e-9))
+
+
+@query(f"""{KG}, {EMB}, c AS (SELECT edge_id, src, dst, pos.range::INT AS pos, {h_sql(14, "edge_id", "pos.range")} % 7 AS neg_rel FROM kg, range(3) pos),
+p AS (SELECT edge_id, pos, neg_rel, a.e AS s, rv AS r, b.e AS t FROM c JOIN emb a ON a.vec_id = src JOIN emb b ON b.vec_id = dst JOIN rl ON rl.rel = neg_rel)
+SELECT edge_id, pos, neg_rel, round(list_inner_product({_HAD}, t), 6) AS score FROM p""")
+def score_relation_corruption(spark, d):
+    e, emb = kg(spark, d)[0], nodes(spark, d)[0]
+    return scoring.relation_scores(negatives.corrupt_relations(e, 3, 7), emb, relations(emb)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""{KG}, {EMB}, p AS (SELECT edge_id, a.e AS s, rv AS r, b.e AS t, c.e AS u FROM kg JOIN emb a ON a.vec_id = src JOIN emb b ON b.vec_id = dst JOIN emb c ON c.vec_id = qval JOIN rl ON rl.rel = kg.rel)
+SELECT edge_id, round(list_sum(list_transform(range(1, 65), lambda i: s[i] * r[i] * u[i] * t[i])), 6) AS score FROM p""")
+def score_qualified(spark, d):
+    e, emb = kg(spark, d)[0], nodes(spark, d)[0]
+    rows = scoring.lookup(scoring.lookup(scoring.lookup(scoring.lookup(e, emb, "src", "s"), relations(emb), "rel", "r"), emb, "dst", "t"), emb, "qval", "u")
+    return rows.select("edge_id", F.round(scoring.score("distmult", F.col("s"), F.col("r"), F.col("t"), F.col("u")), 6).alias("score"))
+
+
+_CORE4 = np.random.default_rng(4).normal(0, 0.2, (4, 4, 4, 4, 4))
+
+
+@query(f"""{KG}, {EMB}, core AS (SELECT [{", ".join(repr(float(x)) for x in _CORE4.ravel())}] AS c),
+ix AS (SELECT p.range AS p, q.range AS q, r.range AS r, s.range AS s, t.range AS t FROM range(4) p, range(4) q, range(4) r, range(4) s, range(4) t),
+fl AS (SELECT p, q, r, s, t, c[(((p * 4 + q) * 4 + r) * 4 + s) * 4 + t + 1] AS c FROM ix, core),
+x AS (SELECT edge_id, a.e AS a, rv AS b, c.e AS c, f.e AS f FROM kg JOIN emb a ON a.vec_id = src JOIN emb c ON c.vec_id = dst JOIN emb f ON f.vec_id = qval JOIN rl ON rl.rel = kg.rel)
+SELECT edge_id, round(sum(fl.c * x.a[p + 1] * x.b[q + 1] * x.c[s + 1] * x.f[t + 1] * x.c[r + 1]), 6) + 0.0 AS score FROM x, fl GROUP BY ALL""")
+def score_tucker4(spark, d):
+    e, emb = kg(spark, d)[0], nodes(spark, d)[0]
+    head = emb.withColumn("embedding", F.slice("embedding", 1, 4))
+    rows = scoring.lookup(scoring.lookup(scoring.lookup(scoring.lookup(e, head, "src", "src_e"), relations(head), "rel", "rel_e"), head, "dst", "dst_e"), head, "qval", "qual_e")
+    return scoring.tucker(rows, _CORE4).select("edge_id", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query(f"""{KG}, {EMB}, {CHUNKED}, {_UNI}, sc AS (SELECT ch.edge_id, pos, neg, -round(list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) ** 2)), 9) AS score
+FROM ch JOIN uni USING (batch_id, chunk) JOIN emb a ON a.vec_id = src JOIN emb b ON b.vec_id = neg)
+SELECT edge_id, pos, neg FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY score DESC, pos) AS k FROM sc) WHERE k <= 3""")
+def select_l2_nearest(spark, d):
+    e, n = chunked(spark, d)
+    scored = scoring.selection_scores(e, negatives.uniform(e, NEGATIVES, n), nodes(spark, d)[0])
+    return scoring.top_k(scored.withColumn("score", F.round("score", 9)), 3).select("edge_id", "pos", "neg")
+
+
+@query("WITH v AS (SELECT sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS s FROM embeddings) SELECT count(*) AS n, round(sum(s) * 0.005, 6) AS penalty, round(avg(s), 6) AS mean_norm FROM v")
+def regularizer_norm(spark, d):
+    return scoring.norms(nodes(spark, d)[0], coefficient=0.01)
+
+
+# ---- more of layers --------------------------------------------------------------------------------------------------------
+
+
+@query(f"""{KG}, {EMB}, m AS (SELECT dst AS node_id, unnest(e) AS v, unnest(range(64)) AS i FROM kg JOIN emb ON vec_id = src),
+s AS (SELECT node_id, i, max(v) AS a FROM m GROUP BY ALL) SELECT node_id, list(round(a, 5) + 0.0 ORDER BY i) AS x FROM s GROUP BY ALL""")
+def seg_max(spark, d):
+    return _rounded(gnn.vector_max(gnn.messages(kg(spark, d, False)[0], _x(spark, d)), ["node_id"], "x", DIM))
+
+
+@query("SELECT vec_id AS node_id, list_transform(embedding[17:24]::DOUBLE[], lambda v: round(v, 5) + 0.0) AS x FROM embeddings")
+def layer_embedding_slice(spark, d):
+    return _rounded(_x(spark, d).select("node_id", gnn.part_of("x", 16, 8).alias("x")))
+
+
+_LIN = _weights(2, 6)
+
+
+@query(f"""e AS (SELECT vec_id AS node_id, embedding::DOUBLE[] AS e FROM embeddings), w AS (SELECT {[[float(v) for v in r] for r in _LIN]} AS w)
+SELECT node_id, list_transform([1, 2], lambda k: round(greatest(list_inner_product(list_concat(e[33:64], e[1:32]), w[k]::DOUBLE[]) + 0.05::DOUBLE * k, 0), 5) + 0.0) AS x FROM e, w""")
+def layer_linear_bias_relu(spark, d):
+    x = _x(spark, d).select("node_id", gnn.part_of("x", 32, 32).alias("a"), gnn.part_of("x", 0, 32).alias("b"))
+    return _rounded(x.select("node_id", gnn.finish(gnn.linear(_LIN, "a", "b"), np.array([0.05, 0.1]), "relu").alias("x")))
+
+
+@query()
+def encode_two_layers(spark, d):
+    w = np.random.default_rng(8).normal(0, 0.1, (4, 8))
+    layers = [(lambda e, x: gnn.sage(e, x, DIM, _weights(8, 1), _weights(8, 2)), np.ones(8) * 0.01, "relu"), (lambda e, x: gnn.sage(e, x, 8, w, w), None, "sigmoid")]
+    return _rounded(gnn.encode(kg(spark, d, False)[0], _x(spark, d), layers))
+
+
+for _kind, _f in {"uniform": "u * 2 - 1", "normal": "sqrt(-2 * ln(u)) * cos(2 * pi() * u2)"}.items():
+    QUERIES[f"init_{_kind}"] = lambda spark, d, k=_kind: nodes(spark, d)[0].select(F.col("vec_id").alias("node_id"), F.posexplode(optim.initialise(k, 4, "vec_id")).alias("i", "x")).withColumn("x", F.round("x", 6) + 0.0)
+    SQL[f"init_{_kind}"] = f"WITH k AS (SELECT vec_id AS node_id, k.range::INT AS i, ({h_sql(3, 'vec_id', 'k.range')} + 0.5::DOUBLE) / {M} AS u, ({h_sql(4, 'vec_id', 'k.range')} + 0.5::DOUBLE) / {M} AS u2 FROM embeddings, range(4) k) SELECT node_id, i, round({_f}, 6) + 0.0 AS x FROM k"
+
+
+# ---- more of schedules and analyzers -----------------------------------------------------------------------------------------
+
+
+@query(f"""{SWAP}, a AS (SELECT lane, superstep, part FROM sch), b AS (SELECT lane, superstep + 1 AS superstep, part FROM sch)
+SELECT *, 'admit' AS move FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL
+SELECT *, 'evict' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) WHERE (lane, superstep) IN (SELECT (lane, superstep) FROM a)""")
+def lane_admit_evict(spark, d):
+    return analyze.lane_moves(_sched(spark, SWAPS))
+
+
+@query(f"{SCHED}, s AS (SELECT state, list(part) AS p FROM sch GROUP BY ALL) SELECT a.state AS a, b.state AS b FROM s a JOIN s b ON a.state < b.state AND NOT list_has_any(a.p, b.p)")
+def compatible_states(spark, d):
+    return analyze.compatible_states(_sched(spark))
+
+
+@query(f"""{SWAP}, st AS (SELECT DISTINCT superstep, state FROM sch), pr AS (SELECT a.superstep, (SELECT count(*) FROM sch x JOIN sch y ON x.part = y.part WHERE x.state = a.state AND y.state = b.state) AS overlap
+FROM st a JOIN st b ON a.superstep = b.superstep AND a.state < b.state)
+SELECT superstep, count(*) AS pairs, sum(overlap)::BIGINT AS total, max(overlap) AS worst, round(avg(overlap), 6) AS mean, count_if(overlap > 0) AS conflicts FROM pr GROUP BY ALL""")
+def superstep_overlap_stats(spark, d):
+    return analyze.overlap_stats(analyze.pair_overlap(_sched(spark, SWAPS)))
+
+
+@query(f"SELECT a.range::INT AS a, b.range::INT AS b, 1::BIGINT AS states FROM range({PARTS}) a JOIN range({PARTS}) b ON a.range < b.range")
+def schedule_pair_states(spark, d):
+    """Every pair of partitions meets in exactly one state of the disjoint rounds."""
+    s = _sched(spark).select("state", "part")
+    pairs = s.withColumnRenamed("part", "a").join(s.withColumnRenamed("part", "b"), "state").filter("a < b")
+    return pairs.groupBy(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")).agg(F.count(F.lit(1)).alias("states"))
+
+
+@query(f"""{STATED}, ac AS (SELECT state, entity, count(*) AS n FROM (SELECT state, unnest([src, dst]) AS entity FROM se) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY n DESC, entity) AS r, greatest(1, floor(count(*) OVER (PARTITION BY state) * 0.1::DOUBLE))::BIGINT AS k FROM ac)
+SELECT state, max(k) AS entities, round(sum(CASE WHEN r <= k THEN n ELSE 0 END) / sum(n), 6) AS coverage FROM rk GROUP BY ALL""")
+def top_share_coverage(spark, d):
+    return analyze.top_share_coverage(analyze.access_counts(_state_edges(spark, d)), 0.1)
+
+
+SKETCH = 64
+_KMV = f"""{KG}, t AS (SELECT DISTINCT edge_id // {BATCH} AS batch_id, {h_sql(21, "node")} AS hash FROM (SELECT edge_id, unnest([src, dst]) AS node FROM kg)),
+kmv AS (SELECT batch_id, hash FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY hash) AS r FROM t) WHERE r <= {SKETCH})"""
+
+
+def _sketches(spark, d):
+    return analyze.smallest_hashes(partition.batches(kg(spark, d)[0], BATCH), "batch_id", SKETCH)
+
+
+@query(f"{_KMV} SELECT batch_id, CASE WHEN count(*) < {SKETCH} THEN count(*)::DOUBLE ELSE round({SKETCH - 1} * {M}::DOUBLE / max(hash), 4) END AS estimate FROM kmv GROUP BY ALL")
+def sketch_estimate(spark, d):
+    return analyze.estimate_distinct(_sketches(spark, d), "batch_id", SKETCH)
+
+
+@query(f"""{_KMV}, m AS (SELECT DISTINCT batch_id // 4 AS grp, hash FROM kmv), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY hash) AS r FROM m) WHERE r <= {SKETCH})
+SELECT grp, CASE WHEN count(*) < {SKETCH} THEN count(*)::DOUBLE ELSE round({SKETCH - 1} * {M}::DOUBLE / max(hash), 4) END AS estimate FROM k GROUP BY ALL""")
+def sketch_merge(spark, d):
+    merged = analyze.merge_sketches(_sketches(spark, d).select(F.floor(F.col("batch_id") / 4).alias("grp"), "hash"), "grp", SKETCH)
+    return analyze.estimate_distinct(merged, "grp", SKETCH)
+
+
+@query(f"""{_KMV}, s AS (SELECT batch_id, count(*) AS n FROM kmv GROUP BY ALL), o AS (SELECT a.batch_id, count(*) AS shared FROM kmv a JOIN kmv b ON b.batch_id = a.batch_id + 1 AND b.hash = a.hash GROUP BY ALL)
+SELECT a.batch_id, round(coalesce(shared, 0) / least(a.n, b.n), 6) AS similarity FROM s a JOIN s b ON b.batch_id = a.batch_id + 1 LEFT JOIN o ON o.batch_id = a.batch_id""")
+def sketch_similarity(spark, d):
+    return analyze.sketch_overlap(_sketches(spark, d), "batch_id")
+
+
+@query("r AS (SELECT user_id % 50 AS round, user_id % 4 AS lane, count(*) AS ms FROM events GROUP BY ALL), m AS (SELECT round, max(ms) AS ms FROM r GROUP BY ALL) SELECT sum(ms)::BIGINT AS epoch_ms FROM m")
+def predicted_epoch(spark, d):
+    rounds = table(spark, d, "events").groupBy((F.col("user_id") % 50).alias("round"), (F.col("user_id") % 4).alias("lane")).agg(F.count(F.lit(1)).alias("ms"))
+    return analyze.predicted_epoch(rounds)
+
+
+@query("""s AS (SELECT event_type, avg(CASE WHEN user_id % 2 = 0 THEN value END) AS b, avg(CASE WHEN user_id % 2 = 1 THEN value END) AS o FROM events GROUP BY ALL)
+SELECT event_type, round(b, 6) AS base, round(o, 6) AS other, round(100 * (o - b) / b, 4) AS change FROM s""")
+def percent_change(spark, d):
+    return analyze.percent_change(table(spark, d, "events").withColumn("side", F.col("user_id") % 2), "value", "side", 0, 1, ("event_type",))
