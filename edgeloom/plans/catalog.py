@@ -890,3 +890,35 @@ def predicted_epoch(spark, d):
 SELECT event_type, round(b, 6) AS base, round(o, 6) AS other, round(100 * (o - b) / b, 4) AS change FROM s""")
 def percent_change(spark, d):
     return analyze.percent_change(table(spark, d, "events").withColumn("side", F.col("user_id") % 2), "value", "side", 0, 1, ("event_type",))
+
+
+_ALL_PAIRS = f"SELECT a.range::INT AS a, b.range::INT AS b FROM range({PARTS}) a JOIN range({PARTS}) b ON a.range < b.range"
+_ORDERINGS = {
+    "swap": lambda: SWAPS,
+    "two_level": lambda: schedule.two_level_ordering(PARTS, 4, 2),
+    "relabelled": lambda: [s for r in schedule.relabelled(schedule.disjoint_rounds(PARTS), 3) for s in r],
+    "overlap": lambda: schedule.overlap_order(STATES),
+    "grouped": lambda: schedule.group_disjoint(STATES, DEVICES),
+    "coverage": lambda: schedule.coverage_order(STATES, DEVICES),
+}
+
+
+def _pairs_met(spark, states) -> DataFrame:
+    s = schedule.as_table(spark, states)
+    pairs = s.withColumnRenamed("part", "a").join(s.withColumnRenamed("part", "b"), "state").filter("a < b")
+    return pairs.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")).distinct()
+
+
+for _name, _states in _ORDERINGS.items():
+    # whatever the order of states, every pair of partitions must meet in one of them
+    QUERIES[f"schedule_{_name}"] = lambda spark, d, f=_states: _pairs_met(spark, f())
+    SQL[f"schedule_{_name}"] = _ALL_PAIRS
+
+
+@query(_ALL_PAIRS)
+def schedule_balanced(spark, d):
+    e, n = kg(spark, d, False)
+    sizes = [[0] * PARTS for _ in range(PARTS)]
+    for r in partition.bucket_sizes(e, n, PARTS).collect():  # parts x parts rows
+        sizes[r["src_part"]][r["dst_part"]] = r["edges"]
+    return _pairs_met(spark, [s for r in schedule.balanced(schedule.disjoint_rounds(PARTS), sizes) for s in r])
