@@ -78,3 +78,21 @@ def read_epoch_log(spark: SparkSession, path: str, first: int = 5) -> DataFrame:
 
     n = F.row_number().over(Window.partitionBy("file").orderBy("at"))
     return rows.withColumn("n", n).filter(F.col("n") <= first).groupBy("file").agg(F.avg("ms").alias("epoch_ms"), F.count(F.lit(1)).alias("epochs"))
+
+
+def read_eval_log(spark: SparkSession, path: str) -> DataFrame:
+    """``file, mrr, hits`` of the last evaluation in each log file: a line with ``MRR: <x>`` and one with ``Hits@10: <x>``."""
+    rows = spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    number = lambda name: F.expr(rf"try_cast(regexp_extract(value, '{name}: ([0-9.]+)', 1) AS double)")
+    rows = rows.withColumn("mrr", number("MRR")).withColumn("hits", number("Hits@10")).filter("mrr IS NOT NULL OR hits IS NOT NULL")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at")))
+    return rows.groupBy("file").agg(last("mrr").alias("mrr"), last("hits").alias("hits"))
+
+
+def read_node_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """``raw_id, features, label`` from a file of id, label and features; a label that is missing or not a number is -1."""
+    parts = F.split("value", sep.replace("|", r"\|"))
+    rows = spark.read.text(path).withColumn("p", parts)
+    label = F.expr("coalesce(try_cast(try_cast(get(p, 1) AS double) AS int), -1)")
+    features = F.expr("transform(slice(p, 3, greatest(size(p) - 2, 0)), v -> try_cast(v AS float))")
+    return rows.select(F.expr("get(p, 0)").alias("raw_id"), features.alias("features"), label.alias("label"))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.operators.partition import bucket_sizes, with_buckets
+from edgeloom.operators.partition import bucket_sizes, partition_of, with_buckets
 
 
 def write_dataset(path: str, splits: dict[str, DataFrame], num_nodes: int, parts: int, mappings: dict[str, DataFrame] | None = None) -> None:
@@ -61,3 +61,13 @@ def write_checkpoint(path: str, number: int, tables: dict[str, DataFrame], meta:
 
 def read_checkpoint(spark: SparkSession, path: str, names: list[str]) -> tuple[dict[str, DataFrame], dict]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}, json.loads(spark.read.text(f"{path}/meta").first()[0])
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Adds rows to a stored table; files that are there stay as they are."""
+    rows.write.mode("append").parquet(path)
+
+
+def write_encoded(encoded: DataFrame, path: str, num_nodes: int, parts: int) -> None:
+    """Encoded nodes (node_id, x) by partition, so that a partition can be read alone."""
+    write_partitions(encoded.withColumn("partition_id", partition_of("node_id", num_nodes, parts)), path)

@@ -74,3 +74,20 @@ def test_sketch_is_exact_when_small_and_near_when_large(spark):
     assert abs(est(large) / 20001 - 1) < 0.25
     halves = analyze.smallest_hashes(large.filter("src < 10000"), "g", 256).unionByName(analyze.smallest_hashes(large.filter("src >= 10000"), "g", 256))
     assert analyze.estimate_distinct(analyze.merge_sketches(halves, "g", 256), "g", 256).first()["estimate"] == est(large)
+
+
+def test_logs_and_node_tables(spark, tmp_path):
+    from edgeloom.sources import readers, sinks
+
+    (tmp_path / "a.log").write_text("MRR: 0.1\nHits@10: 0.2\nnoise\nMRR: 0.35\nHits@10: 0.5\n")
+    (tmp_path / "n.csv").write_text("a,3,0.5,1.5\nb,nan,1,2\nc,,1,2\nd\n")
+    row = readers.read_eval_log(spark, str(tmp_path / "a.log")).first()
+    assert (row.mrr, row.hits) == (0.35, 0.5)
+    got = {r.raw_id: (r.label, r.features) for r in readers.read_node_table(spark, str(tmp_path / "n.csv")).collect()}
+    assert got == {"a": (3, [0.5, 1.5]), "b": (-1, [1.0, 2.0]), "c": (-1, [1.0, 2.0]), "d": (-1, [])}
+    x = spark.range(7).select(F.col("id").alias("node_id"), F.array(F.lit(1.0)).alias("x"))
+    sinks.write_encoded(x, str(tmp_path / "enc"), 7, 3)
+    assert {r.partition_id: r["count"] for r in spark.read.parquet(str(tmp_path / "enc")).groupBy("partition_id").count().collect()} == {0: 3, 1: 3, 2: 1}
+    sinks.append_rows(x, str(tmp_path / "rows"))
+    sinks.append_rows(x, str(tmp_path / "rows"))
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 14
