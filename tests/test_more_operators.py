@@ -91,3 +91,21 @@ def test_logs_and_node_tables(spark, tmp_path):
     sinks.append_rows(x, str(tmp_path / "rows"))
     sinks.append_rows(x, str(tmp_path / "rows"))
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 14
+
+
+def test_rgcn_rewards_and_theta_sketch(spark):
+    x = np.random.default_rng(3).normal(size=(3, 2))
+    w0, w1, own = np.random.default_rng(4).normal(size=(3, 2, 2))
+    table = spark.createDataFrame([(i, [float(q) for q in r]) for i, r in enumerate(x)], "node_id bigint, x array<double>")
+    e = edges_of(spark, [(0, 0, 1), (0, 1, 2), (1, 1, 2)])
+    got = {r.node_id: r.x for r in gnn.rgcn(e, table, 2, {0: w0, 1: w1}, own).collect()}
+    want = x @ own.T + np.array([(w0 @ x[1] + w1 @ x[2]) / 2, w1 @ x[2], [0, 0]])
+    assert np.allclose([got[i] for i in range(3)], want)
+
+    s = np.array([0.5, -1.0, 2.0])
+    row = scoring.gan_rewards(spark.createDataFrame([(0, float(v)) for v in s], "edge_id bigint, score double")).first()
+    p, reward = np.exp(s) / np.exp(s).sum(), 2 * (1 / (1 + np.exp(-s)) - 0.5)
+    assert np.allclose([row.loss, row.reward], [-(np.log(p) * reward * p).mean(), reward.mean()])
+
+    few = spark.range(100).select(F.lit(0).alias("g"), F.col("id").alias("src"), F.col("id").alias("dst"))
+    assert round(analyze.sketch_distinct(few, "g").first()["estimate"]) == 100
