@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Per-coordinate learning rates and L1 leave a short list of weights, which is broadcast as a dense table of ``DIMS`` floats
-(4 MB).  The fit streams a bounded sample of labelled rows through one task; scoring is a map over all texts.
+(4 MB).  The fit streams a bounded sample of labelled rows through one task, which first compares ``SETTINGS`` on rows of the
+sample that it keeps aside and then learns from all of them; scoring is a map over all texts.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ DIMS = 1 << 20
 #: Labelled rows that the fit reads, in expectation (a hash of the id selects them).
 MAX_ROWS = 16_000
 THRESHOLD = 0.7
+#: (alpha, l1) among which a fit chooses by the log-loss on the rows kept aside; the first of equal ones.
+SETTINGS = ((1.0, 4.0), (4.0, 4.0), (4.0, 8.0))
+#: One text in so many of the sample is kept aside (a hash of the text decides, so copies stay together).
+ASIDE = 5
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -90,29 +95,41 @@ class Ftrl:
         self.n[i] += g * g
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, passes: int = 6) -> np.ndarray:
+def log_loss(w: np.ndarray, rows: list[tuple[np.ndarray, int]]) -> float:
+    s = np.clip([w[i].sum() + w[-1] for i, _ in rows], -35, 35)
+    return float(np.mean(np.logaddexp(0, np.where([y for _, y in rows], -s, s))))
+
+
+def learnt(rows: list[tuple[np.ndarray, int]], alpha: float, l1: float, passes: int) -> np.ndarray:
+    model = Ftrl(alpha=alpha, l1=l1)
+    for _ in range(passes):
+        for i, y in rows:
+            model.learn(i.astype(np.int64), y)
+    return model.weights(np.arange(DIMS + 1))
+
+
+def fit(labelled: DataFrame, passes: int = 6) -> np.ndarray:
     """Weights (``DIMS`` + 1 floats, intercept last) learnt from ``labelled`` (doc_id, text, toxic), labels null are no labels.
 
-    The order of learning is a hash of the id, so the weights do not depend on partitions.  No rows: all zero.
+    All rows go through one task, so ``labelled`` should come from ``labelled_sample``.  The order of learning is a hash of
+    the id, so the weights do not depend on partitions.  No rows: all zero.
     """
-    sample = labelled.filter(F.col("toxic").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "text", F.col("toxic").cast("int").alias("y"))
+    aside = (F.pmod(F.xxhash64("text"), F.lit(ASIDE)) == 0).alias("aside")
+    sample = labelled.filter(F.col("toxic").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "text", F.col("toxic").cast("int").alias("y"), aside)
 
     def run(batches):
-        model, known, seen = Ftrl(), {}, []
+        known, rows, kept = {}, [], []
         for batch in batches:
-            for text, y in zip(batch.column(1), batch.column(2).to_pylist()):
-                i = features(text.as_py(), known)
-                model.learn(i, y)
-                seen.append((i.astype(np.int32), y))
-        for _ in range(passes - 1):
-            for i, y in seen:
-                model.learn(i.astype(np.int64), y)
-        every = np.arange(DIMS + 1)
-        w = model.weights(every)
-        every = every[w != 0]
+            rows += [(features(text.as_py(), known).astype(np.int32), y) for text, y in zip(batch.column(1), batch.column(2).to_pylist())]
+            kept += batch.column(3).to_pylist()
+        test = [r for r, k in zip(rows, kept) if k]
+        rest = [r for r, k in zip(rows, kept) if not k]
+        best = min(SETTINGS, key=lambda s: log_loss(learnt(rest, *s, passes), test)) if test and rest else SETTINGS[0]
+        w = learnt(rows, *best, passes)
+        every = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(every.astype(np.int32)), pa.array(w[every])], names=["i", "w"])
 
-    # one task by design: online learning of at most about max_rows rows
+    # one task by design: online learning of about MAX_ROWS rows
     rows = sample.repartition(1).sortWithinPartitions("h", "y", "text").mapInArrow(run, "i int, w double").toArrow()
     out = np.zeros(DIMS + 1, dtype=np.float32)
     out[rows["i"].to_numpy()] = rows["w"].to_numpy()
@@ -120,11 +137,12 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, passes: int = 6) -> np.nd
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """About ``max_rows`` (at most all) labelled rows with their texts.  The sampled labels are few enough to broadcast."""
+    """About ``max_rows`` (at most all) labelled ids with their texts.  The sampled labels are few enough to broadcast.  An id
+    gives one row for each label it has, however often it occurs; of several texts the least one is taken."""
     labels = labels.filter(F.col("toxic").isNotNull()).select("doc_id", "toxic")
     share = min(1.0, max_rows / max(1, labels.count()))
-    picked = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    picked = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
