@@ -70,10 +70,15 @@ def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """``docs`` without the documents that ``exact_groups`` does not keep.  Rows without ``doc_id`` stay if their group's
-    winner has none either.  The ids of dropped copies are broadcast only if they are few, else shuffled."""
-    decided = materialise(exact_groups(docs, support).filter(~F.col("kept")).select("doc_id"))
-    return docs.join(checked_broadcast(decided), "doc_id", "left_anti")
+    """``docs`` (all columns) without the rows that ``exact_groups`` does not keep.
+
+    A row is known by ``doc_id`` (null is a value) and text, so of rows that share an id but not a text each is judged by its
+    own text.  Rows without ``doc_id`` stay if no equal text has one.  What is dropped is broadcast only if it is little, else
+    shuffled."""
+    gone = exact_groups(docs, support).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    gone = checked_broadcast(materialise(gone))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.sha2(normalised().cast("binary"), 256) == F.col("__sha"))
+    return docs.join(gone, same, "left_anti")
 
 
 ORACLE = r"""

@@ -322,6 +322,35 @@ def test_chat_edges(spark):
     assert [(r.conv_id, r.part) for r in parts] == [(1, 0), (1, 1), (1, 2)] and parts[2].rendered.endswith("\n2999<|im_end|>\n")
 
 
+def test_rows_are_dropped_by_id_and_text(spark):
+    rows = [(1, "a b"), (2, "ab"), (2, "only here"), (None, "a b"), (None, "alone"), (None, "alone"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, text_sha256 string")
+    got = Counter((r.doc_id, r.text) for r in exact_dedup.drop_copies(docs).collect())
+    assert got == Counter([(1, "a b"), (2, "only here"), (None, "alone"), (None, "alone"), (3, None)])
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, odd.limit(0), FOLDER)
+        some = stage(spark, odd, FOLDER)
+        assert none.count() == 0, name
+        if name != "encode":
+            assert some.columns == odd.columns, name
+        ids = Counter(r.doc_id for r in some.collect())
+        if name == "language_id":  # only those without a letter go
+            assert ids == Counter([1, 2, 6, 7, 9, 9, None, 10, 11])
+        elif name == "exact_duplicates":  # case matters, so 1 and 2 differ; 3, 4 and 5 are all empty, 5 is the longest
+            assert ids == Counter([1, 2, 5, 6, 7, 8, 10, 11])
+        elif name == "near_duplicates":  # 2 and both rows of 9 have the words of 1, 4 and 5 have none like 3; rows without id stay
+            assert ids == Counter([1, 3, 6, 7, 8, None, 10, 11])
+        elif name == "mix_sources":
+            assert set(ids) == {i for i, *_ in ROWS}
+        else:
+            assert ids == Counter(i for i, *_ in ROWS)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
