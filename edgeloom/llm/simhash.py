@@ -257,7 +257,9 @@ def radius_for(similarity: float, bits: int) -> int:
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document, that with the smallest id, of each group of near copies; rows without id stay."""
+    """``docs`` with one document, that with the smallest id, of each group of near copies; rows without id stay.
+
+    An id counts as one document: if one of its rows is a near copy of a smaller id, all its rows go."""
     from edgeloom.llm.common import checked_broadcast
 
     groups = near_groups(docs, radius=radius_for(similarity, WIDE["bits"]), **WIDE)
