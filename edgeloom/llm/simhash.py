@@ -12,6 +12,7 @@ Each block reports a spanning forest of its links, never all pairs; components.p
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -19,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import materialise, salted_left_join
+from edgeloom.llm.common import BROADCAST_ROWS, checked_broadcast, materialise, salted_left_join
 from edgeloom.llm.components import components
 
 SEED = 42
@@ -232,22 +233,30 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 2
     """
     prints = materialise(fingerprints(docs, words, bits, anchors))
     tree = materialise(components(links(prints, bits, radius, anchors, block_rows)))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    root = F.coalesce("root", "fp")
-    nodes = nodes.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", root)
-    several = materialise(nodes.filter((F.col("n") > 1) | (F.col("root") != F.col("fp"))).select("fp", "root", "least"))
+    joined = with_components(prints.select("doc_id", "fp"), tree, "fp")
+    return joined.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def with_components(prints: DataFrame, tree: DataFrame, key: str) -> DataFrame:
+    """``prints`` with ``component_id``: the smallest ``doc_id`` of the rows whose ``key`` has the same root in ``tree`` (node, root)."""
+    nodes = prints.groupBy(key).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    root = F.coalesce("root", key)
+    nodes = nodes.join(tree.withColumnRenamed("node", key), key, "left").withColumn("root", root)
+    several = materialise(nodes.filter((F.col("n") > 1) | (F.col("root") != F.col(key))).select(key, "root", "least"))
     # singles that are the root of others appear here only through their members
-    tops = several.select("root").distinct().join(nodes.select(F.col("fp").alias("root"), F.col("least").alias("own")), "root")
+    tops = several.select("root").distinct().join(nodes.select(F.col(key).alias("root"), F.col("least").alias("own")), "root")
     ids = several.groupBy("root").agg(F.min("least").alias("of_members")).join(tops, "root")
     ids = ids.select("root", F.least("of_members", "own").alias("component_id"))
-    named = several.select("fp", "root").unionByName(tops.select(F.col("root").alias("fp"), "root")).distinct()
-    named = named.join(ids, "root").select("fp", "component_id")
-    joined = salted_left_join(prints.select("doc_id", "fp"), named, "fp", F.col("doc_id"))
-    return joined.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = several.select(key, "root").unionByName(tops.select(F.col("root").alias(key), "root")).distinct()
+    named = named.join(ids, "root").select(key, "component_id")
+    joined = salted_left_join(prints, named, key, F.col("doc_id"))
+    return joined.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
-#: The near-dedup setting for a similarity of shingle sets: 512 bits tell 0.8 from 0.5 by about seven deviations.
+#: The near-dedup setting for a similarity of shingle sets: blocks by 8 anchors, 512 bits to thin out a block's pairs.
 WIDE = {"words": 5, "bits": 512, "anchors": 8}
+#: Shingles of one part of a block whose sets a task holds.
+BLOCK_SHINGLES = 1 << 20
 
 
 def radius_for(similarity: float, bits: int) -> int:
@@ -256,12 +265,200 @@ def radius_for(similarity: float, bits: int) -> int:
     return math.floor(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *shingle_hashes(text, words)]))
+
+
+def text_key(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def profiles(docs: DataFrame, words: int, bits: int, anchors: int) -> DataFrame:
+    """``doc_id, text_key, node`` (a digest of the shingle set), ``fp, size`` (of the set) and ``anchors`` (none if it is empty)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            made, sets = [], []
+            for t in batch.column(2):
+                text = t.as_py() or b""
+                own = shingle_set(text, words)
+                made.append(fingerprint(text, words, bits, anchors))
+                sets.append((hashlib.md5(own.tobytes()).digest(), len(own)))
+            body = [pa.array([d for d, _ in sets], pa.binary()), pa.array([f for f, _ in made], pa.binary()), pa.array([n for _, n in sets], pa.int32()), pa.array([a for _, a in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *body], names=["doc_id", "text_key", "node", "fp", "size", "anchors"])
+
+    rows = docs.select("doc_id", text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, node binary, fp binary, size int, anchors array<bigint>")
+
+
+def _copy_cells(nodes: DataFrame, similarity: float, block_rows: int) -> DataFrame:
+    """``tbl, key, cell, node``: two nodes that share an anchor and may be similar by their sizes meet in a cell of it.
+
+    A block that does not fit a task is cut by size first: similar sets lie in one zone or in neighbouring ones, so every pair of
+    neighbours is a cell; one that does not fit either is dealt out as pairs of its parts."""
+    rows = nodes.select("node", "size", F.posexplode("anchors").alias("tbl", "key"))
+
+    def fitted(rows, by):
+        sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")).filter("n > 1")
+        parts = F.ceil(F.greatest(F.col("n") / block_rows, F.col("held") / BLOCK_SHINGLES)).cast("int")
+        return rows.join(sizes.select(*by, parts.alias("parts")), by)
+
+    rows = fitted(rows, ["tbl", "key"])
+    out = ["tbl", "key", "cell", "node"]
+    light = rows.filter("parts = 1").withColumn("cell", F.lit(""))
+    zone = F.floor(F.log(F.col("size").cast("double")) / max(0.05, 1.001 * math.log(1 / similarity))).cast("int")
+    zones = rows.filter("parts > 1").drop("parts").withColumn("pair", F.explode(F.array(zone, zone - 1)))
+    zones = fitted(zones, ["tbl", "key", "pair"])
+    own, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("other")
+    dealt = zones.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.concat_ws(":", F.col("pair").cast("string"), F.least("own", other).cast("string"), F.greatest("own", other).cast("string"))
+    return light.select(*out).unionByName(dealt.withColumn("cell", cell).select(*out))
+
+
+def _cells(batches, columns: tuple[str, ...]):
+    """(tbl, key, cell) and the rows (tuples of ``columns``) of each cell of sorted batches; a repeated first column counts once."""
+    held, name = [], None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        names = zip(table["tbl"].to_pylist(), table["key"].to_pylist(), table["cell"].to_pylist())
+        for this, row in zip(names, zip(*(table[c].to_pylist() for c in columns))):
+            if this != name:
+                if len(held) > 1:
+                    yield name, held
+                held, name = [], this
+            if not held or held[-1][0] != row[0]:
+                held.append(row)
+    if len(held) > 1:
+        yield name, held
+
+
+def near_tiles(fp: np.ndarray, size: np.ndarray, anchors: np.ndarray, tbl: int, similarity: float, radius: int, tile: int = TILE):
+    """(left, right, near) for the tiles of rows sorted by size: pairs that may be similar and first meet under anchor ``tbl``."""
+    n = len(size)
+    for a in range(0, n, tile):
+        left = slice(a, min(n, a + tile))
+        for b in range(a, n, tile):
+            right = slice(b, min(n, b + tile))
+            if similarity * size[b] > size[left.stop - 1] + 1e-6:
+                break  # sorted: the sets of later tiles are larger still
+            near = size[left, None] + 1e-6 >= similarity * size[None, right]
+            distance = np.zeros(near.shape, dtype=np.uint16)
+            for w in range(fp.shape[1]):
+                distance += np.bitwise_count(fp[left, None, w] ^ fp[None, right, w])
+            near &= distance <= radius
+            if a == b:
+                near = np.triu(near, 1)
+            for k in range(tbl if near.any() else 0):
+                near &= anchors[left, None, k] != anchors[None, right, k]
+            if near.any():
+                yield left, right, near
+
+
+def _sorted_cell(rows: list[tuple]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (node, fp, size, anchors, ...) by size, and their fingerprints, sizes and anchors as arrays."""
+    rows = sorted(rows, key=lambda r: r[2])
+    wide = np.frombuffer(b"".join(r[1] for r in rows), dtype=">u8").reshape(len(rows), -1).astype(np.uint64)
+    return rows, wide, np.array([r[2] for r in rows], dtype=np.int64), np.array([r[3] for r in rows], dtype=np.int64)
+
+
+def _candidates(similarity: float, radius: int):
+    """Keeps the rows of a cell that may have a similar one in it."""
+
+    def found(tbl: int, rows: list[tuple]) -> list[bytes]:
+        if len(rows) == 2:  # most cells
+            (x, p, m, a), (y, q, n, b) = rows
+            near = min(m, n) + 1e-6 >= similarity * max(m, n) and all(a[k] != b[k] for k in range(tbl))
+            return [x, y] if near and (int.from_bytes(p, "big") ^ int.from_bytes(q, "big")).bit_count() <= radius else []
+        rows, *arrays = _sorted_cell(rows)
+        some = np.zeros(len(rows), dtype=bool)
+        for left, right, near in near_tiles(*arrays, tbl, similarity, radius):
+            some[left] |= near.any(axis=1)
+            some[right] |= near.any(axis=0)
+        return [rows[i][0] for i in np.flatnonzero(some)]
+
+    def run(batches):
+        out = []
+        names = ["tbl", "key", "cell", "node"]
+        for name, rows in _cells(batches, ("node", "fp", "size", "anchors")):
+            out += [(*name, node) for node in found(name[0], rows)]
+            if len(out) > 5000:
+                yield _batch(out, names, [pa.int32(), pa.int64(), pa.string(), pa.binary()])
+                out = []
+        if out:
+            yield _batch(out, names, [pa.int32(), pa.int64(), pa.string(), pa.binary()])
+
+    return run
+
+
+def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+def set_links(rows: list[tuple], tbl: int, similarity: float, radius: int) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the pairs of a cell (node, fp, size, anchors, set) whose sets have this Jaccard similarity at least."""
+    rows, fp, size, anchors = _sorted_cell(rows)
+    every, flat = np.unique(np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint64), return_inverse=True)
+    ends = np.cumsum(size)
+    own = [flat[e - n : e] for e, n in zip(ends.tolist(), size.tolist())]
+    mark, group, links = np.zeros(len(every), dtype=np.int32), np.arange(len(rows)), []
+    for left, right, near in near_tiles(fp, size, anchors, tbl, similarity, radius):
+        for i in (np.flatnonzero(near.any(axis=1)) + left.start).tolist():
+            others = np.flatnonzero(near[i - left.start]) + right.start
+            others = others[group[others] != group[i]]
+            if not len(others):
+                continue
+            mark[own[i]] = 1
+            starts = np.cumsum(size[others]) - size[others]
+            shared = np.add.reduceat(mark[np.concatenate([own[j] for j in others])], starts)
+            mark[own[i]] = 0
+            union = size[i] + size[others] - shared
+            for j in others[shared + 1e-6 >= similarity * union].tolist():
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    links.append((rows[i][0], rows[j][0]))
+    return links
+
+
+def copy_links(docs: DataFrame, prints: DataFrame, similarity: float, radius: int, words: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) between nodes of ``prints`` (profiles of ``docs``) whose sets have this Jaccard similarity, counted exactly.
+
+    Nodes meet in cells without their sets; only those that have a candidate in a cell get them, and only in the cell of
+    the first anchor that the two share.  Forests are taken of verified links alone."""
+    nodes = materialise(prints.dropDuplicates(["node"]))  # whichever of equal sets
+    facts = nodes.select("node", "fp", "size", "anchors")
+    cells = _copy_cells(nodes, similarity, block_rows).join(facts, "node")
+    ready = lambda rows: rows.repartition("tbl", "key", "cell").sortWithinPartitions("tbl", "key", "cell", "node")
+    marked = materialise(ready(cells).mapInArrow(_candidates(similarity, radius), "tbl int, key bigint, cell string, node binary"))
+    wanted = marked.select("node").distinct().join(nodes, "node").select("node", "fp", "size", "anchors", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    wanted = checked_broadcast(materialise(wanted), BROADCAST_ROWS // 4)
+    texts = docs.select("doc_id", text_key().alias("__text_key"), F.col("text").cast("binary").alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+    texts = texts.join(wanted, same).select("node", "fp", "size", "anchors", "text")
+
+    def sets(batches):
+        for batch in batches:
+            made = [shingle_set(t.as_py() or b"", words).tobytes() for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.binary())], names=["node", "fp", "size", "anchors", "members"])
+
+    held = texts.mapInArrow(sets, "node binary, fp binary, size int, anchors array<bigint>, members binary")
+
+    def verified(batches):
+        for (tbl, *_), rows in _cells(batches, ("node", "fp", "size", "anchors", "members")):
+            if found := set_links(rows, tbl, similarity, radius):
+                yield _batch(found, ["a", "b"], [pa.binary(), pa.binary()])
+
+    return ready(marked.join(held, "node")).mapInArrow(verified, "a binary, b binary").distinct()
+
+
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, that with the smallest id, of each group of near copies; rows without id stay.
 
-    An id counts as one document: if one of its rows is a near copy of a smaller id, all its rows go."""
-    from edgeloom.llm.common import checked_broadcast
-
-    groups = near_groups(docs, radius=radius_for(similarity, WIDE["bits"]), **WIDE)
+    Two documents are linked if their sets of five-word shingles have this Jaccard similarity, counted exactly; a group is what
+    links join.  An id counts as one document: if one of its rows is a near copy of a smaller id, all its rows go."""
+    prints = materialise(profiles(docs, **WIDE))
+    tree = materialise(components(copy_links(docs, prints, similarity, radius_for(similarity, WIDE["bits"]), WIDE["words"])))
+    groups = with_components(prints.select("doc_id", "text_key", "node"), tree, "node")
     gone = materialise(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))
     return docs.join(checked_broadcast(gone), "doc_id", "left_anti")

@@ -169,6 +169,45 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == list(range(30))
 
 
+def test_a_family_below_the_similarity_stays(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    template, texts = [word() for _ in range(170)], []
+    for own in (30, 40):  # two families at about 0.73 and 0.67, each with two copies that differ in a word
+        family = [template + [word() for _ in range(own)] for _ in range(40)]
+        texts += family + [["changed", *t[1:]] for t in family[:2]]
+        template = [word() for _ in range(170)]
+    sets = [set(simhash.shingle_set(" ".join(t).encode(), 5).tolist()) for t in texts]
+    jaccard = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert 0.6 < jaccard(44, 45) < jaccard(2, 3) < 0.75 and jaccard(0, 40) > 0.8
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    want = [i for i in range(len(texts)) if i not in (40, 41, 82, 83)]
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == want
+
+
+def test_cells_and_tiles_lose_no_copy(spark):
+    rng = np.random.default_rng(12)
+    common = [str(k) for k in range(60)]
+    texts = [common[: int(rng.integers(20, 60))] + [f"w{g}x{k}" for k in range(int(rng.integers(15, 90)))] for g in range(40)]
+    texts += [t + ["more"] * int(rng.integers(1, 4)) for t in texts for _ in range(3)]
+    sets = [set(simhash.shingle_set(" ".join(t).encode(), 5).tolist()) for t in texts]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    prints = simhash.profiles(docs, **simhash.WIDE).cache()
+    node = {r.doc_id: r.node for r in prints.collect()}
+    parent = {n: n for n in node.values()}
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(find(node[i]), find(node[j]))] = min(find(node[i]), find(node[j]))
+    for block_rows in (4096, 16):  # the second cuts blocks by size and deals them out
+        tree = {r.node: r.root for r in components.components(simhash.copy_links(docs, prints, 0.8, 512, 5, block_rows)).collect()}
+        assert {n: tree.get(n, n) for n in parent} == {n: find(n) for n in parent}
+
+
 def test_language_id(spark, odd):
     held = queries.op3_language_id(spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.95
