@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -72,11 +72,16 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, words: int = 3, bits: int = 64, anchors: int = 0) -> tuple[bytes, list[int]]:
-    """Big-endian fingerprint and the least shingle hash under each of ``anchors`` permutations."""
+    """Big-endian fingerprint and the least shingle hash under each of ``anchors`` permutations; repeats count."""
+    return fingerprint_of(shingle_hashes(text, words), bits, anchors)
+
+
+def fingerprint_of(parts: Iterable[np.ndarray], bits: int = 64, anchors: int = 0) -> tuple[bytes, list[int]]:
+    """The same of shingle hashes that come in parts."""
     width = bits // 64
     counts, total = np.zeros(bits, dtype=np.int64), 0
     least = np.full(anchors, np.iinfo(np.int64).max, dtype=np.int64)
-    for hashes in shingle_hashes(text, words):
+    for hashes in parts:
         total += len(hashes)
         for at in range(0, len(hashes), 255 * 16):
             h = hashes[at : at + 255 * 16]
@@ -259,10 +264,14 @@ WIDE = {"words": 5, "bits": 512, "anchors": 8}
 BLOCK_SHINGLES = 1 << 20
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Bits by which two sets of this Jaccard similarity differ, plus two standard deviations so that few are missed."""
+#: Sets of at most so many shingles are compared whatever their fingerprints: ties and few votes make those unsure.
+SHORT = 64
+
+
+def radius_for(similarity: float, bits: int, deviations: float = 5) -> int:
+    """Bits by which two sets of this Jaccard similarity differ, plus standard deviations so that hardly any pair is missed."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -275,16 +284,15 @@ def text_key(text: str = "text") -> Column:
 
 
 def profiles(docs: DataFrame, words: int, bits: int, anchors: int) -> DataFrame:
-    """``doc_id, text_key, node`` (a digest of the shingle set), ``fp, size`` (of the set) and ``anchors`` (none if it is empty)."""
+    """``doc_id, text_key, node`` (a digest of the shingle set), ``fp, size`` and ``anchors`` of that set (no anchors if it is empty)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             made, sets = [], []
             for t in batch.column(2):
-                text = t.as_py() or b""
-                own = shingle_set(text, words)
-                made.append(fingerprint(text, words, bits, anchors))
+                own = shingle_set(t.as_py() or b"", words)
+                made.append(fingerprint_of([own], bits, anchors))
                 sets.append((hashlib.md5(own.tobytes()).digest(), len(own)))
             body = [pa.array([d for d, _ in sets], pa.binary()), pa.array([f for f, _ in made], pa.binary()), pa.array([n for _, n in sets], pa.int32()), pa.array([a for _, a in made], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *body], names=["doc_id", "text_key", "node", "fp", "size", "anchors"])
@@ -347,7 +355,7 @@ def near_tiles(fp: np.ndarray, size: np.ndarray, anchors: np.ndarray, tbl: int,
             distance = np.zeros(near.shape, dtype=np.uint16)
             for w in range(fp.shape[1]):
                 distance += np.bitwise_count(fp[left, None, w] ^ fp[None, right, w])
-            near &= distance <= radius
+            near &= (distance <= radius) | (size[left, None] <= SHORT)
             if a == b:
                 near = np.triu(near, 1)
             for k in range(tbl if near.any() else 0):
@@ -370,7 +378,7 @@ def _candidates(similarity: float, radius: int):
         if len(rows) == 2:  # most cells
             (x, p, m, a), (y, q, n, b) = rows
             near = min(m, n) + 1e-6 >= similarity * max(m, n) and all(a[k] != b[k] for k in range(tbl))
-            return [x, y] if near and (int.from_bytes(p, "big") ^ int.from_bytes(q, "big")).bit_count() <= radius else []
+            return [x, y] if near and (min(m, n) <= SHORT or (int.from_bytes(p, "big") ^ int.from_bytes(q, "big")).bit_count() <= radius) else []
         rows, *arrays = _sorted_cell(rows)
         some = np.zeros(len(rows), dtype=bool)
         for left, right, near in near_tiles(*arrays, tbl, similarity, radius):

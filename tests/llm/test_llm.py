@@ -185,6 +185,17 @@ def test_a_family_below_the_similarity_stays(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == want
 
 
+def test_repeated_lines_and_short_texts_are_near_copies(spark):
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    rows = []
+    for k in range(20):
+        line, rest, short = [word() for _ in range(14)], [word() for _ in range(250)], [word() for _ in range(9)]
+        rows += [(4 * k, line + rest), (4 * k + 1, line * 31 + rest), (4 * k + 2, short), (4 * k + 3, short[:8])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == list(range(0, 80, 2))
+
+
 def test_cells_and_tiles_lose_no_copy(spark):
     rng = np.random.default_rng(12)
     common = [str(k) for k in range(60)]
