@@ -464,9 +464,11 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, that with the smallest id, of each group of near copies; rows without id stay.
 
     Two documents are linked if their sets of five-word shingles have this Jaccard similarity, counted exactly; a group is what
-    links join.  An id counts as one document: if one of its rows is a near copy of a smaller id, all its rows go."""
+    links join.  A row is known by its id and text, so of rows that share an id but not a text each is judged by its own group;
+    rows that repeat the id that stays are one document and stay with it."""
     prints = materialise(profiles(docs, **WIDE))
     tree = materialise(components(copy_links(docs, prints, similarity, radius_for(similarity, WIDE["bits"]), WIDE["words"])))
     groups = with_components(prints.select("doc_id", "text_key", "node"), tree, "node")
-    gone = materialise(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))
-    return docs.join(checked_broadcast(gone), "doc_id", "left_anti")
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    gone = checked_broadcast(materialise(gone))
+    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (text_key() == F.col("__key")), "left_anti")

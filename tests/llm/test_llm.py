@@ -196,6 +196,16 @@ def test_repeated_lines_and_short_texts_are_near_copies(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == list(range(0, 80, 2))
 
 
+def test_rows_of_an_id_are_judged_by_their_own_group(spark):
+    rng = np.random.default_rng(14)
+    text = lambda: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(100)]
+    x, y, z = text(), text(), text()
+    rows = [(3, x), (5, ["changed", *x[1:]]), (5, y), (9, ["changed", *y[1:]]), (9, z), (None, x)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.text) for r in simhash.drop_near_copies(docs).collect())
+    assert got == Counter((i, " ".join(t)) for i, t in (rows[0], rows[2], rows[4], rows[5]))
+
+
 def test_cells_and_tiles_lose_no_copy(spark):
     rng = np.random.default_rng(12)
     common = [str(k) for k in range(60)]
