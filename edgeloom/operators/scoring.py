@@ -47,6 +47,27 @@ def tucker(rows: DataFrame, core: np.ndarray) -> DataFrame:
     return rows.withColumn("score", run(*names))
 
 
+def tucker_qualified(rows: DataFrame, core: np.ndarray, entity: np.ndarray, relation: np.ndarray) -> DataFrame:
+    """Adds ``score`` of whole vectors (src_e, rel_e, [qrel_e,] qval_e, dst_e): TuckER3 for a core p q r s, TuckER4 for p q r s t.
+
+    ``entity`` (A_e) and ``relation`` (A_r) project into the core; the open mode r is projected back by A_e^T and dotted with dst."""
+    four = core.ndim == 5
+    names = ["src_e", "rel_e", *["qrel_e"] * four, "qval_e", "dst_e"]
+    shared = rows.sparkSession.sparkContext.broadcast((core, entity, relation))
+
+    @F.pandas_udf("double")
+    def run(*cols):
+        import pandas as pd
+
+        w, e, r = shared.value
+        *given, dst = [np.array(c.tolist(), dtype=np.float64) for c in cols]
+        inside = [x @ m for x, m in zip(given, [e, r, r, e] if four else [e, r, e])]
+        partial = np.einsum("pqrst,bp,bq,bs,bt->br" if four else "pqrs,bp,bq,bs->br", w, *inside, optimize=True)
+        return pd.Series(((partial @ e.T) * dst).sum(axis=1))
+
+    return rows.withColumn("score", run(*names))
+
+
 def score_negatives(edges: DataFrame, negatives: DataFrame, nodes: DataFrame, relations: DataFrame, decoder: str = "distmult") -> DataFrame:
     """``edge_id, src, rel, pos, neg, pos_score, score`` of every edge (edge_id, batch_id, chunk, src, rel, dst) and each negative of its
     chunk (batch_id, chunk, pos, neg).

@@ -475,10 +475,10 @@ QUERIES["layer_rgcn"] = _layer(lambda e, x: gnn.rgcn(e, x, DIM, {r: _weights(8,
 @query()
 def score_tucker3(spark, d):
     e, emb = kg(spark, d)[0], nodes(spark, d)[0]
-    head = emb.withColumn("embedding", F.slice("embedding", 1, 10))
-    rows = scoring.lookup(scoring.lookup(scoring.lookup(e, head, "src", "src_e"), relations(head), "rel", "rel_e"), head, "dst", "dst_e")
-    core = np.random.default_rng(3).normal(0, 0.1, (10, 10, 10, 10))
-    return scoring.tucker(rows, core).select("edge_id", F.round("score", 6).alias("score"))
+    rows = scoring.lookup(scoring.lookup(scoring.lookup(scoring.lookup(e, emb, "src", "src_e"), relations(emb), "rel", "rel_e"), emb, "qval", "qval_e"), emb, "dst", "dst_e")
+    rng = np.random.default_rng(3)
+    core, entity, relation = rng.normal(0, 0.1, (10, 10, 10, 10)), rng.normal(0, 0.1, (DIM, 10)), rng.normal(0, 0.1, (DIM, 10))
+    return scoring.tucker_qualified(rows, core, entity, relation).select("edge_id", F.round("score", 6).alias("score"))
 
 
 @query()

@@ -117,6 +117,16 @@ def test_tucker_against_numpy(spark):
     assert scoring.tucker(df, core).first().score == pytest.approx(want)
 
 
+def test_qualified_tucker_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    for shape, given in (((3, 2, 3, 3), ["src", "rel", "qval", "dst"]), ((3, 2, 3, 2, 3), ["src", "rel", "qrel", "qval", "dst"])):
+        core, a, b, x = rng.normal(size=shape), rng.normal(size=(7, 3)), rng.normal(size=(7, 2)), rng.normal(size=(len(given), 7))
+        df = spark.createDataFrame([tuple(v.tolist() for v in x)], ", ".join(f"{n}_e array<double>" for n in given))
+        inside = [v @ (b if n in ("rel", "qrel") else a) for n, v in zip(given[:-1], x)]
+        want = np.einsum("pqrs,p,q,s->r" if core.ndim == 4 else "pqrst,p,q,s,t->r", core, *inside) @ a.T @ x[-1]
+        assert scoring.tucker_qualified(df, core, a, b).first().score == pytest.approx(want)
+
+
 def test_layers_against_numpy(spark):
     rng = np.random.default_rng(1)
     n, dim = 6, 4
