@@ -106,6 +106,21 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write ``docs`` as ``shard=<n>`` folders whose rows follow the curve, so that scans prune files on every dimension."""
-    placed = assign(docs, shards).select("doc_id", "shard", "slot", "curve")
-    docs.join(placed, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Write every row of ``docs`` once, as ``shard=<n>`` folders whose rows follow the curve, so that scans prune files on every dimension.
+
+    Rows without ``doc_id`` and rows that repeat one are placed like any other.  ``curve`` is added; if ``docs`` has a column
+    ``shard`` or ``curve``, that one is kept and the new one's name gets a ``_`` at its end."""
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
+
+    shard, curve = free("shard"), free("curve")
+    rows = docs.select("doc_id", text_size().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "lang", "source", F.struct("*").alias("row"))
+    total = max(1, docs.count())
+    ranked = rank_along_curve(rows, metadata_dimensions())
+    ranked = ranked.select("row", "rank", F.col("curve").alias("at"), F.expr(f"int(rank * {shards} div {total})").alias("to"))
+    ranked = ranked.repartitionByRange("rank").sortWithinPartitions("to", "rank")
+    ranked.select("row.*", F.col("at").alias(curve), F.col("to").alias(shard)).write.partitionBy(shard).parquet(path)

@@ -324,6 +324,16 @@ def test_sharding(odd, spark):
     assert all(np.abs(at(a) - at(b)).sum() == 1 for (_, a), (_, b) in zip(cells, cells[1:]))
 
 
+def test_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(i, f"text {k}", "en", "s", k, "own") for k, i in enumerate([None, None, 1, 1, 1, 2, 3, 4])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, slot int, shard string")
+    sharding.write_shards(docs, str(tmp_path / "out"), 3)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(tuple(r) for r in got.select(*docs.columns).collect()) == Counter(rows)
+    sizes = Counter(r.shard_ for r in got.collect())
+    assert set(sizes) == {0, 1, 2} and max(sizes.values()) - min(sizes.values()) <= 1
+
+
 def test_mixing(spark, odd):
     got = mixing.mixture(odd).filter("pass = 0")
     assert got.count() == len(ROWS)
