@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,60 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: Bits of a key filter: 4,096 bitmaps of 4 kB (16 MB) at most, whatever the number of keys.
+FILTER_BITS = 1 << 27
+
+
+def maybe_among(rows: DataFrame, columns: list[Column], keys: DataFrame, negate: bool = False) -> DataFrame:
+    """Rows whose ``columns`` may equal a row of ``keys`` (its columns in the same order): no such row is lost, few others pass.
+    ``negate``: the other rows, none of which is among ``keys``.
+
+    The keys' hashes set bits of at most ``FILTER_BITS``, which are broadcast, so a join that follows shuffles hardly more
+    than the rows that it keeps.  With very many keys the filter lets more rows pass; the join is exact all the same.
+    """
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS)) + 1
+    marks = keys.select(place(keys.columns).alias("h")).withColumn("__bucket", F.bitmap_bucket_number("h")).repartition("__bucket")
+    bits = marks.groupBy("__bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
+    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(columns)) == F.col("__bucket"), "left")
+    at = F.bitmap_bit_position(place(columns))
+    byte = F.conv(F.hex(F.col("__bits").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
+    return joined.filter(~hit if negate else hit).drop("__bucket", "__bits")
+
+
+def without(docs: DataFrame, columns: list[Column], keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``columns`` equal a row of ``keys`` (null equals null); other columns may have any names.
+
+    Few keys are broadcast.  Many are joined, but only rows that pass a filter of the keys are shuffled with their texts.
+    """
+    keys = keys.toDF(*[f"__key{i}" for i in range(len(columns))]).distinct()
+    same = reduce(and_, [c.eqNullSafe(F.col(f"__key{i}")) for i, c in enumerate(columns)])
+    few = checked_broadcast(keys)
+    if few is not keys:
+        return docs.join(few, same, "left_anti")
+    marked, own, row = _marked(docs, columns)
+    same = reduce(and_, [c.eqNullSafe(F.col(f"__key{i}")) for i, c in enumerate(own)])
+    kept = maybe_among(marked, own, keys).join(keys, same, "left_anti").unionByName(maybe_among(marked, own, keys, negate=True))
+    return kept.select(f"{row}.*")
+
+
+def one_each(docs: DataFrame, columns: list[Column], keys: DataFrame) -> DataFrame:
+    """``docs`` with one row, whichever, of those whose ``columns`` equal a row of ``keys``; all other rows stay."""
+    if keys.isEmpty():
+        return docs
+    marked, own, row = _marked(docs, columns)
+    keys = keys.toDF(*[f"__key{i}" for i in range(len(columns))]).distinct()
+    same = reduce(and_, [c.eqNullSafe(F.col(f"__key{i}")) for i, c in enumerate(own)])
+    repeated = maybe_among(marked, own, keys).join(keys, same, "left_semi")
+    one = repeated.groupBy(*own).agg(F.first(row).alias(row)).select(f"{row}.*")  # pre-aggregated: a hot row is no hot task
+    return without(docs, columns, keys).unionByName(one)
+
+
+def _marked(docs: DataFrame, columns: list[Column]) -> tuple[DataFrame, list[Column], str]:
+    row = "__row"
+    return docs.select(F.struct("*").alias(row), *[c.alias(f"__own{i}") for i, c in enumerate(columns)]), [F.col(f"__own{i}") for i in range(len(columns))], row
+
+
 def crc_of_id(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
 

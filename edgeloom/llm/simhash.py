@@ -3,9 +3,9 @@
 Fingerprints are made once per text; equal ones are one node.  Nodes meet in blocks: for a small radius by the pigeonhole
 rule (cut into ``radius + 2`` pieces, at least two pieces of two linked fingerprints are equal), so no link can be lost; for
 a wide radius, where that rule cannot prune, by the smallest shingle under several permutations.  Inside a block the
-nodes are sorted by bit count and compared tile by tile, and tile pairs whose bit counts differ by more than the radius are
-skipped.  A block that does not fit a task is dealt out as pairs of tiles (bit count zone, hash), so every pair within the
-radius still meets.  Comparing all tiles without blocks would grow with the square of the corpus.
+nodes are sorted and compared tile by tile, and tile pairs that are too far apart (by bit counts, or by the sizes of their sets)
+are skipped.  A block that does not fit a task is cut by further pieces or further anchors; what shares even those is compared
+with a task's worth of pivots first.  Comparing all tiles without blocks would grow with the square of the corpus.
 
 Each block reports a spanning forest of its links, never all pairs; components.py joins the forests.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,14 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import BROADCAST_ROWS, checked_broadcast, materialise, salted_left_join
+from edgeloom.llm.common import materialise, maybe_among, one_each, salted_left_join, without
 from edgeloom.llm.components import components
 
 SEED = 42
 #: Bytes of text that are cut into words at a time.
 SLICE = 4 << 20
-#: Rows of a block that one task compares; larger blocks are dealt out as tile pairs.
-BLOCK_ROWS = 1024
+#: Rows of a block that one task compares; larger blocks are cut further.
+BLOCK_ROWS = 4096
 TILE = 512
 
 
@@ -97,19 +98,17 @@ def fingerprint_of(parts: Iterable[np.ndarray], bits: int = 64, anchors: int = 0
     return np.packbits(2 * counts > total).tobytes(), least.tolist() if total else []
 
 
-def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, anchors: int = 0) -> DataFrame:
-    """``doc_id, fp`` (bits / 8 bytes), ``ones`` and ``anchors``.  Null and empty texts, and texts of white space, get zero."""
+def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64) -> DataFrame:
+    """``doc_id, fp`` (bits / 8 bytes) and ``ones``.  Null and empty texts, and texts of white space, get zero."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = pa.schema([("fp", pa.binary()), ("ones", pa.int32()), ("anchors", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            made = [fingerprint(t.as_py() or b"", words, bits, anchors) for t in batch.column(1)]
-            ones = [int.from_bytes(f, "big").bit_count() for f, _ in made]
-            body = pa.RecordBatch.from_arrays([pa.array([f for f, _ in made], pa.binary()), pa.array(ones, pa.int32()), pa.array([a for _, a in made], out.field(2).type)], schema=out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *body.columns], names=["doc_id", *out.names])
+            made = [fingerprint(t.as_py() or b"", words, bits)[0] for t in batch.column(1)]
+            ones = [int.from_bytes(f, "big").bit_count() for f in made]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array(ones, pa.int32())], names=["doc_id", "fp", "ones"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary, ones int, anchors array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary, ones int")
 
 
 def tile_links(fp: np.ndarray, ones: np.ndarray, radius: int, tile: int = TILE) -> list[tuple[int, int]]:
@@ -153,36 +152,35 @@ def tile_links(fp: np.ndarray, ones: np.ndarray, radius: int, tile: int = TILE)
     return links
 
 
-def _blocks(prints: DataFrame, bits: int, radius: int, anchors: int) -> DataFrame:
-    """Distinct ``tbl, key, fp, ones``."""
-    if anchors:
-        return prints.select("fp", "ones", F.posexplode("anchors").alias("tbl", "key")).distinct()
-    digits, pieces = bits // 4, radius + 2
-    cuts = [round(i * digits / pieces) for i in range(pieces + 1)]
-    text = F.hex("fp")
-    part = [F.substring(text, cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(pieces)]
-    keys = F.array(*[F.xxhash64(part[i], part[j]) for i, j in combinations(range(pieces), 2)])
-    return prints.select("fp", "ones").distinct().select("fp", "ones", F.posexplode(keys).alias("tbl", "key"))
-
-
-def links(prints: DataFrame, bits: int, radius: int, anchors: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links (a, b) between different fingerprints of ``prints`` within ``radius``: forests whose union has every component."""
-    rows = _blocks(prints, bits, radius, anchors)
-    sizes = rows.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(sizes, ["tbl", "key"])
-    parts = F.ceil(F.col("n") / block_rows).cast("int")
-    zone, own, other = F.floor(F.col("ones") / (radius + 1)).cast("string"), F.col("own"), F.col("other")
-    name = lambda kind, z, a, b: F.concat_ws(":", F.lit(kind), z, a.cast("string"), b.cast("string"))
-    below = F.floor(F.col("ones") / (radius + 1) - 1).cast("string")
-    light = rows.filter(F.col("n") <= block_rows).select("tbl", "key", F.lit("").alias("cell"), "fp", "ones")
-    heavy = (
-        rows.filter(F.col("n") > block_rows)
-        .withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .withColumn("cell", F.explode(F.array(name("=", zone, F.least(own, other), F.greatest(own, other)), name("+", zone, own, other), name("+", below, other, own))))
-        .select("tbl", "key", "cell", "fp", "ones")
-    )
-    dealt = light.unionByName(heavy).repartition("tbl", "key", "cell").sortWithinPartitions("tbl", "key", "cell")
+def _cut(rows: DataFrame, pieces: int) -> DataFrame:
+    """``fp, ones, key, rest``: ``rest`` (hexadecimal digits) is cut into ``pieces``, and a row goes to a block for each pair of
+    them.  ``key`` names the digits that a block has in common; the other pieces are the new ``rest``."""
+    at = lambda i: F.round(F.length("rest") * i / pieces).cast("int")
+    part = [F.col("rest").substr(at(i) + 1, at(i + 1) - at(i)) for i in range(pieces)]
+    blocks = []
+    for i, j in combinations(range(pieces), 2):
+        others = F.concat(*[part[k] for k in range(pieces) if k not in (i, j)])
+        blocks.append(F.struct(F.xxhash64("key", F.lit(i * pieces + j), part[i], part[j]).alias("key"), others.alias("rest")))
+    return rows.select("fp", "ones", F.explode(F.array(*blocks)).alias("b")).select("fp", "ones", "b.key", "b.rest")
+
+
+def links(prints: DataFrame, bits: int, radius: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) between different fingerprints of ``prints`` within ``radius``: forests whose union has every component.
+
+    A block of more than ``block_rows`` is cut again by the same rule, in the digits that its rows do not share; 64 bits and a
+    radius of 2 leave at most 65,536 different rows after the second cut and 256 after the third."""
+    rows = prints.select("fp", "ones").distinct().select("fp", "ones", F.lit(0).cast("bigint").alias("key"), F.hex("fp").alias("rest"))
+    ready, left, pieces = [], bits // 4, radius + 2
+    while True:
+        rows, left = _cut(rows, pieces), left - 2 * (left // pieces)
+        sizes = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        heavy = sizes.filter(F.col("n") > block_rows)
+        last = left < pieces or heavy.isEmpty()
+        ready.append(rows.join(sizes if last else sizes.filter(F.col("n") <= block_rows), "key").select("key", "fp", "ones"))
+        if last:
+            break
+        rows = materialise(rows.join(heavy, "key").drop("n"))
+    dealt = reduce(DataFrame.unionByName, ready).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_compare(radius), "a binary, b binary").distinct()
 
 
@@ -190,19 +188,16 @@ def _compare(radius: int):
     def run(batches):
         held, name = [], None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            t, k = table["tbl"].to_numpy(), table["key"].to_numpy()
-            cell = table["cell"].to_pylist()
-            fp, ones = table["fp"].to_pylist(), table["ones"].to_numpy()
-            cuts = [0, *(i for i in range(1, len(t)) if t[i] != t[i - 1] or k[i] != k[i - 1] or cell[i] != cell[i - 1]), len(t)]
+            key = batch.column(0).to_numpy()
+            fp, ones = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             a, b = [], []
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
                     continue
-                this = (t[lo], k[lo], cell[lo])
-                if this != name:
+                if key[lo] != name:
                     _within(held, radius, a, b)
-                    held, name = [], this
+                    held, name = [], key[lo]
                 held += zip(fp[lo:hi], ones[lo:hi].tolist())
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -228,7 +223,7 @@ def _within(held: list[tuple[bytes, int]], radius: int, a: list, b: list) -> Non
         b.append(held[j][0])
 
 
-def near_groups(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 2, anchors: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per document: ``doc_id, fingerprint`` (hex) and ``component_id``, the smallest ``doc_id`` reachable.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; repeats count; fewer than ``words`` words are one
@@ -236,8 +231,8 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 2
     A row without ``doc_id`` gets the component of its fingerprint, which is null only if no linked document has an id.
     An empty table gives an empty result; other columns are not read.
     """
-    prints = materialise(fingerprints(docs, words, bits, anchors))
-    tree = materialise(components(links(prints, bits, radius, anchors, block_rows)))
+    prints = materialise(fingerprints(docs, words, bits))
+    tree = materialise(components(links(prints, bits, radius, block_rows)))
     joined = with_components(prints.select("doc_id", "fp"), tree, "fp")
     return joined.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
@@ -260,10 +255,8 @@ def with_components(prints: DataFrame, tree: DataFrame, key: str) -> DataFrame:
 
 #: The near-dedup setting for a similarity of shingle sets: blocks by 8 anchors, 512 bits to thin out a block's pairs.
 WIDE = {"words": 5, "bits": 512, "anchors": 8}
-#: Shingles of one part of a block whose sets a task holds.
-BLOCK_SHINGLES = 1 << 20
-
-
+#: Shingles of one block whose sets a task holds (16 MB).
+BLOCK_SHINGLES = 1 << 21
 #: Sets of at most so many shingles are compared whatever their fingerprints: ties and few votes make those unsure.
 SHORT = 64
 
@@ -301,28 +294,44 @@ def profiles(docs: DataFrame, words: int, bits: int, anchors: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, node binary, fp binary, size int, anchors array<bigint>")
 
 
-def _copy_cells(nodes: DataFrame, similarity: float, block_rows: int) -> DataFrame:
-    """``tbl, key, cell, node``: two nodes that share an anchor and may be similar by their sizes meet in a cell of it.
+CELL = ["tbl", "key", "cell"]
 
-    A block that does not fit a task is cut by size first: similar sets lie in one zone or in neighbouring ones, so every pair of
-    neighbours is a cell; one that does not fit either is dealt out as pairs of its parts."""
-    rows = nodes.select("node", "size", F.posexplode("anchors").alias("tbl", "key"))
 
-    def fitted(rows, by):
-        sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")).filter("n > 1")
-        parts = F.ceil(F.greatest(F.col("n") / block_rows, F.col("held") / BLOCK_SHINGLES)).cast("int")
-        return rows.join(sizes.select(*by, parts.alias("parts")), by)
+def _sizes(rows: DataFrame, block_rows: int) -> DataFrame:
+    """``tbl, key, parts`` of the blocks with more than one row; a block of one part fits a task."""
+    sizes = rows.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")).filter("n > 1")
+    parts = F.ceil(F.greatest(F.col("n") / block_rows, F.col("held") / BLOCK_SHINGLES)).cast("int")
+    return materialise(sizes.select("tbl", "key", parts.alias("parts")))
 
-    rows = fitted(rows, ["tbl", "key"])
-    out = ["tbl", "key", "cell", "node"]
-    light = rows.filter("parts = 1").withColumn("cell", F.lit(""))
-    zone = F.floor(F.log(F.col("size").cast("double")) / max(0.05, 1.001 * math.log(1 / similarity))).cast("int")
-    zones = rows.filter("parts > 1").drop("parts").withColumn("pair", F.explode(F.array(zone, zone - 1)))
-    zones = fitted(zones, ["tbl", "key", "pair"])
-    own, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("other")
-    dealt = zones.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = F.concat_ws(":", F.col("pair").cast("string"), F.least("own", other).cast("string"), F.greatest("own", other).cast("string"))
-    return light.select(*out).unionByName(dealt.withColumn("cell", cell).select(*out))
+
+def _blocks(nodes: DataFrame, anchors: int, block_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Cells (``tbl, key, cell, node, ask``) of blocks that fit a task, and rows (with ``parts``) of those that do not, if any.
+
+    Two nodes meet under the first anchor that they share or, where its block does not fit a task, under the first two."""
+    one = lambda rows, sizes: rows.join(sizes.filter("parts = 1"), ["tbl", "key"]).select("tbl", "key", F.lit(0).cast("bigint").alias("cell"), "node", F.lit(True).alias("ask"))
+    rows = nodes.select("node", "size", F.posexplode("anchors").alias("tbl", "key"))
+    sizes = _sizes(rows, block_rows)
+    cells, heavy = one(rows, sizes), sizes.filter("parts > 1")
+    if heavy.isEmpty():
+        return cells, None
+    deep = rows.join(heavy.drop("parts"), ["tbl", "key"]).join(nodes.select("node", "anchors"), "node")
+    deep = deep.select("node", "size", "tbl", "key", F.posexplode("anchors").alias("second", "other")).filter("second > tbl")
+    deep = materialise(deep.select("node", "size", (anchors * (F.col("tbl") + 1) + F.col("second")).cast("int").alias("tbl"), F.xxhash64("key", "other").alias("key")))
+    sizes = _sizes(deep, block_rows)
+    cells, heavy = cells.unionByName(one(deep, sizes)), sizes.filter("parts > 1")
+    return cells, None if heavy.isEmpty() else materialise(deep.join(heavy, ["tbl", "key"]).select("tbl", "key", "node", "parts"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Cells in which every asking row of a block meets every row of it.
+
+    ``rows``: tbl, key, node, parts, ask and slots.  A block's rows lie in ``parts`` parts, its asking rows in ``slots``; a cell
+    is a part with a slot.  With one slot (at most a task's worth of asking rows) the rows grow in proportion."""
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("bigint")
+    slot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("slots")).cast("bigint")
+    held = rows.withColumn("to", F.explode(F.expr("sequence(0L, slots - 1L)"))).select("tbl", "key", (own * F.col("slots") + F.col("to")).alias("cell"), "node", F.lit(False).alias("ask"))
+    asked = rows.filter("ask").withColumn("to", F.explode(F.expr("sequence(0L, parts - 1L)"))).select("tbl", "key", (F.col("to") * F.col("slots") + slot).alias("cell"), "node", "ask")
+    return held.unionByName(asked)
 
 
 def _cells(batches, columns: tuple[str, ...]):
@@ -330,7 +339,7 @@ def _cells(batches, columns: tuple[str, ...]):
     held, name = [], None
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        names = zip(table["tbl"].to_pylist(), table["key"].to_pylist(), table["cell"].to_pylist())
+        names = zip(*(table[c].to_pylist() for c in CELL))
         for this, row in zip(names, zip(*(table[c].to_pylist() for c in columns))):
             if this != name:
                 if len(held) > 1:
@@ -342,9 +351,17 @@ def _cells(batches, columns: tuple[str, ...]):
         yield name, held
 
 
-def near_tiles(fp: np.ndarray, size: np.ndarray, anchors: np.ndarray, tbl: int, similarity: float, radius: int, tile: int = TILE):
-    """(left, right, near) for the tiles of rows sorted by size: pairs that may be similar and first meet under anchor ``tbl``."""
-    n = len(size)
+def _before(tbl: int, anchors: int) -> list[int]:
+    """The anchors that two rows must not share if they are to meet in table ``tbl``: those before its own."""
+    if tbl < anchors:
+        return list(range(tbl))
+    return [k for k in range(tbl % anchors) if k != tbl // anchors - 1]
+
+
+def near_tiles(fp: np.ndarray, size: np.ndarray, anchors: np.ndarray, ask: np.ndarray, tbl: int, similarity: float, radius: int, tile: int = TILE):
+    """(left, right, near) for the tiles of rows sorted by size: pairs that may be similar, meet in table ``tbl`` first, and one of
+    which asks."""
+    n, before = len(size), _before(tbl, anchors.shape[1])
     for a in range(0, n, tile):
         left = slice(a, min(n, a + tile))
         for b in range(a, n, tile):
@@ -352,50 +369,56 @@ def near_tiles(fp: np.ndarray, size: np.ndarray, anchors: np.ndarray, tbl: int,
             if similarity * size[b] > size[left.stop - 1] + 1e-6:
                 break  # sorted: the sets of later tiles are larger still
             near = size[left, None] + 1e-6 >= similarity * size[None, right]
+            near &= ask[left, None] | ask[None, right]
+            if not near.any():
+                continue
             distance = np.zeros(near.shape, dtype=np.uint16)
             for w in range(fp.shape[1]):
                 distance += np.bitwise_count(fp[left, None, w] ^ fp[None, right, w])
             near &= (distance <= radius) | (size[left, None] <= SHORT)
             if a == b:
                 near = np.triu(near, 1)
-            for k in range(tbl if near.any() else 0):
+            for k in before if near.any() else ():
                 near &= anchors[left, None, k] != anchors[None, right, k]
             if near.any():
                 yield left, right, near
 
 
-def _sorted_cell(rows: list[tuple]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (node, fp, size, anchors, ...) by size, and their fingerprints, sizes and anchors as arrays."""
+def _sorted_cell(rows: list[tuple]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (node, fp, size, anchors, ask, ...) by size, and their columns as arrays."""
     rows = sorted(rows, key=lambda r: r[2])
     wide = np.frombuffer(b"".join(r[1] for r in rows), dtype=">u8").reshape(len(rows), -1).astype(np.uint64)
-    return rows, wide, np.array([r[2] for r in rows], dtype=np.int64), np.array([r[3] for r in rows], dtype=np.int64)
+    return rows, wide, np.array([r[2] for r in rows], dtype=np.int64), np.array([r[3] for r in rows], dtype=np.int64), np.array([r[4] for r in rows], dtype=bool)
+
+
+_MARKED = ["tbl int", "key bigint", "cell bigint", "node binary", "ask boolean"]
 
 
 def _candidates(similarity: float, radius: int):
     """Keeps the rows of a cell that may have a similar one in it."""
 
-    def found(tbl: int, rows: list[tuple]) -> list[bytes]:
+    def found(tbl: int, rows: list[tuple]) -> list[tuple]:
         if len(rows) == 2:  # most cells
-            (x, p, m, a), (y, q, n, b) = rows
-            near = min(m, n) + 1e-6 >= similarity * max(m, n) and all(a[k] != b[k] for k in range(tbl))
-            return [x, y] if near and (min(m, n) <= SHORT or (int.from_bytes(p, "big") ^ int.from_bytes(q, "big")).bit_count() <= radius) else []
+            (x, p, m, a, s), (y, q, n, b, t) = rows
+            near = (s or t) and min(m, n) + 1e-6 >= similarity * max(m, n) and all(a[k] != b[k] for k in _before(tbl, len(a)))
+            return [(x, s), (y, t)] if near and (min(m, n) <= SHORT or (int.from_bytes(p, "big") ^ int.from_bytes(q, "big")).bit_count() <= radius) else []
         rows, *arrays = _sorted_cell(rows)
         some = np.zeros(len(rows), dtype=bool)
         for left, right, near in near_tiles(*arrays, tbl, similarity, radius):
             some[left] |= near.any(axis=1)
             some[right] |= near.any(axis=0)
-        return [rows[i][0] for i in np.flatnonzero(some)]
+        return [(rows[i][0], rows[i][4]) for i in np.flatnonzero(some)]
 
     def run(batches):
         out = []
-        names = ["tbl", "key", "cell", "node"]
-        for name, rows in _cells(batches, ("node", "fp", "size", "anchors")):
-            out += [(*name, node) for node in found(name[0], rows)]
+        names, types = [c.split()[0] for c in _MARKED], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+        for name, rows in _cells(batches, ("node", "fp", "size", "anchors", "ask")):
+            out += [(*name, *row) for row in found(name[0], rows)]
             if len(out) > 5000:
-                yield _batch(out, names, [pa.int32(), pa.int64(), pa.string(), pa.binary()])
+                yield _batch(out, names, types)
                 out = []
         if out:
-            yield _batch(out, names, [pa.int32(), pa.int64(), pa.string(), pa.binary()])
+            yield _batch(out, names, types)
 
     return run
 
@@ -405,13 +428,13 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
 
 
 def set_links(rows: list[tuple], tbl: int, similarity: float, radius: int) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the pairs of a cell (node, fp, size, anchors, set) whose sets have this Jaccard similarity at least."""
-    rows, fp, size, anchors = _sorted_cell(rows)
-    every, flat = np.unique(np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint64), return_inverse=True)
+    """A spanning forest of the pairs of a cell (node, fp, size, anchors, ask, set) whose sets have this Jaccard similarity at least."""
+    rows, fp, size, anchors, ask = _sorted_cell(rows)
+    every, flat = np.unique(np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint64), return_inverse=True)
     ends = np.cumsum(size)
     own = [flat[e - n : e] for e, n in zip(ends.tolist(), size.tolist())]
     mark, group, links = np.zeros(len(every), dtype=np.int32), np.arange(len(rows)), []
-    for left, right, near in near_tiles(fp, size, anchors, tbl, similarity, radius):
+    for left, right, near in near_tiles(fp, size, anchors, ask, tbl, similarity, radius):
         for i in (np.flatnonzero(near.any(axis=1)) + left.start).tolist():
             others = np.flatnonzero(near[i - left.start]) + right.start
             others = others[group[others] != group[i]]
@@ -429,46 +452,78 @@ def set_links(rows: list[tuple], tbl: int, similarity: float, radius: int) -> li
     return links
 
 
-def copy_links(docs: DataFrame, prints: DataFrame, similarity: float, radius: int, words: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links (a, b) between nodes of ``prints`` (profiles of ``docs``) whose sets have this Jaccard similarity, counted exactly.
+def _verified(cells: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, radius: int, words: int) -> DataFrame:
+    """Links (a, b) of the pairs of ``cells`` whose sets have this Jaccard similarity, counted exactly.
 
-    Nodes meet in cells without their sets; only those that have a candidate in a cell get them, and only in the cell of
-    the first anchor that the two share.  Forests are taken of verified links alone."""
-    nodes = materialise(prints.dropDuplicates(["node"]))  # whichever of equal sets
+    Nodes meet in cells without their sets; only those that have a candidate in a cell get them, from a scan of the texts that
+    a filter of the candidates cuts down before any text is shuffled or hashed."""
+    ready = lambda rows: rows.repartition(*CELL).sortWithinPartitions(*CELL, "node", F.col("ask").desc())
     facts = nodes.select("node", "fp", "size", "anchors")
-    cells = _copy_cells(nodes, similarity, block_rows).join(facts, "node")
-    ready = lambda rows: rows.repartition("tbl", "key", "cell").sortWithinPartitions("tbl", "key", "cell", "node")
-    marked = materialise(ready(cells).mapInArrow(_candidates(similarity, radius), "tbl int, key bigint, cell string, node binary"))
-    wanted = marked.select("node").distinct().join(nodes, "node").select("node", "fp", "size", "anchors", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    wanted = checked_broadcast(materialise(wanted), BROADCAST_ROWS // 4)
-    texts = docs.select("doc_id", text_key().alias("__text_key"), F.col("text").cast("binary").alias("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
-    texts = texts.join(wanted, same).select("node", "fp", "size", "anchors", "text")
+    marked = materialise(ready(cells.join(facts, "node")).mapInArrow(_candidates(similarity, radius), ", ".join(_MARKED)))
+    wanted = materialise(marked.select("node").distinct().join(nodes, "node").select("node", "fp", "size", "anchors", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
+    texts = docs.select("doc_id", text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
+    texts = maybe_among(texts, [F.col("doc_id"), F.col("text_key")], wanted.select("__id", "__key"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches):
         for batch in batches:
-            made = [shingle_set(t.as_py() or b"", words).tobytes() for t in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.binary())], names=["node", "fp", "size", "anchors", "members"])
+            made = [shingle_set(t.as_py() or b"", words).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], names=["doc_id", "text_key", "members"])
 
-    held = texts.mapInArrow(sets, "node binary, fp binary, size int, anchors array<bigint>, members binary")
+    held = texts.mapInArrow(sets, f"doc_id {kind}, text_key binary, members binary")
+    held = held.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("node", "fp", "size", "anchors", "members")
 
     def verified(batches):
-        for (tbl, *_), rows in _cells(batches, ("node", "fp", "size", "anchors", "members")):
+        for (tbl, *_), rows in _cells(batches, ("node", "fp", "size", "anchors", "ask", "members")):
             if found := set_links(rows, tbl, similarity, radius):
                 yield _batch(found, ["a", "b"], [pa.binary(), pa.binary()])
 
-    return ready(marked.join(held, "node")).mapInArrow(verified, "a binary, b binary").distinct()
+    return materialise(ready(marked.join(held, "node")).mapInArrow(verified, "a binary, b binary").distinct())
 
 
-def drop_near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document, that with the smallest id, of each group of near copies; rows without id stay.
+def copy_links(docs: DataFrame, prints: DataFrame, similarity: float, radius: int, words: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) between nodes of ``prints`` (profiles of ``docs``) whose sets have this Jaccard similarity: forests whose union
+    has every component of the pairs that share an anchor.
+
+    In a block that does not fit a task, a task's worth of rows, picked by a hash, is compared with all rows; rows that this joins
+    need no comparison with each other, so after that only rows outside the block's largest group are compared with all rows."""
+    nodes = materialise(prints.dropDuplicates(["node"]))  # whichever of equal sets
+    cells, heavy = _blocks(nodes, WIDE["anchors"], block_rows)
+    found = _verified(cells, nodes, docs, similarity, radius, words)
+    if heavy is None:
+        return found
+    first = heavy.withColumn("ask", F.pmod(F.xxhash64("node"), F.col("parts")) == 0).withColumn("slots", F.lit(1).cast("bigint"))
+    found = materialise(found.unionByName(_verified(_dealt(first), nodes, docs, similarity, radius, words)))
+    rooted = heavy.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    largest = rooted.groupBy("tbl", "key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("tbl", "key")
+    largest = largest.agg(F.max_by("root", F.struct("n", "root")).alias("top"), (F.sum("n") - F.max("n")).alias("open"))
+    slots = F.ceil(F.greatest(F.col("open") / block_rows, F.lit(1))).cast("bigint")
+    rest = rooted.join(largest, ["tbl", "key"]).select("tbl", "key", "node", "parts", (F.col("root") != F.col("top")).alias("ask"), slots.alias("slots"))
+    return found.unionByName(_verified(_dealt(materialise(rest)), nodes, docs, similarity, radius, words))
+
+
+def _losers(prints: DataFrame, tree: DataFrame) -> DataFrame:
+    """``doc_id, text_key`` of the rows of ``prints`` that do not stay: those of a group other than its least (id, text), null ids last."""
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"))
+    nodes = prints.groupBy("node").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n")).join(tree, "node", "left")
+    nodes = materialise(nodes.withColumn("root", F.coalesce("root", "node")))
+    best = nodes.groupBy("root").agg(F.min("least").alias("best"), F.sum("n").alias("rows")).filter("rows > 1").drop("rows")
+    named = salted_left_join(nodes.select("node", "root"), best, "root", F.col("node")).filter("best IS NOT NULL").select("node", "best")
+    rows = salted_left_join(prints.select("doc_id", "text_key", "node"), named, "node", F.col("text_key"))
+    return rows.filter(order != F.col("best")).select("doc_id", "text_key").distinct()
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``docs`` (all columns, whatever their names) with one document of each group of near copies.
 
     Two documents are linked if their sets of five-word shingles have this Jaccard similarity, counted exactly; a group is what
-    links join.  A row is known by its id and text, so of rows that share an id but not a text each is judged by its own group;
-    rows that repeat the id that stays are one document and stay with it."""
+    links join.  The smallest ``doc_id`` stays (null last), of an id with several such texts the one with the least MD5 digest; a
+    row is known by its id and text, so rows of one id but different groups are judged apart, and rows that repeat both collapse
+    to one.  Null, empty and blank texts have the same empty set: one of them stays.  Fewer than five words are one shingle; texts
+    of any length are read whole.  An empty table gives an empty result.
+    """
     prints = materialise(profiles(docs, **WIDE))
-    tree = materialise(components(copy_links(docs, prints, similarity, radius_for(similarity, WIDE["bits"]), WIDE["words"])))
-    groups = with_components(prints.select("doc_id", "text_key", "node"), tree, "node")
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    gone = checked_broadcast(materialise(gone))
-    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (text_key() == F.col("__key")), "left_anti")
+    tree = materialise(components(copy_links(docs, prints, similarity, radius_for(similarity, WIDE["bits"]), WIDE["words"], block_rows)))
+    own = [F.col("doc_id"), text_key()]
+    tied = prints.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "text_key")
+    return without(one_each(docs, own, materialise(tied)), own, materialise(_losers(prints, tree)))

@@ -15,7 +15,7 @@ import xxhash
 from compare import assert_same, connect
 from pyspark.sql import functions as F
 
-from edgeloom.llm import bpe, chat, components, exact_dedup, langid, media, mixing, queries, sharding, simhash, toxicity, warc
+from edgeloom.llm import bpe, chat, common, components, exact_dedup, langid, media, mixing, queries, sharding, simhash, toxicity, warc
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, kept boolean, block int, score double, rank int, fp string"
@@ -86,8 +86,33 @@ def test_exact_dedup(odd):
     for r in rows:
         text = next(t for i, t, _ in ROWS if i == r.doc_id)
         same = [(-len(t or ""), i is None, i) for i, t, _ in ROWS if strip(t) == strip(text)]
-        assert r.keep_id == min(same)[2] and r.group_size == len(same) and r.kept == (r.doc_id == r.keep_id)
+        assert r.keep_id == min(same)[2] and r.group_size == len(same) and (not r.kept or r.doc_id == r.keep_id)
         assert r.text_sha256 == hashlib.sha256(strip(text).encode()).hexdigest()
+    kept = Counter(r.text_sha256 for r in rows if r.kept)
+    assert set(kept) == {r.text_sha256 for r in rows} and set(kept.values()) == {1}
+
+
+@pytest.mark.parametrize("support", [0.3, 1 / 1024])
+def test_repeated_rows_leave_one(spark, support):
+    rows = [(1, "a b c")] * 3 + [(2, "a b c"), (1, "abc"), (3, "x"), (None, "y"), (None, "y")]
+    docs = spark.createDataFrame([(*r, "own") for r in rows], "doc_id bigint, text string, __row string")
+    got = exact_dedup.exact_groups(docs, support).collect()
+    assert len(got) == len(rows) and Counter((r.doc_id, r.group_size) for r in got if r.kept) == Counter([(1, 5), (3, 1), (None, 2)])
+    assert Counter((r.doc_id, r.text) for r in exact_dedup.drop_copies(docs, support).collect()) == Counter([(1, "a b c"), (3, "x"), (None, "y")])
+    assert Counter((r.doc_id, r.text) for r in simhash.drop_near_copies(docs).collect()) == Counter([(1, "a b c"), (1, "abc"), (3, "x"), (None, "y")])
+
+
+def test_many_keys_are_filtered_before_the_join(spark, monkeypatch):
+    monkeypatch.setattr(common.checked_broadcast, "__defaults__", (3,))
+    rows = [(i % 50 or None, f"t{i % 120}", i) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __key0 int")
+    keys = docs.filter("__key0 % 7 = 0").select("doc_id", "text")
+    gone = {(r.doc_id, r.text) for r in keys.collect()}
+    own = [F.col("doc_id"), F.col("text")]
+    got = common.without(docs, own, keys)
+    assert got.columns == docs.columns and Counter(tuple(r) for r in got.collect()) == Counter(r for r in rows if r[:2] not in gone)
+    one = common.one_each(docs, own, keys).collect()
+    assert Counter((r.doc_id, r.text) for r in one if (r.doc_id, r.text) in gone) == Counter(gone) and len(one) == len(gone) + got.count()
 
 
 @pytest.mark.parametrize("support", [0.9, 1 / 3, 1 / 1024])
@@ -203,7 +228,33 @@ def test_rows_of_an_id_are_judged_by_their_own_group(spark):
     rows = [(3, x), (5, ["changed", *x[1:]]), (5, y), (9, ["changed", *y[1:]]), (9, z), (None, x)]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
     got = Counter((r.doc_id, r.text) for r in simhash.drop_near_copies(docs).collect())
-    assert got == Counter((i, " ".join(t)) for i, t in (rows[0], rows[2], rows[4], rows[5]))
+    assert got == Counter((i, " ".join(t)) for i, t in (rows[0], rows[2], rows[4]))
+
+
+@pytest.mark.parametrize("block_rows", [4096, 8])
+def test_near_copies_of_a_whole_table(spark, block_rows):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for _, t in rows]
+    holders, parent = {}, list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, own in enumerate(sets):  # every pair that shares a shingle, and the empty ones
+        shared = Counter(j for x in own or [None] for j in holders.get(x, ()))
+        for j, n in shared.items():
+            if not own or n + 1e-9 >= 0.8 * (len(own) + len(sets[j]) - n):
+                parent[find(i)] = find(j)
+        for x in own or [None]:
+            holders.setdefault(x, []).append(i)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    got = sorted(r.doc_id for r in simhash.drop_near_copies(docs, block_rows=block_rows).collect())
+    assert got == sorted(least.values())
 
 
 def test_cells_and_tiles_lose_no_copy(spark):
@@ -396,7 +447,7 @@ def test_rows_are_dropped_by_id_and_text(spark):
     rows = [(1, "a b"), (2, "ab"), (2, "only here"), (None, "a b"), (None, "alone"), (None, "alone"), (3, None), (4, "")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, text_sha256 string")
     got = Counter((r.doc_id, r.text) for r in exact_dedup.drop_copies(docs).collect())
-    assert got == Counter([(1, "a b"), (2, "only here"), (None, "alone"), (None, "alone"), (3, None)])
+    assert got == Counter([(1, "a b"), (2, "only here"), (None, "alone"), (3, None)])
 
 
 def test_pipeline_stages_on_odd_and_empty_tables(spark, odd):
@@ -413,8 +464,8 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, odd):
             assert ids == Counter([1, 2, 6, 7, 9, 9, None, 10, 11])
         elif name == "exact_duplicates":  # case matters, so 1 and 2 differ; 3, 4 and 5 are all empty, 5 is the longest
             assert ids == Counter([1, 2, 5, 6, 7, 8, 10, 11])
-        elif name == "near_duplicates":  # 2 and both rows of 9 have the words of 1, 4 and 5 have none like 3; rows without id stay
-            assert ids == Counter([1, 3, 6, 7, 8, None, 10, 11])
+        elif name == "near_duplicates":  # 2, both rows of 9 and that without id have the words of 1, 4 and 5 have none like 3
+            assert ids == Counter([1, 3, 6, 7, 8, 10, 11])
         elif name == "mix_sources":
             assert set(ids) == {i for i, *_ in ROWS}
         else:
