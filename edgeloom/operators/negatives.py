@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from edgeloom.functions.hashing import M, h
+from edgeloom.functions.hashing import draw, h
+
+
+#: Chunks of a batch at most, so that a batch and a chunk make one integer key.
+CHUNKS = 1 << 20
 
 
 def chunk_edges(edges: DataFrame, batch: int, chunks: int) -> DataFrame:
     """Adds ``batch_id``, ``batch_row`` and ``chunk``; the last chunk may be short and is never padded."""
+    if not 0 < chunks <= CHUNKS:
+        raise ValueError(f"1 to {CHUNKS} chunks")
     per = -(-batch // chunks)
     rows = edges.withColumn("batch_id", F.floor(F.col("edge_id") / batch)).withColumn("batch_row", F.col("edge_id") % batch)
     return rows.withColumn("chunk", F.floor(F.col("batch_row") / per))
@@ -22,12 +28,12 @@ def _plan(edges: DataFrame, count: int) -> DataFrame:
 
 
 def _key():
-    return F.col("batch_id") * 4096 + F.col("chunk")
+    return F.col("batch_id") * CHUNKS + F.col("chunk")
 
 
 def uniform(edges: DataFrame, count: int, num_nodes: int, seed: int = 11) -> DataFrame:
     """``batch_id, chunk, pos, neg``: uniform nodes with replacement, shared by the edges of a chunk (and by both sides)."""
-    return _plan(edges, count).withColumn("neg", h(seed, _key(), "pos") % num_nodes)
+    return _plan(edges, count).withColumn("neg", draw(seed, _key(), "pos", num_nodes))
 
 
 def degree_in_batch(edges: DataFrame, count: int, side: str = "dst", seed: int = 12, exclude_chunk: bool = False) -> DataFrame:
@@ -38,13 +44,13 @@ def degree_in_batch(edges: DataFrame, count: int, side: str = "dst", seed: int =
     sizes = edges.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
     spans = edges.groupBy("batch_id", "chunk").agg(F.min("batch_row").alias("start"), F.count(F.lit(1)).alias("length"))
     plan = _plan(edges, count).join(spans, ["batch_id", "chunk"]).join(sizes, "batch_id")
-    draw = h(seed + (side == "src"), _key(), "pos")
+    below = lambda n: draw(seed + (side == "src"), _key(), "pos", n)
     if exclude_chunk:
         other = F.col("rows") - F.col("length")
-        p = draw % F.greatest(other, F.lit(1))
-        row = F.when(other > 0, p + F.when(p >= F.col("start"), F.col("length")).otherwise(0)).otherwise(draw % F.col("rows"))
+        p = below(F.greatest(other, F.lit(1)))
+        row = F.when(other > 0, p + F.when(p >= F.col("start"), F.col("length")).otherwise(0)).otherwise(below(F.col("rows")))
     else:
-        row = draw % F.col("rows")
+        row = below(F.col("rows"))
     plan = plan.withColumn("sampled_row", row).select("batch_id", "chunk", "pos", "sampled_row")
     rows = edges.select("batch_id", F.col("batch_row").alias("sampled_row"), F.col(side).alias("neg"))
     return plan.join(rows, ["batch_id", "sampled_row"])
@@ -55,7 +61,7 @@ def degree_global(edges: DataFrame, degrees: DataFrame, count: int, seed: int =
 
     The lookup is an equi-join on coarse cells of the running sum, not a range join over all nodes.
     """
-    from edgeloom.functions.ranking import by_value, number_rows  # noqa: F401
+    from edgeloom.functions.ranking import by_value
 
     d = degrees.select("node_id", (F.col("out_degree") + F.col("in_degree")).alias("d")).filter("d > 0")
     bucket = by_value(d, "node_id")
@@ -68,12 +74,12 @@ def degree_global(edges: DataFrame, degrees: DataFrame, count: int, seed: int =
     total, nodes = cum.agg(F.max("high"), F.count(F.lit(1))).first()
     width = max(1, (total or 1) // max(1, nodes or 1))
     cells = cum.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
-    draws = _plan(edges, count).withColumn("u", h(seed, _key(), "pos") % (total or 1)).withColumn("cell", F.floor(F.col("u") / width))
+    draws = _plan(edges, count).withColumn("u", draw(seed, _key(), "pos", total or 1)).withColumn("cell", F.floor(F.col("u") / width))
     return draws.join(cells, "cell").filter("u >= low AND u < high").select("batch_id", "chunk", "pos", F.col("node_id").alias("neg"))
 
 
 def mixed(edges: DataFrame, count: int, degree_fraction: float, num_nodes: int, side: str = "dst") -> DataFrame:
-    """``int(count x fraction)`` degree samples first, then uniform ones."""
+    """``int(count x fraction)`` degree samples first, then uniform ones.  A chunk of a batch has its own draws."""
     k = int(count * degree_fraction)
     parts = []
     if k:
@@ -89,7 +95,7 @@ def corrupt(edges: DataFrame, negatives: DataFrame) -> DataFrame:
 
 
 def corrupt_relations(edges: DataFrame, count: int, num_relations: int, seed: int = 14) -> DataFrame:
-    return edges.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("neg_rel", h(seed, "edge_id", "pos") % num_relations)
+    return edges.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("neg_rel", draw(seed, "edge_id", "pos", num_relations))
 
 
 def filter_degree_local(pairs: DataFrame) -> DataFrame:
@@ -97,16 +103,26 @@ def filter_degree_local(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("sampled_row") != F.col("batch_row"))
 
 
-def filter_known(pairs: DataFrame, known: DataFrame, side: str = "dst", same_batch: bool = False) -> DataFrame:
-    """Drop candidates that form an edge of ``known`` (all splits; with ``same_batch`` an edge of the own batch)."""
+def _facts(known: DataFrame, side: str, same_batch: bool, qualifiers: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
     fixed = "src" if side == "dst" else "dst"
-    keys = [fixed, "rel", "neg"] + (["batch_id"] if same_batch else [])
-    facts = known.withColumnRenamed(side, "neg").select(*keys).distinct()
+    keys = [fixed, "rel", "neg", *qualifiers, *["batch_id"] * same_batch]
+    return known.withColumnRenamed(side, "neg").select(*keys).distinct(), keys
+
+
+def filter_known(pairs: DataFrame, known: DataFrame, side: str = "dst", same_batch: bool = False, qualifiers: tuple[str, ...] = ()) -> DataFrame:
+    """Drop candidates that form an edge of ``known`` (all splits; with ``same_batch`` an edge of the own batch).
+
+    Edges of arity 4 or 5 name their further columns in ``qualifiers`` (qval, or qrel and qval): a candidate is known only if
+    those agree too.  An edge all of whose candidates are known has no row left; use ``mask_known`` before ranks and losses."""
+    facts, keys = _facts(known, side, same_batch, qualifiers)
     return pairs.join(facts, keys, "left_anti")
 
 
-def neighbours_drawn(draw: str = "u"):
-    return F.col(draw) / M
+def mask_known(scored: DataFrame, known: DataFrame, side: str = "dst", same_batch: bool = False, qualifiers: tuple[str, ...] = ()) -> DataFrame:
+    """``scored`` with a null score where ``filter_known`` drops the row: such a candidate never counts, and its edge remains."""
+    facts, keys = _facts(known, side, same_batch, qualifiers)
+    rows = scored.join(facts.withColumn("__known", F.lit(True)), keys, "left")
+    return rows.withColumn("score", F.when(F.col("__known").isNull(), F.col("score"))).drop("__known")
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -118,6 +134,6 @@ def batch_sample(edges: DataFrame, count: int, seed: int = 15) -> DataFrame:
     """``batch_id, pos, edge_id, node``: ``count`` random endpoints of a batch with the edges they were taken from."""
     sizes = edges.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
     plan = sizes.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    plan = plan.withColumn("batch_row", h(seed, "batch_id", "pos") % F.col("rows")).drop("rows")
+    plan = plan.withColumn("batch_row", draw(seed, "batch_id", "pos", F.col("rows"))).drop("rows")
     end = F.when(h(seed + 1, "batch_id", "pos") % 2 == 0, F.col("src")).otherwise(F.col("dst"))
     return plan.join(edges.select("batch_id", "batch_row", "edge_id", "src", "dst"), ["batch_id", "batch_row"]).select("batch_id", "pos", "edge_id", end.alias("node"))

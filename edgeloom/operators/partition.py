@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from edgeloom.functions.hashing import h
-from edgeloom.functions.ranking import by_hash, by_value, number_rows
+from edgeloom.functions.ranking import buckets_for, by_hash, by_value, number_in_groups, number_rows
 
 
 def partition_size(num_nodes: int, parts: int) -> int:
@@ -49,17 +49,20 @@ def permuted(edges: DataFrame, permutation: DataFrame) -> DataFrame:
 def shuffled_rank(edges: DataFrame, seed: int, name: str = "place") -> DataFrame:
     """Place of every edge in a full shuffle."""
     rows = edges.withColumn("__h", h(seed, "edge_id"))
-    return number_rows(rows, by_hash(F.col("__h")), ["__h", "edge_id"], name).drop("__h")
+    return number_rows(rows, by_hash(F.col("__h"), buckets_for(edges.count())), ["__h", "edge_id"], name).drop("__h")
 
 
 def split(edges: DataFrame, fractions: tuple[float, ...], seed: int = 1) -> DataFrame:
-    """Adds ``split``: train / valid / test for three fractions, train / test for two, with exact counts; the remainder of
-    rounding down is dropped."""
+    """Adds ``split``: train / valid / test for three fractions, train / test for two, with exact counts.
+
+    The last part ends at the sum of the fractions of all rows, so it takes what rounding down leaves over; rows beyond that sum
+    are in no split and are left out."""
     total = edges.count()
     names = ("train", "valid", "test") if len(fractions) == 3 else ("train", "test")
     label, end = None, 0
     for name, f in zip(names, fractions):
-        end += int(total * f)
+        # rounded: a sum of fractions may lie just below 1
+        end = end + int(total * f) if name != "test" else int(round(sum(fractions), 9) * total)
         label = F.when(F.col("__at") < end, name) if label is None else label.when(F.col("__at") < end, name)
     return shuffled_rank(edges, seed, "__at").withColumn("split", label).drop("__at").filter(F.col("split").isNotNull())
 
@@ -75,11 +78,19 @@ def batches(edges: DataFrame, size: int, row_id: str = "edge_id") -> DataFrame:
 
 def bucket_slices(edges: DataFrame, block: int, seed: int) -> DataFrame:
     """Adds ``slice`` (number inside the bucket) and ``slice_order`` (hash by which slices are streamed)."""
-    own = Window.partitionBy("src_part", "dst_part").orderBy("edge_id")
-    rows = edges.withColumn("slice", F.floor((F.row_number().over(own) - 1) / block))
+    rows = _numbered_in_bucket(edges, "__at").withColumn("slice", F.floor(F.col("__at") / block)).drop("__at")
     return rows.withColumn("slice_order", h(seed, F.col("src_part") * 65536 + F.col("dst_part"), "slice"))
 
 
+#: Row ids of a bucket that are numbered together.
+SLICE_ROWS = 1 << 18
+BUCKET = ["src_part", "dst_part"]
+
+
+def _numbered_in_bucket(edges: DataFrame, name: str) -> DataFrame:
+    return number_in_groups(edges, BUCKET, {"ids": F.floor(F.col("edge_id") / SLICE_ROWS)}, ["edge_id"], name)
+
+
 def active_edges(edges: DataFrame, state_buckets: DataFrame) -> DataFrame:
     """Edges of the given buckets: a semi-join on the partition columns, so only their files are read.  A schedule has at most
     parts x parts buckets, hence the broadcast."""
@@ -100,18 +111,23 @@ def row_range(edges: DataFrame, first: int, count: int, row_id: str = "edge_id")
 
 def ordered_in_bucket(edges: DataFrame, by: str) -> DataFrame:
     """Adds ``place``: position of an edge in its bucket when the bucket is sorted by ``by`` (ties: edge_id)."""
-    own = Window.partitionBy("src_part", "dst_part").orderBy(by, "edge_id")
-    return edges.withColumn("place", F.row_number().over(own) - 1)
+    return number_in_groups(edges, BUCKET, {"end": F.col(by), "ids": F.floor(F.col("edge_id") / SLICE_ROWS)}, [by, "edge_id"], "place")
 
 
 def merge_sorted(base: DataFrame, delta: DataFrame, by: str) -> DataFrame:
-    """Base and delta edges as one table with ``place`` along ``by``, then base before delta, then edge_id."""
+    """Base and delta edges as one table with ``place`` along ``by``, then base before delta, then edge_id.
+
+    Buckets follow ``by``; a bucket is numbered in slices of (by, added, range of ids), so a hub's edges are not one task."""
     both = base.withColumn("added", F.lit(0)).unionByName(delta.withColumn("added", F.lit(1)))
-    return number_rows(both, by_value(both, by), [by, "added", "edge_id"], "place")
+    both = both.withColumn("__range", by_value(both, by))
+    rows = number_in_groups(both, ["__range"], {"end": F.col(by), "added": F.col("added"), "ids": F.floor(F.col("edge_id") / SLICE_ROWS)}, [by, "added", "edge_id"], "__at")
+    sizes = both.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select(F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    rows = rows.join(F.broadcast(starts), F.col("__range").eqNullSafe(F.col("__r")))
+    return rows.withColumn("place", F.col("__start") + F.col("__at")).drop("__range", "__r", "__start", "__at")
 
 
 def every_nth(edges: DataFrame, stride: int) -> DataFrame:
     """Every ``stride``-th edge of each bucket, in order of edge_id."""
-    own = Window.partitionBy("src_part", "dst_part").orderBy("edge_id")
-    rows = edges.withColumn("__at", F.row_number().over(own) - 1)
-    return rows.filter(F.col("__at") % stride == 0).drop("__at")
+    return _numbered_in_bucket(edges, "__at").filter(F.col("__at") % stride == 0).drop("__at")

@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from edgeloom.functions import vectors as V
 
-#: Bytes of a node table up to which it is broadcast as one matrix; beyond it nodes are dealt out in blocks.
-MATRIX_BYTES = 256 << 20
+#: Bytes of a node table up to which it is broadcast as one matrix; a larger one is joined.
+MATRIX_BYTES = 64 << 20
+#: Bytes of the nodes, and queries, that one task of a ranking against all nodes holds.
+BLOCK_BYTES, BLOCK_QUERIES = 64 << 20, 1 << 16
 
 
 def lookup(edges: DataFrame, table: DataFrame, key: str, name: str, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
@@ -72,12 +74,13 @@ def score_negatives(edges: DataFrame, negatives: DataFrame, nodes: DataFrame, re
     """``edge_id, src, rel, pos, neg, pos_score, score`` of every edge (edge_id, batch_id, chunk, src, rel, dst) and each negative of its
     chunk (batch_id, chunk, pos, neg).
 
-    A node table of at most ``MATRIX_BYTES`` is broadcast as a matrix and scored by numpy: then edges move without vectors.
-    A larger one is joined: a chunk's negatives are looked up and gathered once (their number is a parameter), so an edge's
-    own vector is shuffled once and not once for each negative.
+    Edges and negatives without a vector (unknown or null ids) are left out.  A node table of at most ``MATRIX_BYTES`` is
+    broadcast as a matrix and scored by numpy: then edges move without vectors.  A larger one is joined: a chunk's negatives
+    are looked up and gathered once (their number is a parameter), so an edge's own vector is shuffled once and not once for
+    each negative.  Both ways give the same rows.
     """
     first = nodes.select("embedding").first()
-    fits = first is not None and nodes.count() * len(first[0]) * 8 <= MATRIX_BYTES
+    fits = first is not None and nodes.count() * len(first[0]) * 8 <= MATRIX_BYTES and relations.count() * len(first[0]) * 8 <= MATRIX_BYTES
     return (_by_matrix if fits else _by_join)(edges, negatives, nodes, relations, decoder)
 
 
@@ -90,34 +93,49 @@ def _by_join(edges, negatives, nodes, relations, decoder) -> DataFrame:
     return rows.select("edge_id", "src", "rel", "pos_score", F.explode(F.transform("ns", one)).alias("n")).select("edge_id", "src", "rel", "n.pos", "n.neg", "pos_score", "n.score")
 
 
-def _by_matrix(edges, negatives, nodes, relations, decoder) -> DataFrame:
-    def matrix(t):
-        pdf = t.select("vec_id", "embedding").toPandas().sort_values("vec_id")
-        return pdf["vec_id"].to_numpy(), np.array(pdf["embedding"].tolist(), dtype=np.float64)
+def matrix_of(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ids and the matrix of their vectors; the caller has checked the size.  Rows without an id are left out."""
+    t = table.filter(F.col(id_col).isNotNull()).select(id_col, V.doubles(vector).alias("v")).toArrow().combine_chunks()
+    ids, order = t[id_col].to_numpy(), np.argsort(t[id_col].to_numpy(), kind="stable")
+    flat = t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"]
+    return ids[order], flat.flatten().to_numpy().reshape(len(ids), -1)[order]
+
 
-    shared = edges.sparkSession.sparkContext.broadcast((*matrix(nodes), *matrix(relations)))
+def _by_matrix(edges, negatives, nodes, relations, decoder) -> DataFrame:
+    shared = edges.sparkSession.sparkContext.broadcast((*matrix_of(nodes), *matrix_of(relations)))
     op, compare, sign = DECODERS[decoder]
 
+    def place(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(ids, keys), max(0, len(ids) - 1))
+        return at, ids[at] == keys if len(ids) else np.zeros(len(keys), dtype=bool)
+
     def run(batches):
         ids, m, rel_ids, rels = shared.value
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.slice(at, 2048)
-                src, rel, dst = (part.column(i).to_numpy() for i in (1, 2, 3))
-                negs = part.column(5)
-                flat = negs.flatten().to_numpy()
-                width = np.diff(negs.offsets.to_numpy())
-                q = _NUMPY[op](m[np.searchsorted(ids, src)], rels[np.searchsorted(rel_ids, rel)])
-                own = _NUMPY[compare](q, m[np.searchsorted(ids, dst)]) * sign
-                s = _NUMPY[compare](np.repeat(q, width, axis=0), m[np.searchsorted(ids, flat)]) * sign
-                offsets = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
-                scores = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], part.column(4), negs, pa.array(own), scores], names=["edge_id", "src", "rel", "pos", "neg", "pos_score", "score"])
-
-    together = negatives.groupBy("batch_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "neg"))).alias("n"))
+                (src, has_src), (rel, has_rel), (dst, has_dst) = (place(i, part.column(c).to_numpy()) for i, c in ((ids, 1), (rel_ids, 2), (ids, 3)))
+                part = part.filter(pa.array(has_src & has_rel & has_dst))
+                if not len(part):
+                    continue
+                src, rel, dst = (x[has_src & has_rel & has_dst] for x in (src, rel, dst))
+                owner = np.repeat(np.arange(len(part)), np.diff(part.column(5).offsets.to_numpy()))
+                neg, has_neg = place(ids, part.column(5).flatten().to_numpy())
+                q = _NUMPY[op](m[src], rels[rel])
+                own = _NUMPY[compare](q, m[dst]) * sign
+                neg, owner = neg[has_neg], owner[has_neg]
+                s = _NUMPY[compare](q[owner], m[neg]) * sign
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(part)))]).astype(np.int32))
+                kept = [pa.ListArray.from_arrays(offsets, part.column(c).flatten().filter(pa.array(has_neg))) for c in (4, 5)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *kept, pa.array(own), pa.ListArray.from_arrays(offsets, pa.array(s))], names=names)
+
+    names = ["edge_id", "src", "rel", "pos", "neg", "pos_score", "score"]
+    kind = {**dict(edges.dtypes), **{c: f"array<{t}>" for c, t in negatives.dtypes if c in ("pos", "neg")}, "pos_score": "double", "score": "array<double>"}
+    together = negatives.filter("neg IS NOT NULL").groupBy("batch_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "neg"))).alias("n"))
     together = together.select("batch_id", "chunk", F.col("n.pos").alias("pos"), F.col("n.neg").alias("neg"))
-    rows = edges.join(together, ["batch_id", "chunk"]).select("edge_id", "src", "rel", "dst", "pos", "neg")
-    out = rows.mapInArrow(run, "edge_id bigint, src bigint, rel int, pos array<int>, neg array<bigint>, pos_score double, score array<double>")
+    whole = F.col("src").isNotNull() & F.col("rel").isNotNull() & F.col("dst").isNotNull()
+    rows = edges.filter(whole).join(together, ["batch_id", "chunk"]).select("edge_id", "src", "rel", "dst", "pos", "neg")
+    out = rows.mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in names))
     return out.select("edge_id", "src", "rel", "pos_score", F.explode(F.arrays_zip("pos", "neg", "score")).alias("n")).select("edge_id", "src", "rel", "n.pos", "n.neg", "pos_score", "n.score")
 
 
@@ -147,9 +165,9 @@ _NUMPY = {
 
 
 def top_k(scored: DataFrame, k: int, key: str = "edge_id") -> DataFrame:
-    """The k best negatives of each edge (ties: first position)."""
+    """The k best negatives of each edge (ties: first position); masked ones (null score) never count."""
     own = Window.partitionBy(key).orderBy(F.col("score").desc(), "pos")
-    return scored.withColumn("__n", F.row_number().over(own)).filter(F.col("__n") <= k).drop("__n")
+    return scored.filter("score IS NOT NULL").withColumn("__n", F.row_number().over(own)).filter(F.col("__n") <= k).drop("__n")
 
 
 def tournament(scored: DataFrame, n: int, k: int, key: str = "edge_id") -> DataFrame:
@@ -157,12 +175,15 @@ def tournament(scored: DataFrame, n: int, k: int, key: str = "edge_id") -> DataF
     if n % k:
         return top_k(scored, k, key)
     best = F.max(F.struct("score", (-F.col("pos")).alias("p")))
-    return scored.groupBy(key, F.floor(F.col("pos") / (n // k)).alias("grp")).agg(best.alias("b")).select(key, "grp", (-F.col("b.p")).alias("pos"), F.col("b.score").alias("score"))
+    return scored.filter("score IS NOT NULL").groupBy(key, F.floor(F.col("pos") / (n // k)).alias("grp")).agg(best.alias("b")).select(key, "grp", (-F.col("b.p")).alias("pos"), F.col("b.score").alias("score"))
 
 
 def rank(scored: DataFrame, key: str = "edge_id") -> DataFrame:
-    """``key, rank`` = 1 + negatives that score at least as the positive: ties count against it.  NaN scores raise."""
-    bad = F.count_if(F.isnan("score") | F.isnan("pos_score"))
+    """``key, rank`` = 1 + negatives that score at least as the positive: ties count against it.
+
+    Masked negatives (null score) do not count; an edge that has no other ranks first.  A score that is not finite raises."""
+    odd = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    bad = F.count_if(F.coalesce(odd("score"), F.lit(False)) | F.coalesce(odd("pos_score"), F.lit(True)))
     ranks = scored.groupBy(key).agg((F.count_if(F.col("score") >= F.col("pos_score")) + 1).alias("rank"), bad.alias("__bad"))
     return ranks.withColumn("rank", F.when(F.col("__bad") > 0, F.raise_error(F.lit("score is not finite"))).otherwise(F.col("rank"))).drop("__bad")
 
@@ -177,67 +198,97 @@ def metrics(ranks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def all_node_ranks(edges: DataFrame, nodes: DataFrame, relations: DataFrame, decoder: str = "distmult") -> DataFrame:
-    """``edge_id, rank_raw`` of dst against every node, without materialising scores.
+    """``edge_id, rank_raw`` of dst against all other nodes under any decoder, without materialising scores (ties count against it).
 
-    The node table is broadcast as a matrix if it is at most ``MATRIX_BYTES``; else it is dealt into blocks of that size,
-    each a pass over the edges whose counts are added.
+    Nodes are dealt into blocks of ``BLOCK_BYTES``, queries into blocks of at most ``BLOCK_QUERIES``; a task scores one with the
+    other and returns counts, which are added.  Nothing passes the driver but two counts; edges without a vector are left out.
     """
-    dim = len(nodes.first()["embedding"]) if nodes.take(1) else 1
-    count = nodes.count()
-    blocks = max(1, -(-count * dim * 8 // MATRIX_BYTES))
+    head = nodes.first()
+    dim = len(head["embedding"]) if head else 1
+    spread = edges.sparkSession.sparkContext.defaultParallelism
+    own_blocks = max(1, -(-nodes.count() * dim * 8 // BLOCK_BYTES))
+    queries = edges.count()
+    query_blocks = max(1, -(-queries // BLOCK_QUERIES), min(spread // own_blocks, queries // 1024))
     ready = lookup(lookup(lookup(edges.select("edge_id", "src", "rel", "dst"), nodes, "src", "src_e"), relations, "rel", "rel_e"), nodes, "dst", "dst_e")
-    op, compare, _ = DECODERS[decoder]
-    if compare != "dot":
-        raise ValueError("the matrix form needs a dot-product decoder")
-    ready = ready.select("edge_id", V.OPERATORS[op](F.col("src_e"), F.col("rel_e")).alias("q"), "dst_e")
-    parts = []
-    for b in range(blocks):
-        block = nodes if blocks == 1 else nodes.filter(F.pmod("vec_id", F.lit(blocks)) == b)
-        matrix = np.array(block.select("embedding").toPandas()["embedding"].tolist(), dtype=np.float64).reshape(-1, dim)
-        parts.append(ready.mapInArrow(_count_at_least(edges.sparkSession.sparkContext.broadcast(matrix)), "edge_id bigint, n bigint"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("edge_id").agg((F.sum("n") + 1).alias("rank_raw"))
-
-
-def _count_at_least(shared):
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            n = len(batch)
-            q = batch.column(1).flatten().to_numpy().reshape(n, -1)
-            d = batch.column(2).flatten().to_numpy().reshape(n, -1)
-            own = np.einsum("ij,ij->i", q, d)
-            counts = np.zeros(n, dtype=np.int64)
-            for at in range(0, n, 1024):
-                s = q[at : at + 1024] @ m.T
-                # equal vectors must tie although sums are ordered differently
-                counts[at : at + 1024] = (s >= own[at : at + 1024, None] - 1e-9 * np.maximum(1, np.abs(own[at : at + 1024, None]))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts)], names=["edge_id", "n"])
+    op, compare, sign = DECODERS[decoder]
+    q = V.OPERATORS[op](F.col("src_e"), F.col("rel_e"))
+    ready = ready.select("edge_id", q.alias("q"), (V.COMPARATORS[compare](q, F.col("dst_e")) * sign).alias("own"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ready = ready.withColumn("qb", F.pmod(F.xxhash64("edge_id"), F.lit(query_blocks)).cast("int")).withColumn("nb", every(own_blocks))
+    held = nodes.select("vec_id", V.doubles("embedding").alias("e")).withColumn("nb", F.pmod(F.xxhash64("vec_id"), F.lit(own_blocks)).cast("int")).withColumn("qb", every(query_blocks))
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"edge_id": left["edge_id"], "n": pa.array(np.zeros(left.num_rows, dtype=np.int64))})
+        flat = lambda c: pa.concat_arrays(c.chunks).flatten().to_numpy()
+        q, m = flat(left["q"]).reshape(left.num_rows, -1), flat(right["e"]).reshape(right.num_rows, -1)
+        own, counts = left["own"].to_numpy(), np.zeros(left.num_rows, dtype=np.int64)
+        least = own - 1e-9 * np.maximum(1, np.abs(own))  # equal vectors must tie although sums are ordered differently
+        for at in range(0, left.num_rows, 1024):
+            counts[at : at + 1024] = (_against_all(compare, q[at : at + 1024], m) * sign >= least[at : at + 1024, None]).sum(axis=1)
+        return pa.table({"edge_id": left["edge_id"], "n": pa.array(counts)})
+
+    kind = dict(edges.dtypes)["edge_id"]
+    counts = ready.groupBy("nb", "qb").cogroup(held.groupBy("nb", "qb")).applyInArrow(count, f"edge_id {kind}, n bigint")
+    return counts.groupBy("edge_id").agg(F.sum("n").alias("rank_raw"))  # dst itself is one of the nodes that reach its score
 
-    return run
+
+def _against_all(compare: str, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    if compare == "dot":
+        return q @ m.T
+    if compare == "cosine":
+        return (q @ m.T) / np.maximum(np.sqrt(_rows_dot(q, q))[:, None] * np.sqrt(_rows_dot(m, m))[None, :], 1e-300)
+    return np.sqrt(np.maximum(_rows_dot(q, q)[:, None] + _rows_dot(m, m)[None, :] - 2 * (q @ m.T), 1e-8))
+
+
+#: The logarithms of a loss after a sigmoid are bounded, as is usual, so that a saturated score costs this much.
+LOG_BOUND = 100.0
 
 
 def losses(scored: DataFrame, margin: float = 0.1) -> DataFrame:
-    """Per edge: ``softmax_ce, ranking`` and the sums over positive and negatives of ``bce_logits, bce_sigmoid, mse, softplus``.
+    """Per edge: ``softmax_ce, ranking`` and the sums over positive and negatives of ``bce_logits, bce_sigmoid, mse, softplus``; ``n``
+    scores took part.
 
-    ``scored``: edge_id, pos_score, score (one row a negative).
+    ``scored``: edge_id, pos_score, score (one row a negative); masked negatives (null score) add nothing.  No exponential is
+    taken of a large number, so saturated scores lose no term.
     """
     p, s = F.col("pos_score"), F.col("score")
-    sig = lambda x: 1 / (1 + F.exp(-x))
     log1pexp = lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
-    top = scored.groupBy("edge_id", "pos_score").agg(F.max("score").alias("m"), *[f.alias(n) for n, f in {
-        "ranking": F.sum(F.greatest(F.lit(0.0), s - p + margin)), "neg_bce": F.sum(log1pexp(s)), "neg_mse": F.sum(s * s), "neg_sig": F.sum(-F.log(1 - sig(s))), "all": F.collect_list("score")}.items()])
+    bounded = lambda x: F.least(log1pexp(x), F.lit(LOG_BOUND))
+    sums = {"ranking": F.greatest(F.lit(0.0), s - p + margin), "neg_bce": log1pexp(s), "neg_mse": s * s, "neg_sig": bounded(s)}
+    zero = lambda c: F.coalesce(F.sum(F.when(s.isNotNull(), c)), F.lit(0.0))
+    top = scored.groupBy("edge_id", "pos_score").agg(F.max("score").alias("m"), F.count("score").alias("k"), F.collect_list("score").alias("all"), *[zero(f).alias(n) for n, f in sums.items()])
     big = F.greatest("m", "pos_score")
     lse = big + F.log(F.exp(p - big) + F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x - big)))
-    return top.select("edge_id", (lse - p).alias("softmax_ce"), "ranking", (F.col("neg_bce") + log1pexp(-p)).alias("bce_logits"), (F.col("neg_sig") - F.log(sig(p))).alias("bce_sigmoid"), (F.col("neg_mse") + (p - 1) * (p - 1)).alias("mse"), (F.col("neg_bce") + log1pexp(-p)).alias("softplus"))
+    return top.select("edge_id", (lse - p).alias("softmax_ce"), "ranking", (F.col("neg_bce") + log1pexp(-p)).alias("bce_logits"), (F.col("neg_sig") + bounded(-p)).alias("bce_sigmoid"), (F.col("neg_mse") + (p - 1) * (p - 1)).alias("mse"), (F.col("neg_bce") + log1pexp(-p)).alias("softplus"), (F.col("k") + 1).alias("n"))
+
+
+def cross_entropy(predictions: DataFrame) -> DataFrame:
+    """``predictions`` (logits, label) with ``loss``: log-sum-exp of the logits minus that of the label; null if the label is no position."""
+    top = F.array_max("logits")
+    lse = top + F.log(F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    return predictions.withColumn("loss", lse - F.get("logits", F.col("label").cast("int")))
+
+
+#: Losses that take every score as a term of its own; the others have one term an edge.
+BY_SCORE = ("bce_logits", "bce_sigmoid", "mse", "softplus", "ranking")
+
+
+def reduced(rows: DataFrame, name: str, reduction: str = "sum") -> DataFrame:
+    """``loss`` over all edges of ``losses`` by ``sum`` or ``mean``: the mean is over edges for softmax, over negatives for ranking and
+    over scores for the others."""
+    if reduction not in ("sum", "mean"):
+        raise ValueError(f"unknown reduction {reduction}")
+    terms = F.lit(1) if name not in BY_SCORE else F.col("n") - (1 if name == "ranking" else 0)
+    total = F.sum(name)
+    return rows.agg((total if reduction == "sum" else total / F.sum(terms)).alias("loss"))
 
 
 def gan_rewards(scored: DataFrame) -> DataFrame:
-    """Reward 2 (sigmoid(s) - 0.5), softmax within the edge, and the generator's loss -mean(log_softmax x reward x softmax)."""
+    """Reward 2 (sigmoid(s) - 0.5), softmax within the edge, and the generator's loss -mean(log_softmax x reward x softmax).
+    Masked negatives (null score) are left out."""
     own = Window.partitionBy("edge_id")
-    rows = scored.withColumn("m", F.max("score").over(own)).withColumn("z", F.sum(F.exp(F.col("score") - F.col("m"))).over(own))
+    rows = scored.filter("score IS NOT NULL").withColumn("m", F.max("score").over(own)).withColumn("z", F.sum(F.exp(F.col("score") - F.col("m"))).over(own))
     rows = rows.withColumn("log_p", F.col("score") - F.col("m") - F.log("z")).withColumn("reward", 2 * (1 / (1 + F.exp(-F.col("score"))) - 0.5))
     return rows.groupBy("edge_id").agg((-F.avg(F.col("log_p") * F.col("reward") * F.exp("log_p"))).alias("loss"), F.avg("reward").alias("reward"))
 
@@ -248,16 +299,19 @@ def accuracy(predictions: DataFrame) -> DataFrame:
     return predictions.agg(F.round(100 * F.avg((best == F.col("label")).cast("double")), 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
-def both_sides(edges: DataFrame, negatives: DataFrame, nodes: DataFrame, relations: DataFrame, inverse: DataFrame, decoder: str = "distmult") -> DataFrame:
+def both_sides(edges: DataFrame, negatives: DataFrame, nodes: DataFrame, relations: DataFrame, inverse: DataFrame, decoder: str = "distmult", known: DataFrame | None = None) -> DataFrame:
     """Scores of dst and src corruption: those of ``score_negatives`` with ``side``.
 
     The same negatives serve both sides; a source is corrupted by scoring the reversed edge under its inverse relation.
+    Candidates that form an edge of ``known`` on their side are masked.
     """
-    from edgeloom.operators.negatives import reversed_edges
+    from edgeloom.operators.negatives import mask_known, reversed_edges
 
     own = edges.select("edge_id", "batch_id", "chunk", "src", "rel", "dst")
     dst = score_negatives(own, negatives, nodes, relations, decoder).withColumn("side", F.lit("dst"))
     src = score_negatives(reversed_edges(own).select(*own.columns), negatives, nodes, inverse, decoder).withColumn("side", F.lit("src"))
+    if known is not None:
+        dst, src = mask_known(dst, known), mask_known(src, reversed_edges(known))
     return dst.unionByName(src)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions import vectors as V
-from edgeloom.functions.hashing import M, h, h_sql
+from edgeloom.functions.hashing import M, draw_sql, h_sql
 from edgeloom.functions.ranking import by_value, number_rows
 from edgeloom.operators import analyze, checks, gnn, graph, ids, negatives, optim, partition, scoring
 from edgeloom.plans import schedule
@@ -69,7 +69,7 @@ sizes AS (SELECT a.range::INT AS src_part, b.range::INT AS dst_part, count(bk.sr
           LEFT JOIN bk ON bk.src_part = a.range AND bk.dst_part = b.range GROUP BY ALL)"""
 CHUNKED = f"""ch AS (SELECT *, edge_id // {BATCH} AS batch_id, edge_id % {BATCH} AS batch_row, (edge_id % {BATCH}) // {-(-BATCH // CHUNKS)} AS chunk FROM kg),
 plan AS (SELECT batch_id, chunk, pos.range AS pos FROM (SELECT DISTINCT batch_id, chunk FROM ch), range({NEGATIVES}) pos)"""
-KEY = "batch_id * 4096 + chunk"
+KEY = f"batch_id * {negatives.CHUNKS} + chunk"
 HETERO = "het AS (SELECT 'o' || l_orderkey AS src, l_returnflag AS rel, 'p' || l_partkey AS dst, l_linestatus AS qrel, 's' || l_suppkey AS qval FROM lineitem)"
 MAPPED = "raw AS (SELECT DISTINCT unnest([src, dst]) AS raw_id FROM het), map AS (SELECT raw_id, row_number() OVER (ORDER BY md5(raw_id), raw_id) - 1 AS mapped_id FROM raw)"
 
@@ -155,12 +155,12 @@ def bucket_rewrite_perm(spark, d):
 _PLACE = f"pl AS (SELECT edge_id, src, rel, dst, row_number() OVER (ORDER BY {h_sql(1, 'edge_id')}, edge_id) - 1 AS place, count(*) OVER () AS total FROM kg)"
 
 
-@query(f"{KG}, {_PLACE} SELECT edge_id, CASE WHEN place < floor(total * 0.9) THEN 'train' WHEN place < floor(total * 0.9) + floor(total * 0.05) THEN 'valid' ELSE 'test' END AS split FROM pl WHERE place < floor(total * 0.9) + 2 * floor(total * 0.05)")
+@query(f"{KG}, {_PLACE} SELECT edge_id, CASE WHEN place < floor(total * 0.9) THEN 'train' WHEN place < floor(total * 0.9) + floor(total * 0.05) THEN 'valid' ELSE 'test' END AS split FROM pl")
 def split_3way(spark, d):
     return partition.split(kg(spark, d)[0], (0.9, 0.05, 0.05)).select("edge_id", "split")
 
 
-@query(f"{KG}, {_PLACE} SELECT split, count(*) AS n, sum(edge_id)::BIGINT AS ids FROM (SELECT edge_id, CASE WHEN place < floor(total * 0.8) THEN 'train' ELSE 'test' END AS split FROM pl WHERE place < floor(total * 0.8) + floor(total * 0.2)) GROUP BY ALL")
+@query(f"{KG}, {_PLACE} SELECT split, count(*) AS n, sum(edge_id)::BIGINT AS ids FROM (SELECT edge_id, CASE WHEN place < floor(total * 0.8) THEN 'train' ELSE 'test' END AS split FROM pl) GROUP BY ALL")
 def split_2way(spark, d):
     return partition.split(kg(spark, d)[0], (0.8, 0.2)).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("edge_id").alias("ids"))
 
@@ -204,10 +204,10 @@ def partition_hotness(spark, d):
 
 # ---- negatives --------------------------------------------------------------------------------------------------------
 
-_UNI = f"uni AS (SELECT batch_id, chunk, pos, {h_sql(11, KEY, 'pos')} % (SELECT n FROM n) AS neg FROM plan)"
-_DRAW = f"{h_sql(12, KEY, 'pos')}"
+_UNI = f"uni AS (SELECT batch_id, chunk, pos, {draw_sql(11, KEY, 'pos', 'SELECT n FROM n')} AS neg FROM plan)"
+_DRAW = lambda n: draw_sql(12, KEY, "pos", n)
 _DEG = f"""bs AS (SELECT batch_id, count(*) AS rows FROM ch GROUP BY ALL), sp AS (SELECT batch_id, chunk, min(batch_row) AS start, count(*) AS length FROM ch GROUP BY ALL),
-dr AS (SELECT batch_id, chunk, pos, {_DRAW} % rows AS sampled_row FROM plan JOIN bs USING (batch_id)),
+dr AS (SELECT batch_id, chunk, pos, {_DRAW("rows")} AS sampled_row FROM plan JOIN bs USING (batch_id)),
 deg AS (SELECT dr.batch_id, dr.chunk, pos, sampled_row, dst AS neg FROM dr JOIN ch ON ch.batch_id = dr.batch_id AND ch.batch_row = dr.sampled_row)"""
 
 
@@ -222,8 +222,8 @@ def neg_degree_batch(spark, d):
     return negatives.degree_in_batch(chunked(spark, d)[0], NEGATIVES).select("batch_id", "chunk", "pos", "sampled_row", "neg")
 
 
-@query(f"""{KG}, {CHUNKED}, {_DEG}, ex AS (SELECT batch_id, chunk, pos, {_DRAW} AS u, rows, start, length FROM plan JOIN bs USING (batch_id) JOIN sp USING (batch_id, chunk)),
-exr AS (SELECT batch_id, chunk, pos, CASE WHEN rows > length THEN u % (rows - length) + CASE WHEN u % (rows - length) >= start THEN length ELSE 0 END ELSE u % rows END AS sampled_row FROM ex)
+@query(f"""{KG}, {CHUNKED}, {_DEG}, ex AS (SELECT batch_id, chunk, pos, {_DRAW("greatest(rows - length, 1)")} AS u, {_DRAW("rows")} AS any_row, rows, start, length FROM plan JOIN bs USING (batch_id) JOIN sp USING (batch_id, chunk)),
+exr AS (SELECT batch_id, chunk, pos, CASE WHEN rows > length THEN u + CASE WHEN u >= start THEN length ELSE 0 END ELSE any_row END AS sampled_row FROM ex)
 SELECT exr.batch_id, exr.chunk, pos, sampled_row, dst AS neg FROM exr JOIN ch ON ch.batch_id = exr.batch_id AND batch_row = sampled_row""")
 def neg_chunk_exclusion(spark, d):
     return negatives.degree_in_batch(chunked(spark, d)[0], NEGATIVES, exclude_chunk=True).select("batch_id", "chunk", "pos", "sampled_row", "neg")
@@ -231,7 +231,7 @@ def neg_chunk_exclusion(spark, d):
 
 @query(f"""{KG}, {CHUNKED}, dg AS (SELECT node_id, count(*) AS d FROM (SELECT unnest([src, dst]) AS node_id FROM kg) GROUP BY ALL),
 cu AS (SELECT node_id, sum(d) OVER (ORDER BY node_id) - d AS low, sum(d) OVER (ORDER BY node_id) AS high FROM dg),
-u AS (SELECT batch_id, chunk, pos, {h_sql(13, KEY, "pos")} % (SELECT max(high) FROM cu)::BIGINT AS u FROM plan)
+u AS (SELECT batch_id, chunk, pos, {draw_sql(13, KEY, "pos", "SELECT max(high)::BIGINT FROM cu")} AS u FROM plan)
 SELECT batch_id, chunk, pos, node_id AS neg FROM u JOIN cu ON u >= low AND u < high""")
 def neg_degree_global(spark, d):
     e, _ = chunked(spark, d)
@@ -270,7 +270,7 @@ def filter_global(spark, d):
     return negatives.filter_known(pairs, e).groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{KG} SELECT edge_id, pos.range::INT AS pos, {h_sql(14, 'edge_id', 'pos.range')} % 7 AS neg_rel FROM kg, range(3) pos")
+@query(f"{KG} SELECT edge_id, pos.range::INT AS pos, {draw_sql(14, 'edge_id', 'pos.range', '7')} AS neg_rel FROM kg, range(3) pos")
 def neg_relations(spark, d):
     return negatives.corrupt_relations(kg(spark, d)[0], 3, 7).select("edge_id", "pos", "neg_rel")
 
@@ -301,18 +301,20 @@ for _name, _expr in {
 
 
 def scored_negatives(spark, d) -> DataFrame:
-    """edge_id, pos, neg, pos_score, score: globally filtered uniform negatives under DistMult."""
+    """edge_id, pos, neg, pos_score, score: uniform negatives under DistMult, the score of known edges masked."""
     e, n = chunked(spark, d)
     emb, _ = nodes(spark, d)
     own = e.select("edge_id", "batch_id", "chunk", "src", "rel", "dst")
     scored = scoring.score_negatives(own, negatives.uniform(e, NEGATIVES, n), emb, relations(emb))
-    return negatives.filter_known(scored, e).select("edge_id", "pos", "neg", "pos_score", "score")
+    return negatives.mask_known(scored, e).select("edge_id", "pos", "neg", "pos_score", "score")
 
 
-_SC = f"""{KG}, {EMB}, {CHUNKED}, {_UNI}, {_GLOBAL},
+_MASKED = """al AS (SELECT ch.edge_id, uni.pos, uni.neg, EXISTS (SELECT 1 FROM kg k WHERE k.src = ch.src AND k.rel = ch.rel AND k.dst = uni.neg) AS known
+FROM ch JOIN uni USING (batch_id, chunk))"""
+_SC = f"""{KG}, {EMB}, {CHUNKED}, {_UNI}, {_MASKED},
 p AS (SELECT edge_id, a.e AS s, rv AS r, b.e AS t FROM kg JOIN emb a ON a.vec_id = src JOIN emb b ON b.vec_id = dst JOIN rl ON rl.rel = kg.rel),
 q AS (SELECT edge_id, {_HAD} AS q, list_inner_product({_HAD}, t) AS pos_score FROM p),
-sc AS (SELECT edge_id, pos, neg, pos_score, list_inner_product(q, emb.e) AS score FROM ok JOIN q USING (edge_id) JOIN emb ON vec_id = neg)"""
+sc AS (SELECT edge_id, pos, neg, pos_score, CASE WHEN NOT known THEN list_inner_product(q, emb.e) END AS score FROM al JOIN q USING (edge_id) JOIN emb ON vec_id = neg)"""
 
 
 @query(f"{_SC} SELECT edge_id, count_if(score >= pos_score) + 1 AS rank FROM sc GROUP BY ALL")
@@ -326,12 +328,12 @@ def lp_metrics(spark, d):
     return scoring.metrics(scoring.rank(scored_negatives(spark, d)))
 
 
-@query(f"{_SC} SELECT edge_id, pos, neg FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY round(score, 9) DESC, pos) AS k FROM sc) WHERE k <= 3")
+@query(f"{_SC} SELECT edge_id, pos, neg FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY round(score, 9) DESC, pos) AS k FROM sc WHERE score IS NOT NULL) WHERE k <= 3")
 def dns_topk(spark, d):
     return scoring.top_k(scored_negatives(spark, d).withColumn("score", F.round("score", 9)), 3).select("edge_id", "pos", "neg")
 
 
-@query(f"{_SC} SELECT edge_id, pos // 5 AS grp, arg_max(pos, (round(score, 9), -pos)) AS pos FROM sc GROUP BY ALL")
+@query(f"{_SC} SELECT edge_id, pos // 5 AS grp, arg_max(pos, (round(score, 9), -pos)) AS pos FROM sc WHERE score IS NOT NULL GROUP BY ALL")
 def dns_tournament(spark, d):
     return scoring.tournament(scored_negatives(spark, d).withColumn("score", F.round("score", 9)), NEGATIVES, 2).select("edge_id", "grp", F.col("pos").cast("bigint").alias("pos"))
 
@@ -343,13 +345,14 @@ def _loss(name: str):
     return run
 
 
+_SOFTPLUS = lambda x: f"(greatest({x}, 0) + ln(1 + exp(-abs({x}))))"
 _LOSS = {
-    "softmax_ce": "ln(exp(any_value(pos_score)) + sum(exp(score))) - any_value(pos_score)",
-    "ranking": "sum(greatest(0, score - pos_score + 0.1::DOUBLE))",
-    "bce_logits": "sum(greatest(score, 0) + ln(1 + exp(-abs(score)))) + greatest(-any_value(pos_score), 0) + ln(1 + exp(-abs(any_value(pos_score))))",
-    "bce_sigmoid": "sum(-ln(1 - 1 / (1 + exp(-score)))) - ln(1 / (1 + exp(-any_value(pos_score))))",
-    "softplus": "sum(greatest(score, 0) + ln(1 + exp(-abs(score)))) + greatest(-any_value(pos_score), 0) + ln(1 + exp(-abs(any_value(pos_score))))",
-    "mse": "sum(score * score) + (any_value(pos_score) - 1) ** 2",
+    "softmax_ce": "ln(exp(any_value(pos_score)) + coalesce(sum(exp(score)), 0)) - any_value(pos_score)",
+    "ranking": "coalesce(sum(CASE WHEN score IS NOT NULL THEN greatest(0, score - pos_score + 0.1::DOUBLE) END), 0)",
+    "bce_logits": f"coalesce(sum({_SOFTPLUS('score')}), 0) + {_SOFTPLUS('-any_value(pos_score)')}",
+    "bce_sigmoid": f"coalesce(sum(CASE WHEN score IS NOT NULL THEN least({_SOFTPLUS('score')}, 100) END), 0) + least({_SOFTPLUS('-any_value(pos_score)')}, 100)",
+    "softplus": f"coalesce(sum({_SOFTPLUS('score')}), 0) + {_SOFTPLUS('-any_value(pos_score)')}",
+    "mse": "coalesce(sum(score * score), 0) + (any_value(pos_score) - 1) ** 2",
 }
 for _name, _expr in _LOSS.items():
     QUERIES[f"loss_{_name}"] = _loss(_name)
@@ -369,10 +372,10 @@ _TEST = f"{KG}, {_PLACE}, {EMB}, te AS (SELECT edge_id, src, rel, dst FROM pl WH
 
 @query(f"""{_TEST}, q AS (SELECT edge_id, te.src, te.rel, te.dst, list_transform(range(1, 65), lambda i: a.e[i] * rv[i]) AS q FROM te JOIN emb a ON a.vec_id = src JOIN rl ON rl.rel = te.rel),
 ps AS (SELECT q.*, list_inner_product(q, e) AS s FROM q JOIN emb ON vec_id = dst),
-al AS (SELECT edge_id, src, rel, vec_id, list_inner_product(q, e) >= s - 1e-9 * greatest(1, abs(s)) AS hit FROM ps, emb)
-SELECT edge_id, count_if(hit) + 1 AS rank_raw, count_if(hit AND NOT EXISTS (SELECT 1 FROM kg k WHERE k.src = al.src AND k.rel = al.rel AND k.dst = al.vec_id)) + 1 AS rank FROM al GROUP BY edge_id""")
+al AS (SELECT edge_id, src, rel, dst, vec_id, list_inner_product(q, e) >= s - 1e-9 * greatest(1, abs(s)) AS hit FROM ps, emb)
+SELECT edge_id, count_if(hit AND vec_id <> dst) + 1 AS rank_raw, count_if(hit AND NOT EXISTS (SELECT 1 FROM kg k WHERE k.src = al.src AND k.rel = al.rel AND k.dst = al.vec_id)) + 1 AS rank FROM al GROUP BY edge_id""")
 def rank_filtered_all_nodes(spark, d):
-    """The last 5 % in shuffled order are the test set; every node is a candidate."""
+    """The last 5 % in shuffled order are the test set; every node but the edge's own dst is a candidate."""
     e, _ = kg(spark, d)
     emb, _ = nodes(spark, d)
     total = e.count()
@@ -382,7 +385,8 @@ def rank_filtered_all_nodes(spark, d):
     facts = e.select("src", "rel", F.col("dst").alias("neg")).distinct()
     rows = scoring.lookup(scoring.lookup(test, emb, "src", "s"), relations(emb), "rel", "r")
     rows = scoring.lookup(rows, emb, "dst", "t").withColumn("q", V.hadamard(F.col("s"), F.col("r")))
-    rows = scoring.lookup(rows.select("edge_id", "src", "rel", "q", V.dot(F.col("q"), F.col("t")).alias("p")).join(facts, ["src", "rel"]), emb, "neg", "v")
+    rows = rows.select("edge_id", "src", "rel", "dst", "q", V.dot(F.col("q"), F.col("t")).alias("p"))
+    rows = scoring.lookup(rows.join(facts, ["src", "rel"]).filter("neg <> dst"), emb, "neg", "v")
     hit = V.dot(F.col("q"), F.col("v")) >= F.col("p") - 1e-9 * F.greatest(F.lit(1.0), F.abs("p"))
     known = rows.groupBy("edge_id").agg(F.count_if(hit).alias("k"))
     return raw.join(known, "edge_id", "left").select("edge_id", "rank_raw", (F.col("rank_raw") - F.coalesce("k", F.lit(0))).alias("rank"))
@@ -391,35 +395,37 @@ def rank_filtered_all_nodes(spark, d):
 # ---- neighbours and layers --------------------------------------------------------------------------------------------
 
 _BOTH = "nb AS (SELECT src AS node_id, dst AS nbr, edge_id FROM kg UNION ALL SELECT dst, src, edge_id FROM kg)"
+#: All nodes are seeds, in so many batches of neighbouring ids; a batch has its own hops.
+SEED_BATCHES = 8
 
 
-def _khop_sql(keep: str) -> str:
-    step = lambda k, f: f"r{k} AS (SELECT DISTINCT nbr AS node_id FROM ({keep.format(frontier=f, seed=k + 1)}))"
-    return (f"{KG}, {_BOTH}, h0 AS (SELECT vec_id AS node_id FROM embeddings WHERE vec_id % 100 = 7), {step(1, 'h0')}, h1 AS (SELECT * FROM r1 EXCEPT SELECT * FROM h0), "
-            f"{step(2, 'h1')}, h2 AS (SELECT * FROM r2 EXCEPT SELECT * FROM h1 EXCEPT SELECT * FROM h0) SELECT node_id, 0 AS hop FROM h0 UNION ALL SELECT node_id, 1 FROM h1 UNION ALL SELECT node_id, 2 FROM h2")
-
-
-_DROP = "SELECT * FROM nb WHERE node_id IN (SELECT node_id FROM {frontier}) AND "
-_HN = lambda s: h_sql(0, "edge_id", "node_id").replace(" + 1)", f" + {{seed}} * 48271 + 1)")
+def _khop_sql(drawn: Callable[[int], str]) -> str:
+    """Two hops; ``drawn`` gives the sampled neighbours for the seed of a hop."""
+    step = lambda k, f: f"s{k} AS ({drawn(k + 1)}), r{k} AS (SELECT DISTINCT batch_id, nbr AS node_id FROM {f} JOIN s{k} USING (node_id))"
+    return (f"{KG}, {_BOTH}, h0 AS (SELECT vec_id // ((n + {SEED_BATCHES - 1}) // {SEED_BATCHES}) AS batch_id, vec_id AS node_id FROM embeddings, n), "
+            f"{step(1, 'h0')}, h1 AS (SELECT * FROM r1 EXCEPT SELECT * FROM h0), {step(2, 'h1')}, h2 AS (SELECT * FROM r2 EXCEPT SELECT * FROM h1 EXCEPT SELECT * FROM h0) "
+            "SELECT batch_id, node_id, 0 AS hop FROM h0 UNION ALL SELECT batch_id, node_id, 1 FROM h1 UNION ALL SELECT batch_id, node_id, 2 FROM h2")
 
 
 def _seeds(spark, d):
-    return table(spark, d, "embeddings").filter("vec_id % 100 = 7").select(F.col("vec_id").alias("node_id"))
+    emb = table(spark, d, "embeddings")
+    size = partition.partition_size(emb.count(), SEED_BATCHES)
+    return emb.select(F.floor(F.col("vec_id") / size).alias("batch_id"), F.col("vec_id").alias("node_id"))
 
 
-@query(_khop_sql("SELECT * FROM nb WHERE node_id IN (SELECT node_id FROM {frontier})"))
+@query(_khop_sql(lambda seed: "SELECT node_id, nbr FROM nb"))
 def khop_all(spark, d):
-    return graph.khop(_seeds(spark, d), kg(spark, d)[0], 2)
+    return graph.khop(_seeds(spark, d), kg(spark, d)[0], 2, by=("batch_id",))
 
 
-@query(_khop_sql("SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY " + _HN(0) + ", edge_id) AS k FROM nb WHERE node_id IN (SELECT node_id FROM {frontier}) QUALIFY k <= 5"))
+@query(_khop_sql(lambda seed: f"SELECT node_id, nbr FROM nb QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY {h_sql(seed, 'edge_id', 'node_id')}, edge_id, nbr) <= 5"))
 def khop_uniform(spark, d):
-    return graph.khop(_seeds(spark, d), kg(spark, d)[0], 2, "uniform", limit=5)
+    return graph.khop(_seeds(spark, d), kg(spark, d)[0], 2, "uniform", limit=5, by=("batch_id",))
 
 
-@query(_khop_sql(_DROP + _HN(0) + f" >= {int(0.9 * M)}"))
+@query(_khop_sql(lambda seed: f"SELECT node_id, nbr FROM nb WHERE {h_sql(seed, 'edge_id', 'node_id')} >= {int(0.9 * M)}"))
 def khop_dropout(spark, d):
-    return graph.khop(_seeds(spark, d), kg(spark, d)[0], 2, "dropout", rate=0.9)
+    return graph.khop(_seeds(spark, d), kg(spark, d)[0], 2, "dropout", rate=0.9, by=("batch_id",))
 
 
 def _x(spark, d):
@@ -711,7 +717,7 @@ def unique_counts_sorted(spark, d):
 
 
 @query(f"""{KG}, {CHUNKED}, bs AS (SELECT batch_id, count(*) AS rows FROM ch GROUP BY ALL),
-bp AS (SELECT batch_id, pos.range::INT AS pos, {h_sql(15, "batch_id", "pos.range")} % rows AS batch_row, {h_sql(16, "batch_id", "pos.range")} % 2 AS u FROM bs, range(50) pos)
+bp AS (SELECT batch_id, pos.range::INT AS pos, {draw_sql(15, "batch_id", "pos.range", "rows")} AS batch_row, {h_sql(16, "batch_id", "pos.range")} % 2 AS u FROM bs, range(50) pos)
 SELECT batch_id, pos, edge_id, CASE WHEN u = 0 THEN src ELSE dst END AS node FROM bp JOIN ch USING (batch_id, batch_row)""")
 def batch_endpoint_sample(spark, d):
     return negatives.batch_sample(chunked(spark, d)[0], 50)
@@ -721,21 +727,23 @@ def _both(spark, d):
     e, n = chunked(spark, d)
     emb, _ = nodes(spark, d)
     inverse = emb.filter("vec_id BETWEEN 7 AND 13").select((F.col("vec_id") - 7).cast("int").alias("vec_id"), "embedding")
-    return scoring.both_sides(e, negatives.uniform(e, NEGATIVES, n), emb, relations(emb), inverse)
+    return scoring.both_sides(e, negatives.uniform(e, NEGATIVES, n), emb, relations(emb), inverse, known=e)
 
 
 @query(f"""{KG}, {EMB}, iv AS (SELECT vec_id - 7 AS rel, e AS rv FROM emb WHERE vec_id BETWEEN 7 AND 13), {CHUNKED}, {_UNI},
 p AS (SELECT edge_id, a.e AS s, rv AS r, b.e AS t, 'dst' AS side FROM kg JOIN emb a ON a.vec_id = src JOIN emb b ON b.vec_id = dst JOIN rl ON rl.rel = kg.rel
       UNION ALL SELECT edge_id, a.e, rv, b.e, 'src' FROM kg JOIN emb a ON a.vec_id = dst JOIN emb b ON b.vec_id = src JOIN iv ON iv.rel = kg.rel),
 q AS (SELECT edge_id, side, {_HAD} AS q, list_inner_product({_HAD}, t) AS pos_score FROM p),
-sc AS (SELECT edge_id, side, pos_score, list_inner_product(q, emb.e) AS score FROM ch JOIN uni USING (batch_id, chunk) JOIN q USING (edge_id) JOIN emb ON vec_id = neg),
-rk AS (SELECT edge_id, side, count_if(score >= pos_score - 1e-9) + 1 AS rank FROM sc GROUP BY ALL)
+sc AS (SELECT edge_id, side, pos_score, list_inner_product(q, emb.e) AS score,
+       CASE WHEN side = 'dst' THEN (ch.src, ch.rel, neg) IN (SELECT (src, rel, dst) FROM kg) ELSE (neg, ch.rel, ch.dst) IN (SELECT (src, rel, dst) FROM kg) END AS known
+       FROM ch JOIN uni USING (batch_id, chunk) JOIN q USING (edge_id) JOIN emb ON vec_id = neg),
+rk AS (SELECT edge_id, side, count_if(score >= pos_score AND NOT known) + 1 AS rank FROM sc GROUP BY ALL)
 SELECT count(*) AS n, round(avg(1 / rank), 6) AS mrr, round(avg(rank), 6) AS mean_rank, {", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS hits_{k}" for k in scoring.HITS)} FROM rk""")
 def lp_metrics_both_sides(spark, d):
-    return scoring.pooled_metrics(_both(spark, d).withColumn("score", F.col("score") + 1e-9))
+    return scoring.pooled_metrics(_both(spark, d))
 
 
-@query(f"""{KG}, {EMB}, c AS (SELECT edge_id, src, dst, pos.range::INT AS pos, {h_sql(14, "edge_id", "pos.range")} % 7 AS neg_rel FROM kg, range(3) pos),
+@query(f"""{KG}, {EMB}, c AS (SELECT edge_id, src, dst, pos.range::INT AS pos, {draw_sql(14, "edge_id", "pos.range", "7")} AS neg_rel FROM kg, range(3) pos),
 p AS (SELECT edge_id, pos, neg_rel, a.e AS s, rv AS r, b.e AS t FROM c JOIN emb a ON a.vec_id = src JOIN emb b ON b.vec_id = dst JOIN rl ON rl.rel = neg_rel)
 SELECT edge_id, pos, neg_rel, round(list_inner_product({_HAD}, t), 6) AS score FROM p""")
 def score_relation_corruption(spark, d):

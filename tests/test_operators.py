@@ -48,9 +48,11 @@ def test_buckets_with_a_short_last_partition(spark, mini):
 def test_split_counts_and_disjointness(spark):
     e = edges_of(spark, [(i, 0, i + 1) for i in range(103)])
     got = {r["split"]: r["count"] for r in partition.split(e, (0.9, 0.05, 0.05)).groupBy("split").count().collect()}
-    assert got == {"train": 92, "valid": 5, "test": 5}
+    assert got == {"train": 92, "valid": 5, "test": 6}
+    half = partition.split(e, (0.3, 0.1, 0.1)).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in half} == {"train": 30, "valid": 10, "test": 11}
     assert partition.hold_out(e, 10).filter("held_out").count() == 10
-    assert partition.split(e, (0.8, 0.2)).select("edge_id").distinct().count() == 82 + 20
+    assert partition.split(e, (0.8, 0.2)).select("edge_id").distinct().count() == 103
 
 
 def test_degrees_star_and_empty(spark):
