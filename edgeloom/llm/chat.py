@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from edgeloom.llm.common import materialise
+from edgeloom.llm.common import checked_broadcast, materialise, maybe_among
 
 #: Turn numbers that are ordered and hashed together; longer conversations are handled in several runs.
 RUN = 256
@@ -20,58 +20,93 @@ RUN = 256
 PART = 1024
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
+#: A conversation (null is one of its own), and a run of it.
+CONV = ["lost", "cid"]
+KEY = [*CONV, "run", "sub"]
+TURN = [*KEY, "turn", "role"]
+
 
 def _piece() -> Column:
     return F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE + "\n"))
 
 
-def prefix_hashes(conversations: DataFrame) -> DataFrame:
-    """``conv_id, role, text, pos`` (from 1), ``h1, h2``: the hash of turns 1 .. pos.
-
-    Turns are ordered by (turn, role, text), null first; exactly repeated turns count once; null role is ``unknown``, null
-    text empty.  A null conv_id is one conversation of its own.
-    """
-    rows = conversations.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).distinct()
-    rows = rows.withColumn("run", F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 60))).cast("bigint"))
-    own = Window.partitionBy("conv_id", "run").orderBy("turn", "role", "text")
-    rows = rows.withColumn("k", F.row_number().over(own))
-    runs = rows.groupBy("conv_id", "run").agg(F.max("k").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
-    same = (F.col("conv_id").eqNullSafe(F.col("c"))) & (F.col("run") == F.col("r"))
-    rows = rows.join(runs, same).withColumn("pos", F.col("k") + F.col("skip")).drop("c", "r", "k", "skip")
-    rows = rows.withColumn("a", F.xxhash64(F.lit(1), "pos", "role", "text")).withColumn("b", F.xxhash64(F.lit(2), "pos", "role", "text"))
-    own = Window.partitionBy("conv_id", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.groupBy("conv_id", "run").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
-    sums = sums.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), *[F.coalesce(F.bit_xor(x).over(before), F.lit(0)).alias(f"{x}0") for x in ("a", "b")])
-    sums = sums.select("c", "r", "a0", "b0")
-    rows = rows.join(sums, same)
-    return rows.select("conv_id", "role", "text", "pos", *[F.bit_xor(x).over(own).bitwiseXOR(F.col(f"{x}0")).alias(h) for x, h in (("a", "h1"), ("b", "h2"))])
+def _turns(conversations: DataFrame) -> DataFrame:
+    """``TURN`` columns, ``text`` and its two hashes ``a, b``.  Turns without a number come first and are cut into runs by the
+    beginning of their order (role, text), so that none of them is large for lack of numbers."""
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    run = F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 60))).cast("bigint").alias("run")
+    sub = F.when(F.col("turn").isNull(), F.concat("role", F.lit("\0"), F.substring("text", 1, 2))).otherwise(F.lit("")).alias("sub")
+    hashes = [F.xxhash64(F.lit(k), "role", "text").alias(n) for k, n in ((1, "a"), (2, "b"))]
+    return rows.select(F.col("conv_id").isNull().alias("lost"), F.coalesce("conv_id", F.lit(0)).alias("cid"), run, sub, F.coalesce("turn", F.lit(0)).alias("turn"), "role", "text", *hashes)
+
+
+def _in_order(turns: DataFrame) -> DataFrame:
+    """``TURN`` columns, ``a, b`` and ``k``, the place in the run (from 1), of every different turn.
+
+    The rows that are moved have hashes in place of texts.  Texts are compared only where turns of a conversation agree in
+    number and role: those get their order ``t`` from a scan of their own."""
+    slim = turns.select(*TURN, "a", "b").repartition(*KEY).groupBy(*TURN, "a", "b").agg(F.lit(0).alias("t"))
+    ties = materialise(slim.groupBy(*TURN).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    if not ties.isEmpty():
+        some = maybe_among(turns, [F.col(c) for c in TURN], ties).join(ties, TURN, "left_semi").select(*TURN, "a", "b", "text").distinct()
+        order = some.withColumn("t2", F.row_number().over(Window.partitionBy(*TURN).orderBy("text"))).drop("text")
+        slim = slim.join(checked_broadcast(materialise(order)), [*TURN, "a", "b"], "left").withColumn("t", F.coalesce("t2", "t")).drop("t2")
+    return slim.withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy("turn", "role", "t")))
+
+
+def prefix_hashes(turns: DataFrame) -> DataFrame:
+    """``TURN`` columns, ``a, b``, ``pos`` (from 1), ``n_turns``, ``n_runs`` and ``h1, h2``: the hash of turns 1 .. pos.
+
+    One exchange brings the turns of a run together; the numbers and hashes of runs, few rows each, are summed by conversation
+    and joined back to rows that lie where they are."""
+    rows = _in_order(turns)
+    whole, before = Window.partitionBy(*CONV), Window.partitionBy(*CONV).orderBy("run", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy(*KEY).agg(F.max("k").alias("n"))
+    runs = runs.select(*KEY, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"), F.sum("n").over(whole).alias("n_turns"), F.count(F.lit(1)).over(whole).alias("n_runs"))
+    rows = rows.join(runs, KEY).withColumn("pos", F.col("k") + F.col("skip"))
+    rows = rows.withColumn("x", F.xxhash64("pos", "a")).withColumn("y", F.xxhash64("pos", "b"))
+    sums = rows.groupBy(*KEY).agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    sums = sums.select(*KEY, *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("x", "y")])
+    own = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(sums, KEY)
+    return rows.select(*TURN, "a", "b", "pos", "n_turns", "n_runs", *[F.bit_xor(c).over(own).bitwiseXOR(F.col(f"{c}0")).alias(h) for c, h in (("x", "h1"), ("y", "h2"))])
 
 
 def maximal(hashed: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, copies`` of the conversations that no other one has as a proper prefix, one of equal ones."""
-    lengths = hashed.groupBy("conv_id").agg(F.max("pos").alias("n_turns"))
-    same = hashed.alias("h").join(lengths.alias("l"), F.col("h.conv_id").eqNullSafe(F.col("l.conv_id"))).select("h.conv_id", "h.pos", "h.h1", "h.h2", "l.n_turns")
-    whole = same.filter("pos = n_turns").groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
-    prefixes = same.filter("pos < n_turns").select(F.col("pos").alias("n_turns"), "h1", "h2").distinct()
-    return whole.join(prefixes, ["n_turns", "h1", "h2"], "left_anti").select("conv_id", "n_turns", "copies")
+    """``CONV`` columns and ``copies`` of the conversations that no other one has as a proper prefix, one of equal ones."""
+    whole = hashed.filter("pos = n_turns").groupBy("n_turns", "h1", "h2").agg(F.min(F.struct(*CONV)).alias("c"), F.count(F.lit(1)).alias("copies"))
+    prefixes = hashed.filter("pos < n_turns").select(F.col("pos").alias("n_turns"), "h1", "h2").distinct()
+    return whole.join(prefixes, ["n_turns", "h1", "h2"], "left_anti").select("c.*", "copies")
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """One row per retained conversation and ``PART`` turns: ``conv_id, n_turns, copies, part, rendered``.
 
-    ``copies`` counts equal conversations (itself included).  An empty table gives an empty result; columns other than
-    conv_id, turn, role and text are not read.
+    Turns are ordered by (turn, role, text), null first; exactly repeated turns count once; null role is ``unknown``, null
+    text empty; turns may be as long or as many as they like.  A null conv_id is one conversation of its own.  ``copies``
+    counts equal conversations (itself included), of which that with the smallest id stays.  An empty table gives an empty
+    result; columns other than conv_id, turn, role and text are not read.
+
+    Texts move once, and only those of retained conversations: they join their places, and a conversation of one run is
+    rendered where it lies.
     """
-    hashed = materialise(prefix_hashes(conversations))
-    kept = maximal(hashed).alias("k")
-    rows = hashed.alias("h").join(kept, F.col("h.conv_id").eqNullSafe(F.col("k.conv_id"))).select("k.*", "pos", "role", "text")
-    rows = rows.withColumn("part", F.expr(f"int((pos - 1) div {PART})")).withColumn("turn", F.struct("pos", _piece().alias("piece")))
-    parts = rows.groupBy("conv_id", "n_turns", "copies", "part").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    return parts.select("conv_id", "n_turns", "copies", "part", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("rendered"))
+    turns = _turns(conversations)
+    hashed = materialise(prefix_hashes(turns))
+    kept = materialise(maximal(hashed))
+    facts = ["pos", "n_turns", "n_runs", "copies"]
+    places = hashed.join(kept, CONV).select(*TURN, "a", "b", F.lit(None).cast("string").alias("text"), *facts)
+    texts = maybe_among(turns, [F.col(c) for c in CONV], kept.select(*CONV))
+    texts = texts.select(*TURN, "a", "b", "text", *[F.lit(None).cast(places.schema[c].dataType).alias(c) for c in facts])
+    # a join by one exchange: a turn's text and its place meet in a group; repeated turns are one
+    rows = texts.unionByName(places).repartition(*KEY).groupBy(*TURN, "a", "b").agg(*[F.max(c).alias(c) for c in ("text", *facts)]).filter("pos IS NOT NULL")
+    piece = F.struct("pos", _piece().alias("piece"))
+    turned = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda t: t["piece"]), "").alias("rendered")
+    own = [F.max(c).alias(c) for c in ("n_turns", "copies")]
+    part = F.expr(f"int((pos - 1) div {PART})")
+    alone = rows.filter("n_runs = 1").withColumn("part", part).groupBy(*KEY, "part").agg(*own, turned).drop("run", "sub")
+    long = rows.filter("n_runs > 1").withColumn("part", part).groupBy(*CONV, "part").agg(*own, turned)
+    out = alone.unionByName(long)
+    return out.select(F.when(~F.col("lost"), F.col("cid")).alias("conv_id"), "n_turns", "copies", "part", "rendered")
 
 
 ORACLE = f"""

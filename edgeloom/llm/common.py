@@ -1,50 +1,17 @@
-"""Helpers shared by the training-data operators: shared work tables, checked broadcasts, salted joins."""
+"""Helpers shared by the training-data operators: key filters, anti-joins that shuffle few texts, and the work tables of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side with narrow rows may be broadcast (about 10 MB); larger sides are shuffled.
-BROADCAST_ROWS = 100_000
+from edgeloom.functions.work import checked_broadcast, materialise, salted_left_join, work_dir  # noqa: F401
 
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which the cluster shares.
-
-    Only a local session without that setting gets a temporary folder; a cluster without it falls back to the
-    warehouse, which is shared too.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = tempfile.mkdtemp(prefix="edgeloom-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/edgeloom-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = work_dir(df.sparkSession)
-    df.write.parquet(path)
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).deleteOnExit(p)  # when the driver ends; results may read the table until then
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows (counted), else unchanged: then the join shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-#: Bits of a key filter: 4,096 bitmaps of 4 kB (16 MB) at most, whatever the number of keys.
-FILTER_BITS = 1 << 27
+#: Bits of a key filter: 1,024 bitmaps of 4 kB (4 MB) at most, whatever the number of keys.
+FILTER_BITS = 1 << 25
 
 
 def maybe_among(rows: DataFrame, columns: list[Column], keys: DataFrame, negate: bool = False) -> DataFrame:
@@ -99,15 +66,3 @@ def _marked(docs: DataFrame, columns: list[Column]) -> tuple[DataFrame, list[Col
 
 def crc_of_id(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
-
-
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread_by: Column, salts: int = 16) -> DataFrame:
-    """Left join on ``key``; the rows of a hot key are spread over ``salts`` tasks.
-
-    ``right`` has one row a key and is repeated ``salts`` times, so it should hold only keys that occur more than once.
-    Nulls of ``key`` match nothing.
-    """
-    salt = "__salt"
-    spread = left.withColumn(salt, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    repeated = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [key, salt], "left").drop(salt)

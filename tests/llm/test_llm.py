@@ -443,6 +443,22 @@ def test_chat_edges(spark):
     assert [(r.conv_id, r.part) for r in parts] == [(1, 0), (1, 1), (1, 2)] and parts[2].rendered.endswith("\n2999<|im_end|>\n")
 
 
+@pytest.mark.parametrize("run", [256, 2])
+def test_chat_against_sql_on_ties_and_gaps(spark, monkeypatch, run):
+    monkeypatch.setattr(chat, "RUN", run)
+    rng = np.random.default_rng(21)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    rows = [(pick([None, *range(25)]), pick([None, 0, 1, 2, 3, 900]), pick([None, "user", "assistant"]), pick([None, "", "a", "ab", "b" * 300, "ä"])) for _ in range(400)]
+    for c in range(30, 45):  # snapshots of one conversation, with turn numbers that start elsewhere
+        rows += [(c, t + c % 2, "user", f"t{t}") for t in range(c - 28)]
+    got = chat.format_conversations(spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, cid string")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.sql(f"SELECT conv_id, n_turns, copies, part, rendered FROM ({chat.ORACLE})").fetchall()
+    assert Counter(map(tuple, got)) == Counter(want) and len(want) > 20
+
+
 def test_rows_are_dropped_by_id_and_text(spark):
     rows = [(1, "a b"), (2, "ab"), (2, "only here"), (None, "a b"), (None, "alone"), (None, "alone"), (3, None), (4, "")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, text_sha256 string")
