@@ -1,7 +1,7 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-Counting runs on the executors and is summed by (language, bucket); the log-probability matrix, at most ``MAX_LANGS`` x
-``BUCKETS`` doubles, is broadcast; scoring gathers its rows for the n-grams of a batch and adds them up by text.
+Counting runs on the executors and is summed by (language, bucket); the log-probability matrix, at most ``MATRIX_BYTES``,
+is broadcast; scoring gathers its rows for the n-grams of a batch and adds them up by text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,10 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Labelled rows of each language that the fit reads, in expectation (a hash of the id selects them).
 ROWS_PER_LANG = 8_000
-MAX_LANGS = 500
+#: Languages that a model knows at most: those with most rows (ties: first in alphabetical order).
+MAX_LANGS = 4_096
+#: Bytes of the matrix: with many languages it has fewer buckets.
+MATRIX_BYTES = 64 << 20
 #: Characters handled at a time.
 CHUNK = 1 << 18
 UNDETERMINED = "und"
@@ -31,15 +34,21 @@ _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
 @dataclass
 class Model:
     langs: list[str]
-    logp: np.ndarray  # (BUCKETS, languages)
+    logp: np.ndarray  # (buckets, languages)
     prior: np.ndarray
 
 
-def ngrams(text: str):
+def buckets_for(langs: int) -> int:
+    """Buckets of a model: ``BUCKETS``, or the power of two that keeps the matrix within ``MATRIX_BYTES``."""
+    return min(BUCKETS, 1 << ((MATRIX_BYTES // (8 * max(1, langs))).bit_length() - 1))
+
+
+def ngrams(text: str, buckets: int = BUCKETS):
     """Buckets of all n-grams of the whole lower-cased text, chunk by chunk; ASCII characters other than letters are blanks."""
-    longest, shift = max(ORDERS), np.uint64(64 - BUCKETS.bit_length() + 1)
+    longest, shift = max(ORDERS), np.uint64(64 - buckets.bit_length() + 1)
+    text = text.lower()  # as a whole: some letters become two, and some depend on their neighbours
     for at in range(0, len(text), CHUNK):
-        reach = text[max(0, at - longest + 1) : at + CHUNK].lower()
+        reach = text[max(0, at - longest + 1) : at + CHUNK]
         skip = min(at, longest - 1)
         c = np.frombuffer(reach.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         c = np.where(c < 128, _FOLD[np.minimum(c, 127)], c).astype(np.uint64)
@@ -53,29 +62,36 @@ def ngrams(text: str):
 
 
 def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG, smoothing: float = 0.5) -> Model:
-    """Model of ``labelled`` (doc_id, text, lang); rows whose lang or text is null teach nothing.  No rows: a model of no language."""
+    """Model of ``labelled`` (doc_id, text, lang); rows whose lang or text is null teach nothing.  No rows: a model of no language.
+
+    With more than ``MAX_LANGS`` languages the rarest teach nothing; repeated rows count each time."""
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages: the matrix would not be small enough to broadcast")
-    langs = sorted(sizes)
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()}
+    langs, buckets = sorted(sizes), buckets_for(len(sizes))
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, rows_per_lang / sizes[k]))])
-    picked = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    place = {k: i for i, k in enumerate(langs)}
+        return Model([], np.zeros((buckets, 0)), np.zeros(0))
+    shares = F.broadcast(labelled.sparkSession.createDataFrame([(k, i, min(1.0, rows_per_lang / sizes[k])) for i, k in enumerate(langs)], "lang string, place int, share double"))
+    picked = labelled.join(shares, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def count(batches):
-        sums = np.zeros((len(place), BUCKETS), dtype=np.int64)
+        sums = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for b in ngrams(text.as_py()):
-                    sums[place[lang]] += np.bincount(b, minlength=BUCKETS)
-        l, b = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(l.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(sums[l, b])], names=["l", "b", "n"])
-
-    rows = picked.select("lang", "text").mapInArrow(count, "l int, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.full((BUCKETS, len(langs)), smoothing)
+                own = sums.setdefault(lang, np.zeros(buckets, dtype=np.int64))
+                for b in ngrams(text.as_py(), buckets):
+                    own += np.bincount(b, minlength=buckets)
+                if len(sums) > 64:  # a task's counts stay small; they are summed after it
+                    yield from told(sums)
+                    sums = {}
+        yield from told(sums)
+
+    def told(sums):
+        for lang, own in sums.items():
+            b = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), lang, dtype=np.int32)), pa.array(b.astype(np.int32)), pa.array(own[b])], names=["l", "b", "n"])
+
+    rows = picked.select("place", "text").mapInArrow(count, "l int, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.full((buckets, len(langs)), smoothing)
     counts[rows["b"].to_numpy(), rows["l"].to_numpy()] += rows["n"].to_numpy()
     total = sum(sizes.values())
     return Model(langs, np.log(counts / counts.sum(axis=0)), np.log([sizes[k] / total for k in langs]))
@@ -95,7 +111,7 @@ def _totals(texts: list[str], model: Model) -> np.ndarray:
         held, owner, size = [], [], 0
 
     for i, text in enumerate(texts):
-        for b in ngrams(text):
+        for b in ngrams(text, len(model.logp)):
             for at in range(0, len(b), limit):
                 held.append(b[at : at + limit])
                 owner.append(i)
@@ -133,7 +149,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """``docs`` (all columns) whose language is identified with a score of ``least`` or more."""
+    """``docs`` (all columns, whatever their names) whose language is identified with a score of ``least`` or more.
+
+    Null, empty and letter-free texts go, whatever their length; repeated rows stay or go together; an empty table gives an
+    empty result, and a model of no language keeps nothing."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
