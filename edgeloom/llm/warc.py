@@ -15,15 +15,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import materialise, salted_left_join
 
 #: Uncompressed bytes after which a new archive begins; a record is never split.
 ARCHIVE_BYTES = 8 << 20
-#: Bytes of gzip that are inflated at a time.
-PIECE = 1 << 20
+#: Bytes of gzip that are inflated at a time, and bytes that one step may inflate to.
+PIECE, CHUNK = 1 << 20, 8 << 20
 LEVEL = 3
 ID = "urn:x-page:"
 DATE = "1970-01-01T00:00:00Z"  # pages have no time; a fixed one keeps archives reproducible
@@ -62,16 +62,25 @@ def _member(data: bytes) -> bytes:
 
 
 def inflate(data: bytes) -> Iterator[bytes]:
-    """The whole stream once, piece by piece; further members of a file follow on."""
-    z = zlib.decompressobj(31)
-    for at in range(0, len(data), PIECE):
-        piece = data[at : at + PIECE]
+    return inflate_stream(data[at : at + PIECE] for at in range(0, len(data), PIECE))
+
+
+def inflate_stream(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The whole stream once, a bounded chunk at a time; further members of a file follow on.  A stream that ends early raises."""
+    z, begun = zlib.decompressobj(31), False
+    for piece in pieces:
         while piece:
-            yield z.decompress(piece)
-            piece = z.unused_data
-            if piece or z.eof:
-                z = zlib.decompressobj(31)
-    yield z.flush()
+            begun = True
+            yield z.decompress(piece, CHUNK)
+            piece = z.unconsumed_tail
+            while z.eof:
+                piece, z, begun = z.unused_data, zlib.decompressobj(31), False
+                if not piece:
+                    break
+    if begun:
+        yield z.flush()
+        if not z.eof:
+            raise ValueError("the gzip stream ends early")
 
 
 def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -97,15 +106,24 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError(f"the archive ends within a record ({len(held)} bytes left)")
 
 
-def normalise_bytes(data: bytes) -> tuple[bytes, list[tuple[int, int, str]]]:
-    """Archive with a member a record, and (offset, length, record id) of each."""
+def normalised_parts(chunks: Iterator[bytes], part_bytes: int) -> Iterator[tuple[bytes, list[tuple[int, int, str]]]]:
+    """Archives with a member a record, and (offset, length, record id) of each; a new one begins after ``part_bytes``."""
     out, index, at = [], [], 0
-    for record in split_records(inflate(data)):
+    for record in split_records(chunks):
         member = _member(record)
         index.append((at, len(member), parse_record(record)[0]["warc-record-id"].strip("<>")))
         out.append(member)
         at += len(member)
-    return b"".join(out), index
+        if at >= part_bytes:
+            yield b"".join(out), index
+            out, index, at = [], [], 0
+    if index:
+        yield b"".join(out), index
+
+
+def normalise_bytes(data: bytes) -> tuple[bytes, list[tuple[int, int, str]]]:
+    """The whole archive with a member a record, and its index."""
+    return next(normalised_parts(inflate(data), 1 << 62), (b"", []))
 
 
 def write_monolithic(records: DataFrame) -> DataFrame:
@@ -135,19 +153,45 @@ def write_monolithic(records: DataFrame) -> DataFrame:
     return records.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "archive string, data binary")
 
 
-def normalise(archives: DataFrame) -> DataFrame:
-    """(archive, data) -> (archive, data, cdx); ``cdx`` is the sidecar: a line ``offset length record-id`` a record."""
+def normalise(archives: DataFrame, part_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """(archive, data) -> (archive, data, cdx); ``cdx`` is the sidecar: a line ``offset length record-id`` a record.
+
+    A long archive becomes several, each of about ``part_bytes`` and with an index of its own (``<archive>``,
+    ``<archive>-00001``, ...), so a task holds its input, one part and one record, whatever the stream inflates to."""
 
     def run(batches):
         for batch in batches:
             for name, data in zip(*batch.columns):
-                body, index = normalise_bytes(data.as_py())
-                cdx = "".join(f"{a} {n} {i}\n" for a, n, i in index)
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.string()), pa.array([body], pa.binary()), pa.array([cdx], pa.string())], names=["archive", "data", "cdx"])
+                for k, (body, index) in enumerate(normalised_parts(inflate(data.as_py()), part_bytes)):
+                    cdx = "".join(f"{a} {n} {i}\n" for a, n, i in index)
+                    own = name.as_py() if not k else f"{name.as_py()}-{k:05d}"
+                    yield pa.RecordBatch.from_arrays([pa.array([own], pa.string()), pa.array([body], pa.binary()), pa.array([cdx], pa.string())], names=["archive", "data", "cdx"])
 
     return archives.select("archive", "data").mapInArrow(run, "archive string, data binary, cdx string")
 
 
+def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``archive, data`` of ``.warc.gz`` files in any store that Spark reads, whether one gzip stream or a member a record.
+
+    A file is one value, so it may have up to 2 GB; ``normalise_file`` streams larger ones."""
+    files = spark.read.format("binaryFile").load(path)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(\.warc)?(\.gz)?$", "")
+    return files.select(name.alias("archive"), F.col("content").alias("data"))
+
+
+def normalise_file(source, target, sidecar_target) -> int:
+    """Normalise an archive from one open binary file into another, with its index as JSON lines; returns the number of records.
+
+    For archives of any size: only a piece of gzip, a part and a record are in memory."""
+    start = count = 0
+    for body, index in normalised_parts(inflate_stream(iter(lambda: source.read(PIECE), b"")), ARCHIVE_BYTES):
+        target.write(body)
+        for a, n, i in index:
+            sidecar_target.write((json.dumps({"offset": start + a, "length": n, "record_id": i}) + "\n").encode())
+        start, count = start + len(body), count + len(index)
+    return count
+
+
 def read_records(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """Records by their offsets: page_id, payload_bytes, payload_digest, record_type, refers_to (and the payload of responses).
 
@@ -181,10 +225,11 @@ def read_records(archives: DataFrame, payloads: bool = False) -> DataFrame:
 
 def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``page_id, url, payload, refers_to``: of pages with equal payloads of at least ``least_bytes``, that with the largest
-    page_id is the original and the others refer to it.  Only payloads that occur more than once enter the join's right side;
-    rows of a very common one are spread over tasks."""
+    page_id is the original and the others refer to it.  Equal by SHA-256: the SHA-1 of the header has known collisions, and
+    such payloads both stay.  Only payloads that occur more than once enter the join's right side; rows of a very common one
+    are spread over tasks."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     seen = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("original"))
     several = materialise(seen.filter("n > 1").select("digest", "original"))
     joined = salted_left_join(rows, several, "digest", F.xxhash64("page_id", "url"))
@@ -223,3 +268,14 @@ def export(archives: DataFrame, folder: str) -> None:
                     f.write(json.dumps({"offset": int(at), "length": int(n), "record_id": i}) + "\n")
 
     archives.select("archive", "data", "cdx").foreachPartition(put)
+
+
+# SHA-1 as base32: 5 hexadecimal digits are 4 letters
+ORACLE = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+o AS (SELECT sha256(body) AS k, max(page_id) AS original FROM p GROUP BY ALL),
+r AS (SELECT p.page_id, octet_length(body)::BIGINT AS payload_bytes, upper(sha1(body)) AS x, CASE WHEN original IS DISTINCT FROM page_id THEN original END AS refers_to FROM p JOIN o ON o.k = sha256(body)),
+v AS (SELECT *, list_transform(range(0, 40, 5), lambda i: list_reduce(list_transform(range(1, 6), lambda j: strpos('0123456789ABCDEF', substr(x, (i + j)::BIGINT, 1)) - 1), lambda a, b: a * 16 + b)) AS fives FROM r)
+SELECT page_id, payload_bytes, array_to_string(list_transform(fives, lambda f: array_to_string(list_transform([32768, 1024, 32, 1], lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((f // d) % 32 + 1)::BIGINT, 1)), '')), '') AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM v
+"""
