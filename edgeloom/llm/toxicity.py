@@ -2,7 +2,7 @@
 
 Per-coordinate learning rates and L1 leave a short list of weights, which is broadcast as a dense table of ``DIMS`` floats
 (4 MB).  The fit streams a bounded sample of labelled rows through one task, which first compares ``SETTINGS`` on rows of the
-sample that it keeps aside and then learns from all of them; scoring is a map over all texts.
+sample that it keeps aside, calibrates the scores on them and then learns from all; scoring is a map over all texts.
 """
 
 from __future__ import annotations
@@ -23,10 +23,13 @@ DIMS = 1 << 20
 #: Labelled rows that the fit reads, in expectation (a hash of the id selects them).
 MAX_ROWS = 16_000
 THRESHOLD = 0.7
-#: (alpha, l1) among which a fit chooses by the log-loss on the rows kept aside; the first of equal ones.
-SETTINGS = ((1.0, 4.0), (4.0, 4.0), (4.0, 8.0))
+#: (alpha, l1) among which a fit chooses by the log-loss on the rows kept aside, the first of equal ones: powers of two around
+#: 1 that were fixed before any score was looked at.
+SETTINGS = ((0.5, 2.0), (2.0, 2.0), (0.5, 8.0), (2.0, 8.0))
 #: One text in so many of the sample is kept aside (a hash of the text decides, so copies stay together).
 ASIDE = 5
+#: Passes over the rows of a fit, and of each trial of a setting.
+PASSES, TRIAL_PASSES = 6, 3
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -108,11 +111,30 @@ def learnt(rows: list[tuple[np.ndarray, int]], alpha: float, l1: float, passes:
     return model.weights(np.arange(DIMS + 1))
 
 
-def fit(labelled: DataFrame, passes: int = 6) -> np.ndarray:
+def calibration(scores: np.ndarray, labels: np.ndarray, prior: float = 1.0) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve that fits ``labels`` best (Platt), drawn towards 1 and 0 by ``prior`` rows' worth.
+
+    Newton's method; without both labels 1 and 0."""
+    if not 0 < labels.sum() < len(labels):
+        return 1.0, 0.0
+    t, x = np.array([1.0, 0.0]), np.stack([np.clip(scores, -35, 35), np.ones(len(scores))], axis=1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ t, -35, 35)))
+        g = x.T @ (p - labels) + prior * (t - [1.0, 0.0])
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + prior * np.eye(2), g)
+        t = t - step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(t[0]), float(t[1])) if t[0] > 0 else (1.0, 0.0)
+
+
+def fit(labelled: DataFrame, passes: int = PASSES) -> np.ndarray:
     """Weights (``DIMS`` + 1 floats, intercept last) learnt from ``labelled`` (doc_id, text, toxic), labels null are no labels.
 
     All rows go through one task, so ``labelled`` should come from ``labelled_sample``.  The order of learning is a hash of
-    the id, so the weights do not depend on partitions.  No rows: all zero.
+    the id, so the weights do not depend on partitions.  Rows kept aside choose the setting and then set the slope and
+    intercept of the scores, so that a score is a probability; the weights learnt from all rows are scaled by them.  Null and
+    empty texts teach the intercept.  No rows: all zero.
     """
     aside = (F.pmod(F.xxhash64("text"), F.lit(ASIDE)) == 0).alias("aside")
     sample = labelled.filter(F.col("toxic").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "text", F.col("toxic").cast("int").alias("y"), aside)
@@ -124,8 +146,13 @@ def fit(labelled: DataFrame, passes: int = 6) -> np.ndarray:
             kept += batch.column(3).to_pylist()
         test = [r for r, k in zip(rows, kept) if k]
         rest = [r for r, k in zip(rows, kept) if not k]
-        best = min(SETTINGS, key=lambda s: log_loss(learnt(rest, *s, passes), test)) if test and rest else SETTINGS[0]
-        w = learnt(rows, *best, passes)
+        best, slope, shift = SETTINGS[0], 1.0, 0.0
+        if test and rest:
+            best = min(SETTINGS, key=lambda s: log_loss(learnt(rest, *s, min(passes, TRIAL_PASSES)), test))
+            w = learnt(rest, *best, passes)
+            slope, shift = calibration(np.array([w[i].sum() + w[-1] for i, _ in test]), np.array([y for _, y in test]))
+        w = slope * learnt(rows, *best, passes)
+        w[-1] += shift if rows else 0
         every = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(every.astype(np.int32)), pa.array(w[every])], names=["i", "w"])
 
@@ -137,11 +164,12 @@ def fit(labelled: DataFrame, passes: int = 6) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """About ``max_rows`` (at most all) labelled ids with their texts.  The sampled labels are few enough to broadcast.  An id
-    gives one row for each label it has, however often it occurs; of several texts the least one is taken."""
-    labels = labels.filter(F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    """About ``max_rows`` (at most all) labelled ids with their texts: as many *different* (id, label) rows, however often ``labels``
+    repeats them.  The sampled labels are few enough to broadcast.  An id gives one row for each label it has, however often
+    it occurs; of several texts the least one is taken (null if it has no other).  Null ids and labels are left out."""
+    labels = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
     share = min(1.0, max_rows / max(1, labels.count()))
-    picked = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
+    picked = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
