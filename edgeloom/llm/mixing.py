@@ -81,18 +81,21 @@ def exponent(sources: DataFrame, entropy: float = ENTROPY, repeats: float = REPE
     return max(by_entropy, by_repeats)
 
 
-def plan(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
+def plan(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None) -> DataFrame:
     """``source, block, pass, place``: the passes of every block and its place in the pass, from 0 to 1.
 
-    At most sources x ``BLOCKS`` x passes rows.
+    ``budget`` is the number of tokens to draw in all, dealt to the sources by their weights; a source that gets less than
+    its size gives whole blocks of its permutation while they fit.  Without one it is the smallest that gives every source a
+    whole pass.  At most sources x ``BLOCKS`` x passes rows.
     """
     blocks = materialise(docs.select("source", block_of().alias("block"), tokens().alias("t")).groupBy("source", "block").agg(F.sum("t").alias("t")))
     sums = materialise(blocks.groupBy("source").agg(F.sum("t").alias("tokens")))
     some = sums.filter("tokens > 0")
     e = exponent(some, entropy, repeats)
     u = F.pow(F.col("tokens").cast("double"), F.lit(e)) / F.col("tokens")
-    least = some.agg(F.min(u)).first()[0] or 1.0
-    take = F.when(F.col("tokens") > 0, F.floor(u / F.lit(least) * F.col("tokens") + 0.5)).otherwise(0).cast("bigint")
+    least, weight = some.agg(F.min(u), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(e)))).first()
+    per_token = u / F.lit(least or 1.0) if budget is None else u * F.lit(budget / (weight or 1.0))
+    take = F.when(F.col("tokens") > 0, F.floor(per_token * F.col("tokens") + 0.5)).otherwise(0).cast("bigint")
     sums = sums.select("source", "tokens", take.alias("take"))
     passes = F.when(F.col("tokens") > 0, F.expr("take div tokens")).otherwise(1)
     sums = sums.select("source", passes.alias("passes"), F.when(F.col("tokens") > 0, F.col("take") % F.col("tokens")).otherwise(0).alias("rest"))
@@ -104,30 +107,29 @@ def plan(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) ->
     return rows.withColumn("fits", fits).withColumn("place", place).filter("fits").select("source", "block", "pass", "place")
 
 
-def draws(docs: DataFrame, columns: list[str], entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
-    """``columns`` of every drawn row with ``pass`` and ``place``.  The plan is broadcast if it is small, else shuffled by
-    (source, block), which spreads a hot source over ``BLOCKS`` keys."""
-    p = checked_broadcast(materialise(plan(docs, entropy, repeats))).select(F.col("source").alias("__s"), F.col("block").alias("__b"), F.col("pass").alias("__pass"), F.col("place").alias("__place"))
-    left = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("source").alias("__source"), block_of().alias("__block"))
-    on = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b"))
-    return left.join(p, on).drop("__source", "__block", "__s", "__b")
+def draws(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None) -> DataFrame:
+    """``row`` (all columns of ``docs``, whatever their names) of every drawn row, with ``block``, ``pass`` and ``place``.  The plan is
+    broadcast if it is small, else shuffled by (source, block), which spreads a hot source over ``BLOCKS`` keys."""
+    p = checked_broadcast(materialise(plan(docs.select("doc_id", "text", "source"), entropy, repeats, budget)))
+    left = docs.select(F.struct("*").alias("row"), F.col("source").alias("own"), block_of().alias("in_block"))
+    return left.join(p, F.col("own").eqNullSafe(F.col("source")) & (F.col("in_block") == F.col("block"))).select("row", "block", "pass", "place")
 
 
-def mixture(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
+def mixture(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None) -> DataFrame:
     """One row per draw: ``doc_id, source, tokens, block, pass, place``.  Sorted by (pass, place) it is a mixed stream.
 
-    Every document is drawn at least once: no source is cut below a full pass.  Null is a source of its own; sources without
+    Without a ``budget`` every document is drawn at least once: no source is cut below a full pass.  Null is a source of its own; sources without
     any word get one pass.  Null texts count no tokens.  Repeated rows are drawn alike.  One source or an empty table: each row
     once.  Columns other than doc_id, text and source are not read.
     """
-    own = docs.select("doc_id", "text", "source")
-    drawn = draws(own, ["doc_id", "source", "text"], entropy, repeats)
-    return drawn.select("doc_id", "source", tokens().alias("tokens"), block_of().alias("block"), F.col("__pass").alias("pass"), F.round("__place", 6).alias("place"))
+    drawn = draws(docs.select("doc_id", "text", "source"), entropy, repeats, budget)
+    return drawn.select("row.*", "block", "pass", "place").select("doc_id", "source", tokens().alias("tokens"), "block", "pass", F.round("place", 6).alias("place"))
 
 
-def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
-    """The drawn rows with the columns of ``docs``."""
-    return draws(docs, docs.columns, entropy, repeats).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None) -> DataFrame:
+    """The drawn rows with the columns of ``docs``, whatever their names: without a budget every row at least once, null and empty texts
+    too; rows without ``doc_id`` are one block of their source; repeated rows are drawn alike; an empty table gives an empty result."""
+    return draws(docs, entropy, repeats, budget).select("row.*")
 
 
 def _sql_spread(a: str, b: str, seed: int) -> str:
