@@ -136,16 +136,20 @@ class Codec:
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None, ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``) for every document, with the columns in ``keep``.
 
-    Null and empty texts have no ids and the digests of nothing.  Very long texts are pre-tokenised in slices.  Repeated rows
+    ``keep`` may not name a column of the result.  Null and empty texts have no ids and the digests of nothing.  Very long texts are pre-tokenised in slices.  Repeated rows
     are kept; an empty table gives an empty result.  ``path`` is read on the driver; the vocabulary (under 1 MB) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast((read_ranks(path), pattern))
     keep = list(dict.fromkeys(["doc_id", *(keep or [])]))
+    if clash := {"n_tokens", "ids_sha256", "decoded_sha256", "ids"}.intersection(c.lower() for c in keep):
+        raise ValueError(f"columns that the result has itself can't be kept: {sorted(clash)}")
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
+    version = hashlib.md5(b"\0".join(shared.value[0]) + pattern.encode()).hexdigest()
+
     def run(batches):
-        codec = Codec(*shared.value)
+        codec = _codec(version, shared)
         for batch in batches:
             for at, packed in _encoded(codec, batch.column(0)):
                 columns = [
@@ -162,6 +166,17 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str] |
     return docs.select("text", *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def _codec(version: str, shared) -> Codec:
+    """One codec a worker, with the pre-tokens that it has met: the tasks that follow find it."""
+    if version not in _codecs:
+        _codecs.clear()
+        _codecs[version] = Codec(*shared.value)
+    return _codecs[version]
+
+
 def _encoded(codec: Codec, column: pa.Array):
     """(first row, packed ids of it and the following rows): a few MB of text at a time."""
     held, size, first = [], 0, 0
