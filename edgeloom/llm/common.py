@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.functions.work import checked_broadcast, materialise, salted_left_join, work_dir  # noqa: F401
+from edgeloom.functions.work import checked_broadcast, made, materialise, release, salted_left_join, work_dir  # noqa: F401
 
 #: Bits of a key filter: 1,024 bitmaps of 4 kB (4 MB) at most, whatever the number of keys.
 FILTER_BITS = 1 << 25

@@ -64,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op2_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op2_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op8_sharding": sharding.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}

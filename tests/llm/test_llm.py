@@ -294,6 +294,73 @@ def test_language_id(spark, odd):
     assert sorted(r.doc_id or 0 for r in langid.keep_identified(odd, model).collect()).count(3) == 0
 
 
+def brute_ngrams(text, buckets):
+    """Buckets of all 1- to 3-grams, a character at a time, with Python's integers."""
+    c = [32] + [ord(x) if ord(x) > 127 or x.isalpha() else 32 for x in text.lower()]
+    out = []
+    for end in range(len(c)):
+        for n in (1, 2, 3):
+            if end - n + 1 >= 0:
+                code = 0
+                for k in range(1, n + 1):  # the last character is added last, with the order
+                    code = (code * 0x100000001B3 + c[end - n + k] + k) % (1 << 64)
+                out.append((code * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - buckets.bit_length() + 1))
+    return out
+
+
+def test_language_model_against_brute_force(spark, monkeypatch):
+    assert Counter(np.concatenate(list(langid.ngrams("Ab İ1é😀ΑΣ"))).tolist()) == Counter(brute_ngrams("Ab İ1é😀ΑΣ", langid.BUCKETS))
+    monkeypatch.setattr(langid, "CHUNK", 3)
+    assert Counter(np.concatenate(list(langid.ngrams("Ab İ1é😀ΑΣ"))).tolist()) == Counter(brute_ngrams("Ab İ1é😀ΑΣ", langid.BUCKETS))
+    rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (2, "der hund und die katze", "de"), (3, "le chat", "fr"), (4, None, "fr"), (5, "zzz", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    learnt = [(t, l) for _, t, l in rows if t and l]
+    counts = {l: Counter(b for t, x in learnt if x == l for b in brute_ngrams(t, langid.BUCKETS)) for l in ("de", "en", "fr")}
+    for text in ("the hund", "chat le", "und", "cat cat katze"):
+        want = []
+        for l in ("de", "en", "fr"):
+            total = sum(counts[l].values()) + 0.5 * langid.BUCKETS
+            want.append(math.log(sum(x == l for _, x in learnt) / len(learnt)) + sum(math.log((counts[l][b] + 0.5) / total) for b in brute_ngrams(text, langid.BUCKETS)))
+        row = langid.predict(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model).first()
+        best = max(range(3), key=lambda i: want[i])
+        assert row.lang_pred == ("de", "en", "fr")[best] and row.score == pytest.approx(1 / sum(math.exp(w - want[best]) for w in want))
+
+
+def test_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 3 * 8 * 1024)
+    docs = spark.createDataFrame([(i, f"words of x{i % 5}", f"l{i % 5}") for i in range(23)], "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)  # l0, l1, l2 have five rows each, l3 and l4 four
+    assert model.langs == ["l0", "l1", "l2"] and model.logp.shape == (1024, 3)
+    assert {r.lang_pred for r in langid.predict(docs, model).collect()} <= set(model.langs)
+
+
+def test_archives_from_files(spark, tmp_path):
+    import io
+    import json
+
+    raw = [warc.make_record(i, f"http://x/{i}", b"payload %d " % i * (i + 1)) for i in range(40)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.warc.gz").write_bytes(gzip.compress(b"".join(raw)))
+    (tmp_path / "in" / "two.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in raw[:5]))
+    archives = warc.read_archives(spark, str(tmp_path / "in" / "*.warc.gz"))
+    normal = warc.normalise(archives, part_bytes=2000).cache()
+    names = sorted(r.archive for r in normal.collect())
+    assert names[0] == "one" and "one-00001" in names and names[-1] == "two"
+    got = Counter((r.page_id, r.payload) for r in warc.read_records(normal, payloads=True).collect())
+    assert got == Counter([(i, b"payload %d " % i * (i + 1)) for i in [*range(40), *range(5)]])
+    out, side = io.BytesIO(), io.BytesIO()
+    assert warc.normalise_file(io.BytesIO((tmp_path / "in" / "one.warc.gz").read_bytes()), out, side) == 40
+    index = [json.loads(x) for x in side.getvalue().decode().splitlines()]
+    assert [gzip.decompress(out.getvalue()[x["offset"] : x["offset"] + x["length"]]) for x in index] == raw
+    with pytest.raises(ValueError):
+        warc.normalise_bytes(gzip.compress(b"".join(raw))[:-20])
+    assert warc.normalise_bytes(gzip.compress(b"")) == (b"", [])
+    warc.export(normal, str(tmp_path))
+    assert gzip.decompress(b"".join((tmp_path / f"{n}.warc.gz").read_bytes() for n in names if n.startswith("one"))) == b"".join(raw)
+
+
 def test_warc(spark):
     pages = [(1, "http://a/", "<p>x</p>"), (2, "http://b/\r\nEvil: 1", "<p>x</p>"), (5, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (6, "u", "ä" * 300_000), (7, "u", "WARC/1.1\r\n\r\nContent-Length: 5"), (7, "u", "other"), (None, "u", "<p>x</p>"), (None, "u", "alone")]
     t = spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, original string")
@@ -330,6 +397,46 @@ def test_toxicity(spark, odd):
     assert all(r.score == pytest.approx(bias) for r in rows if r.doc_id in (3, 4, 5))
 
 
+def test_online_learning_against_plain_python(spark):
+    rng = np.random.default_rng(17)
+    rows = [(np.unique(rng.integers(0, 30, 6)), int(rng.integers(2))) for _ in range(60)]
+    z, n = Counter(), Counter()
+
+    def weight(i, l1=2.0):
+        l1 = 0 if i == toxicity.DIMS else l1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((1 + math.sqrt(n[i])) / 0.5)
+
+    for _ in range(3):
+        for features, y in rows:
+            every = [*features.tolist(), toxicity.DIMS]
+            w = {i: weight(i) for i in every}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in every:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5 * w[i]
+                n[i] += g * g
+    got = toxicity.learnt(rows, 0.5, 2.0, 3)
+    assert [got[i] for i in (*range(30), toxicity.DIMS)] == pytest.approx([weight(i) for i in (*range(30), toxicity.DIMS)])
+    assert np.count_nonzero(got) <= 31
+
+
+def test_calibration():
+    rng = np.random.default_rng(18)
+    s = rng.normal(0, 2, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(2.5 * s - 1)))).astype(int)
+    slope, shift = toxicity.calibration(s, y)
+    assert abs(slope - 2.5) < 0.3 and abs(shift + 1) < 0.3
+    assert toxicity.calibration(s, np.zeros(4000)) == (1.0, 0.0) == toxicity.calibration(s[:0], y[:0])
+    assert toxicity.calibration(np.array([-5.0, 5.0]), np.array([1, 0])) == (1.0, 0.0)  # never turned round
+
+
+def test_repeated_labels_do_not_thin_the_sample(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic"))
+    many = labels.crossJoin(spark.range(50).select(F.lit(1))).select("doc_id", "toxic")
+    assert toxicity.labelled_sample(docs, many, 200).count() == 200
+    assert toxicity.labelled_sample(docs, many.withColumn("toxic", F.lit(None).cast("int")), 200).count() == 0
+
+
 def test_media(odd):
     rows = media.text_media(odd).collect()
     text = {i: (t or "").encode() for i, t, _ in ROWS}
@@ -385,6 +492,36 @@ def test_shards_hold_every_row_once(spark, tmp_path):
     assert set(sizes) == {0, 1, 2} and max(sizes.values()) - min(sizes.values()) <= 1
 
 
+def test_many_copies_of_a_row_are_sharded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 4)
+    rows = [(7, "same", "en", "s")] * 41 + [(i, f"t{i}", "en", "s") for i in range(9)] + [(None, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = sharding.assign(docs, 5).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    for s in range(5):
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own))) and len(own) in (10, 11)
+    sharding.write_shards(docs, str(tmp_path / "out"), 5)
+    assert Counter(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*docs.columns).collect()) == Counter(rows)
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(i, f"some words {i}", "en", "s", i, i, i, i) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, __s int, row int, block int, pass int")
+    assert Counter(map(tuple, mixing.mixed(docs).collect())) == Counter(rows)
+    assert Counter(map(tuple, exact_dedup.drop_copies(docs).collect())) == Counter(rows)
+    assert Counter(map(tuple, simhash.drop_near_copies(docs.withColumnsRenamed({"block": "node", "pass": "component_id"})).collect())) == Counter(rows)
+    with pytest.raises(ValueError):
+        bpe.encode_documents(docs.withColumn("ids", F.lit(1)), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, keep=["ids"])
+
+
+def test_mixing_to_a_budget(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c d e").alias("text"), F.when(F.col("id") < 3000, "big").otherwise("small").alias("source"))
+    for budget in (5000, 60000):
+        got = {r.source: r.t for r in mixing.mixture(docs, budget=budget).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+        assert 0.9 * budget <= sum(got.values()) <= budget and got["small"] / sum(got.values()) > 0.28
+
+
 def test_mixing(spark, odd):
     got = mixing.mixture(odd).filter("pass = 0")
     assert got.count() == len(ROWS)
