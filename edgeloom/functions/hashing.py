@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +34,14 @@ def draw(seed: int, a, b, n) -> Column:
     return (h(seed, a, b) * M + h(seed + 7919, a, b)) % n
 
 
+def h_numpy(seed: int, a, b=0) -> np.ndarray:
+    """``h`` of integers or integer arrays."""
+    a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
+    x = (a % M * 1103515245 + a // M % M * 1000003 + b % M * 12345 + b // M % M * 69069 + seed * 48271 + 1) % M
+    x2 = x * x % M
+    return x2 * x2 % M * x % M
+
+
 def h_sql(seed: int, a: str, b: str = "0") -> str:
     low = lambda v: f"((({v})::BIGINT % {M} + {M}) % {M})"
     high = lambda v: f"(((({v})::BIGINT - {low(v)}) // {M} % {M} + {M}) % {M})"

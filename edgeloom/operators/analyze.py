@@ -139,6 +139,15 @@ def summary(samples: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFra
     return agg.withColumn("spread", F.col("max") - F.col("min"))
 
 
+def percentiles(rows: DataFrame, value: str, points: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, p, nearest, interpolated``: the value at rank ceil(p n), and that between the two neighbours of place p (n - 1).
+
+    Null values do not count; a group without values has null."""
+    exact = [F.struct(F.lit(p).alias("p"), F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").cast("double").alias("nearest"), F.percentile(value, F.lit(p)).alias("interpolated")) for p in points]
+    sums = rows.groupBy(*by).agg(*[e.alias(f"__{i}") for i, e in enumerate(exact)])
+    return sums.select(*by, F.explode(F.array(*[F.col(f"__{i}") for i in range(len(points))])).alias("__p")).select(*by, "__p.*")
+
+
 def lane_moves(schedule: DataFrame) -> DataFrame:
     """``lane, superstep, part, move``: partitions that a lane admits or evicts when it goes from one state to the next.
 

@@ -61,35 +61,59 @@ def gcn(edges: DataFrame, x: DataFrame, dim: int, weights: np.ndarray) -> DataFr
     return rows.withColumn("s", V.scale(F.col("s"), 1 / F.sqrt(F.coalesce("d", F.lit(0)) + 1.0))).select("node_id", matmul("s", weights).alias("x"))
 
 
-def attention(scored: DataFrame) -> DataFrame:
-    """``scored`` (node_id, nbr, logit; a self row has nbr = node_id and self = true) with ``alpha``, the stable softmax by node.
+def attention(scored: DataFrame, key: tuple[str, ...] = ("node_id",)) -> DataFrame:
+    """``scored`` (key, ..., logit; a self row has nbr = node_id) with ``alpha``, the stable softmax by key.
 
     Two pre-aggregated passes (max, sum) and joins instead of a window, so that a hub's rows are not sorted in one task.
     """
-    top = scored.groupBy("node_id").agg(F.max("logit").alias("m"))
-    rows = scored.join(top, "node_id").withColumn("e", F.exp(F.col("logit") - F.col("m")))
-    return rows.join(rows.groupBy("node_id").agg(F.sum("e").alias("z")), "node_id").withColumn("alpha", F.col("e") / F.col("z")).drop("m", "e", "z")
+    top = scored.groupBy(*key).agg(F.max("logit").alias("m"))
+    rows = scored.join(top, list(key)).withColumn("e", F.exp(F.col("logit") - F.col("m")))
+    return rows.join(rows.groupBy(*key).agg(F.sum("e").alias("z")), list(key)).withColumn("alpha", F.col("e") / F.col("z")).drop("m", "e", "z")
 
 
-def gat(edges: DataFrame, x: DataFrame, dim: int, weights: np.ndarray, a_self: np.ndarray, a_nbr: np.ndarray, slope: float = 0.2) -> DataFrame:
-    """One attention head over the in-neighbours and the node itself."""
+def gat(edges: DataFrame, x: DataFrame, dim: int, heads: list[tuple[np.ndarray, np.ndarray, np.ndarray]], slope: float = 0.2, average: bool = False) -> DataFrame:
+    """Attention over the in-neighbours and the node itself; ``heads`` are (weights, self vector, neighbour vector) of equal shapes.
+
+    The heads' results are concatenated, or averaged.  All heads share one pass over the edges."""
+    out = heads[0][0].shape[0]
     lit = lambda a: F.array(*[F.lit(float(v)) for v in a])
-    z = x.select("node_id", matmul("x", weights).alias("x"))
-    rows = messages(edges, z).select("node_id", "nbr", "x").unionByName(z.select("node_id", F.col("node_id").alias("nbr"), "x"))
-    rows = rows.join(z.select("node_id", V.dot(F.col("x"), lit(a_self)).alias("own")), "node_id")
-    raw = F.col("own") + V.dot(F.col("x"), lit(a_nbr))
-    rows = attention(rows.withColumn("logit", F.when(raw > 0, raw).otherwise(raw * slope)))
-    return vector_sum(rows.withColumn("x", V.scale(F.col("x"), F.col("alpha"))), ["node_id"], "x", weights.shape[0])
+    z = x.select("node_id", matmul("x", np.concatenate([w for w, _, _ in heads])).alias("x"))
+    part = lambda k: F.slice("x", k * out + 1, out)
+    own = z.select("node_id", F.array(*[V.dot(part(k), lit(a)) for k, (_, a, _) in enumerate(heads)]).alias("own"))
+    rows = messages(edges, z).select("node_id", "nbr", "x").unionByName(z.select("node_id", F.col("node_id").alias("nbr"), "x")).join(own, "node_id")
+    each = [F.struct(F.lit(k).alias("head"), part(k).alias("x"), (F.col("own")[k] + V.dot(part(k), lit(b))).alias("raw")) for k, (_, _, b) in enumerate(heads)]
+    rows = rows.select("node_id", "nbr", F.explode(F.array(*each)).alias("h")).select("node_id", "nbr", "h.*")
+    key = ("node_id", "head")
+    rows = attention(rows.withColumn("logit", F.when(F.col("raw") > 0, F.col("raw")).otherwise(F.col("raw") * slope)), key)
+    sums = vector_sum(rows.withColumn("x", V.scale(F.col("x"), F.col("alpha"))), list(key), "x", out)
+    if average:
+        return vector_sum(sums, ["node_id"], "x", out, mean=True)
+    return sums.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("head", "x"))).alias("h")).select("node_id", F.flatten("h.x").alias("x"))
 
 
 def rgcn(edges: DataFrame, x: DataFrame, dim: int, w_rel: dict[int, np.ndarray], w_self: np.ndarray) -> DataFrame:
-    """mean over out-edges of W_rel x_nbr, plus W_self x."""
-    parts = [messages(edges.filter(F.col("rel") == r), x, False).select("node_id", matmul("x", w).alias("x")) for r, w in w_rel.items()]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    agg = vector_sum(rows, ["node_id"], "x", w_self.shape[0], "a", mean=True)
-    joined = x.join(agg, "node_id", "left").withColumn("a", F.coalesce("a", F.array(*[F.lit(0.0)] * w_self.shape[0])))
+    """Mean over out-edges of W_rel x_nbr, plus W_self x.  A relation without weights raises.
+
+    Neighbours are summed by node and relation first (with partial sums, also for hubs), so each such sum is multiplied once."""
+    out = w_self.shape[0]
+    rows = messages(edges, x, False)
+    sums = vector_sum(rows, ["node_id", "rel"], "x", dim, "s").join(rows.groupBy("node_id", "rel").agg(F.count(F.lit(1)).alias("n")), ["node_id", "rel"])
+    shared = x.sparkSession.sparkContext.broadcast(w_rel)
+
+    @F.pandas_udf("array<double>")
+    def times(rel, s):
+        import pandas as pd
+
+        v, r, got = np.array(s.tolist()).reshape(len(s), -1), rel.to_numpy(), np.zeros((len(s), out))
+        for k in np.unique(r):
+            if k not in shared.value:
+                raise ValueError(f"no weights for relation {k}")
+            got[r == k] = v[r == k] @ shared.value[k].T
+        return pd.Series(list(got))
+
+    moved = sums.select("node_id", "n", times("rel", "s").alias("y"))
+    agg = vector_sum(moved, ["node_id"], "y", out, "a").join(moved.groupBy("node_id").agg(F.sum("n").alias("n")), "node_id")
+    joined = x.join(agg, "node_id", "left").withColumn("a", F.coalesce(V.scale(F.col("a"), 1 / F.col("n")), F.array(*[F.lit(0.0)] * out)))
     return joined.select("node_id", V.add(matmul("x", w_self), F.col("a")).alias("x"))
 
 

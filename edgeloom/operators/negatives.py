@@ -78,17 +78,24 @@ def degree_global(edges: DataFrame, degrees: DataFrame, count: int, seed: int =
     return draws.join(cells, "cell").filter("u >= low AND u < high").select("batch_id", "chunk", "pos", F.col("node_id").alias("neg"))
 
 
-def mixed(edges: DataFrame, count: int, degree_fraction: float, num_nodes: int, side: str = "dst") -> DataFrame:
+def mixed(edges: DataFrame, count: int, degree_fraction: float, num_nodes: int, side: str = "dst", seed: int = 0) -> DataFrame:
     """``int(count x fraction)`` degree samples first, then uniform ones.  A chunk of a batch has its own draws."""
     k = int(count * degree_fraction)
     parts = []
     if k:
-        parts.append(degree_in_batch(edges, k, side).select("batch_id", "chunk", "pos", "neg"))
+        parts.append(degree_in_batch(edges, k, side, seed=12 + seed).select("batch_id", "chunk", "pos", "neg"))
     if count > k:
-        parts.append(uniform(edges, count - k, num_nodes).withColumn("pos", F.col("pos") + k))
+        parts.append(uniform(edges, count - k, num_nodes, seed=11 + seed).withColumn("pos", F.col("pos") + k))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def pooled(edges: DataFrame, count: int, num_nodes: int, reuse: int, seed: int = 11) -> DataFrame:
+    """Uniform negatives as ``uniform``, drawn once for ``reuse`` batches that follow each other: fewer different nodes to look up, the
+    same distribution for each batch.  ``batch_id, chunk, pos, neg``."""
+    plan = _plan(edges, count)
+    return plan.withColumn("neg", draw(seed, F.floor(F.col("batch_id") / reuse) * CHUNKS + F.col("chunk"), "pos", num_nodes))
+
+
 def corrupt(edges: DataFrame, negatives: DataFrame) -> DataFrame:
     """Every edge with the negatives of its chunk: an equi-join on the chunk, not a product."""
     return edges.join(negatives, ["batch_id", "chunk"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -62,6 +63,46 @@ class Dense:
         return w - self.rate * self.a / (1 - m**self.t) / (np.sqrt(second) + self.eps)
 
 
+@dataclass(frozen=True)
+class DenseRule:
+    """SGD, Adagrad or Adam for a table of dense parameters, as expressions: every row takes part, those without a gradient with zero.
+
+    The values are those of ``Dense``, which holds one array on the driver; a table needs no such bound."""
+
+    kind: str = "adagrad"
+    rate: float = 0.1
+    betas: tuple[float, float] = (0.9, 0.999)
+    eps: float = 1e-8
+    amsgrad: bool = False
+    decay: float = 0.0
+
+    def start(self, table: DataFrame) -> DataFrame:
+        """``table`` (key, x) with the moments ``a, b, top``, all zero."""
+        zero = F.transform("x", lambda v: F.lit(0.0))
+        return table.select("*", zero.alias("a"), zero.alias("b"), zero.alias("top"))
+
+    def apply(self, table: DataFrame, gradients: DataFrame, key: str, number: int) -> DataFrame:
+        """The table (key, x, a, b, top) after step ``number`` (from 1) with summed ``gradients`` (key, g)."""
+        rows = table.join(gradients.select(key, F.col("g").alias("__g")), key, "left")
+        g = F.coalesce("__g", F.transform("x", lambda v: F.lit(0.0)))
+        rows = rows.withColumn("__g", F.zip_with(g, "x", lambda d, v: d + self.decay * v))
+        less = lambda step: F.zip_with("x", step, lambda v, d: v - d)
+        if self.kind == "sgd":
+            rows = rows.withColumn("x", less(F.transform("__g", lambda d: self.rate * d)))
+        elif self.kind == "adagrad":
+            rows = rows.withColumn("a", F.zip_with("a", "__g", lambda a, d: a + d * d))
+            rows = rows.withColumn("x", less(F.zip_with("__g", "a", lambda d, a: self.rate * d / (F.sqrt(a) + self.eps))))
+        elif self.kind == "adam":
+            m, v = self.betas
+            rows = rows.withColumn("a", F.zip_with("a", "__g", lambda a, d: m * a + (1 - m) * d)).withColumn("b", F.zip_with("b", "__g", lambda b, d: v * b + (1 - v) * d * d))
+            rows = rows.withColumn("top", F.zip_with("top", "b", lambda a, b: F.greatest(a, b)))
+            second = "top" if self.amsgrad else "b"
+            rows = rows.withColumn("x", less(F.zip_with("a", second, lambda a, b: self.rate * a / (1 - m**number) / (F.sqrt(b / (1 - v**number)) + self.eps))))
+        else:
+            raise ValueError(f"unknown optimiser {self.kind}")
+        return rows.select(key, "x", "a", "b", "top")
+
+
 def initialise(kind: str, dim: int, node: str = "node_id", seed: int = 3, rows: int = 1, value: float = 0.0) -> Column:
     """Vector of a node by hash, so any partition can be made alone: zeros, ones, constant, uniform, normal, glorot_uniform,
     glorot_normal.  Fans are those of the full table (rows x dim)."""
@@ -74,22 +115,3 @@ def initialise(kind: str, dim: int, node: str = "node_id", seed: int = 3, rows:
         return F.transform(i, lambda k: (u(seed)(k) * 2 - 1) * limit)
     std = math.sqrt(2 / (rows + dim)) if kind == "glorot_normal" else value or 1.0
     return F.transform(i, lambda k: F.sqrt(-2 * F.log(u(seed)(k))) * F.cos(2 * math.pi * u(seed + 1)(k)) * std)
-
-
-def distmult_epoch(edges: DataFrame, table: DataFrame, relations: DataFrame, negatives: DataFrame, dim: int, rate: float) -> DataFrame:
-    """One synchronous step over all edges: every gradient of the softmax loss is taken from one version of the table.
-
-    ``negatives``: edge_id, neg.  Returns the new (node_id, x, state).  Write it out between epochs.
-    """
-    e = lambda k, n: table.select(F.col("node_id").alias(k), F.col("x").alias(n))
-    r = relations.select("rel", F.col("x").alias("rv"))
-    pos = edges.join(e("src", "sv"), "src").join(F.broadcast(r), "rel").withColumn("q", V.hadamard(F.col("sv"), F.col("rv")))
-    pos = pos.select("edge_id", "src", "dst", "rv", "q")
-    cand = pos.select("edge_id", F.col("dst").alias("node_id"), F.lit(1.0).alias("y")).unionByName(negatives.select("edge_id", F.col("neg").alias("node_id"), F.lit(0.0).alias("y")))
-    rows = cand.join(table.select("node_id", "x"), "node_id").join(pos, "edge_id").withColumn("s", V.dot(F.col("q"), F.col("x")))
-    tops = rows.groupBy("edge_id").agg(F.max("s").alias("m"))
-    rows = rows.join(tops, "edge_id").withColumn("e", F.exp(F.col("s") - F.col("m")))
-    rows = rows.join(rows.groupBy("edge_id").agg(F.sum("e").alias("z")), "edge_id").withColumn("d", F.col("e") / F.col("z") - F.col("y"))
-    to_cand = rows.select("node_id", V.scale(F.col("q"), F.col("d")).alias("g"))
-    to_src = rows.select(F.col("src").alias("node_id"), V.scale(V.hadamard(F.col("x"), F.col("rv")), F.col("d")).alias("g"))
-    return adagrad(table, to_cand.unionByName(to_src), dim, rate)

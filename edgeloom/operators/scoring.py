@@ -32,23 +32,6 @@ def score(decoder: str, src: Column, rel: Column, dst: Column, qualifier: Column
     return V.COMPARATORS[compare](x, dst) * sign
 
 
-def tucker(rows: DataFrame, core: np.ndarray) -> DataFrame:
-    """Adds ``score`` of (src_e, rel_e, dst_e[, qual_e]) under a core tensor p q r s [t] as in section TuckER3 / TuckER4."""
-    four = core.ndim == 5
-    names = ["src_e", "rel_e", "dst_e", *["qual_e"] * four]
-    shared = rows.sparkSession.sparkContext.broadcast(core)
-
-    @F.pandas_udf("double")
-    def run(*cols):
-        import pandas as pd
-
-        a = [np.array(c.tolist()) for c in cols]
-        x = np.einsum("pqrst,bp,bq,bs,bt->br" if four else "pqrs,bp,bq,bs->br", shared.value, a[0], a[1], *([a[2][:, : shared.value.shape[3]], a[3]] if four else [a[2][:, : shared.value.shape[3]]]))
-        return pd.Series((x * a[2][:, : x.shape[1]]).sum(axis=1))
-
-    return rows.withColumn("score", run(*names))
-
-
 def tucker_qualified(rows: DataFrame, core: np.ndarray, entity: np.ndarray, relation: np.ndarray) -> DataFrame:
     """Adds ``score`` of whole vectors (src_e, rel_e, [qrel_e,] qval_e, dst_e): TuckER3 for a core p q r s, TuckER4 for p q r s t.
 

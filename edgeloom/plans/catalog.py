@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions import vectors as V
-from edgeloom.functions.hashing import M, draw_sql, h_sql
+from edgeloom.functions.hashing import M, draw_sql, h_numpy, h_sql
 from edgeloom.functions.ranking import by_value, number_rows
-from edgeloom.operators import analyze, checks, gnn, graph, ids, negatives, optim, partition, scoring
+from edgeloom.operators import analyze, checks, gnn, graph, ids, negatives, optim, partition, scoring, training
 from edgeloom.plans import schedule
 from edgeloom.streaming.events import windowed_counts
 
@@ -460,36 +460,129 @@ def attention_softmax(spark, d):
     return gnn.attention(rows.unionByName(own)).select("edge_id", "node_id", F.round("alpha", 6).alias("alpha"))
 
 
-def _weights(out: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).normal(0, 0.1, (out, DIM))
+def _weights(out: int, seed: int, dim: int = DIM) -> np.ndarray:
+    """Small numbers from the hash of their place, so that SQL can make them too."""
+    return ((h_numpy(seed, np.arange(out * dim)) + 0.5) / M * 2 - 1).reshape(out, dim) * 0.1
 
 
-def _layer(f):
+def _weights_sql(out: int, seed: int, dim: int = DIM) -> str:
+    one = f"(({h_sql(seed, f'k * {dim} + j')} + 0.5::DOUBLE) / {M} * 2 - 1) * 0.1"
+    return f"list_transform(range({out}), lambda k: list_transform(range({dim}), lambda j: {one}))"
+
+
+def _times(w: str, x: str) -> str:
+    return f"list_transform({w}, lambda r: list_inner_product({x}, r))"
+
+
+def _zeros(n: int) -> str:
+    return f"list_transform(range({n}), lambda i: 0.0::DOUBLE)"
+
+
+def _means(name: str, pairs: str, source: str, value: str = "v", f: str = "avg", dim: int = DIM) -> str:
+    """``name`` (node_id, a): the element-wise mean or sum of the neighbours' vectors (node_id, x) over ``pairs`` (node_id, nbr)."""
+    return f"""{name}_u AS (SELECT p.node_id, unnest(s.x) AS v, unnest(range({dim})) AS i FROM {pairs} p JOIN {source} s ON s.node_id = p.nbr),
+{name} AS (SELECT node_id, list(a ORDER BY i) AS a FROM (SELECT node_id, i, {f}({value}) AS a FROM {name}_u GROUP BY ALL) GROUP BY node_id)"""
+
+
+_ROUND = lambda x: f"list_transform({x}, lambda v: round(v, 5) + 0.0)"
+_PLUS = lambda a, b, n: f"list_transform(range(1, {n + 1}), lambda i: {a}[i] + {b}[i])"
+_X0 = "x0 AS (SELECT vec_id AS node_id, embedding::DOUBLE[] AS x FROM embeddings)"
+_INTO = "inc AS (SELECT dst AS node_id, src AS nbr FROM kg)"
+_TWO = "two AS (SELECT dst AS node_id, src AS nbr FROM kg UNION ALL SELECT src, dst FROM kg)"
+_HEADS = [(_weights(8, 1), _weights(1, 41, 8)[0], _weights(1, 42, 8)[0]), (_weights(8, 3), _weights(1, 43, 8)[0], _weights(1, 44, 8)[0])]
+
+
+def _layer(f, sql: str):
     def run(spark, d):
         return _rounded(f(kg(spark, d, False)[0], _x(spark, d)))
 
-    return run
+    return run, "WITH " + sql
+
+
+_SAGE = lambda out, source, dim, w1, w2, name: f"""{_means(name + '_n', 'two', source, dim=dim)}, {name}_w AS (SELECT {_weights_sql(out, w1, dim)} AS w1, {_weights_sql(out, w2, dim)} AS w2),
+{name}_p AS (SELECT s.node_id, {_times('w1', 's.x')} AS p, {_times('w2', f'coalesce(a, {_zeros(dim)})')} AS q FROM {source} s LEFT JOIN {name}_n USING (node_id), {name}_w),
+{name} AS (SELECT node_id, {_PLUS('p', 'q', out)} AS x FROM {name}_p)"""
+
+
+def _gat_sql() -> str:
+    parts = [f"{KG}, {_X0}, nb0 AS (SELECT dst AS node_id, src AS nbr FROM kg UNION ALL SELECT node_id, node_id FROM x0)"]
+    for k, (w, c, b) in enumerate(((1, 41, 42), (3, 43, 44))):
+        parts.append(f"""w{k} AS (SELECT {_weights_sql(8, w)} AS w, {_weights_sql(1, c, 8)}[1] AS c, {_weights_sql(1, b, 8)}[1] AS b), z{k} AS (SELECT node_id, {_times('w', 'x')} AS z FROM x0, w{k}),
+r{k} AS (SELECT nb0.node_id, n.z, list_inner_product(o.z, c) + list_inner_product(n.z, b) AS raw FROM nb0 JOIN z{k} o ON o.node_id = nb0.node_id JOIN z{k} n ON n.node_id = nbr, w{k}),
+l{k} AS (SELECT node_id, z, CASE WHEN raw > 0 THEN raw ELSE raw * 0.2::DOUBLE END AS l FROM r{k}), m{k} AS (SELECT node_id, max(l) AS m FROM l{k} GROUP BY ALL),
+u{k} AS (SELECT node_id, unnest(z) AS v, unnest(range(8)) AS i, exp(l - m) AS e FROM l{k} JOIN m{k} USING (node_id)),
+h{k} AS (SELECT node_id, list(s ORDER BY i) AS x FROM (SELECT node_id, i, sum(v * e) / sum(e) AS s FROM u{k} GROUP BY ALL) GROUP BY node_id)""")
+    return ", ".join(parts)
+
+
+_LAYERS = {
+    "layer_sage_mean": (lambda e, x: gnn.sage(e, x, DIM, _weights(8, 1), _weights(8, 2)), f"{KG}, {_X0}, {_TWO}, {_SAGE(8, 'x0', DIM, 1, 2, 'o')} SELECT node_id, {_ROUND('x')} AS x FROM o"),
+    "layer_sage_gcn": (lambda e, x: gnn.sage(e, x, DIM, _weights(8, 1), kind="gcn"), f"""{KG}, {_X0}, {_TWO}, {_means('s', 'two', 'x0', f='sum')}, d AS (SELECT node_id, count(*) AS d FROM two GROUP BY ALL),
+y AS (SELECT node_id, list_transform(range(1, {DIM + 1}), lambda i: (coalesce(a[i], 0) + x[i]) / (coalesce(d, 0) + 1)) AS y FROM x0 LEFT JOIN s USING (node_id) LEFT JOIN d USING (node_id)), w AS (SELECT {_weights_sql(8, 1)} AS w)
+SELECT node_id, {_ROUND(_times('w', 'y'))} AS x FROM y, w"""),
+    "layer_gcn": (lambda e, x: gnn.gcn(e, x, DIM, _weights(8, 1)), f"""{KG}, {_X0}, {_INTO}, d AS (SELECT node_id, count(*) AS d FROM inc GROUP BY ALL),
+x1 AS (SELECT node_id, list_transform(x, lambda v: v / sqrt(coalesce(d, 0) + 1.0::DOUBLE)) AS x, sqrt(coalesce(d, 0) + 1.0::DOUBLE) AS r FROM x0 LEFT JOIN d USING (node_id)), {_means('s', 'inc', 'x1', f='sum')},
+y AS (SELECT node_id, list_transform(range(1, {DIM + 1}), lambda i: (coalesce(a[i], 0) + x[i]) / r) AS y FROM x1 LEFT JOIN s USING (node_id)), w AS (SELECT {_weights_sql(8, 1)} AS w) SELECT node_id, {_ROUND(_times('w', 'y'))} AS x FROM y, w"""),
+    "layer_gat": (lambda e, x: gnn.gat(e, x, DIM, _HEADS), f"{_gat_sql()} SELECT h0.node_id, {_ROUND('list_concat(h0.x, h1.x)')} AS x FROM h0 JOIN h1 USING (node_id)"),
+    "layer_gat_average": (lambda e, x: gnn.gat(e, x, DIM, _HEADS, average=True), f"{_gat_sql()} SELECT h0.node_id, {_ROUND('list_transform(range(1, 9), lambda i: (h0.x[i] + h1.x[i]) / 2)')} AS x FROM h0 JOIN h1 USING (node_id)"),
+    "layer_rgcn": (lambda e, x: gnn.rgcn(e, x, DIM, {r: _weights(8, 50 + r) for r in range(7)}, _weights(8, 9)), f"""{KG}, {_X0}, w AS (SELECT [{', '.join(_weights_sql(8, 50 + r) for r in range(7))}] AS w, {_weights_sql(8, 9)} AS own),
+y AS (SELECT src AS node_id, {_times('w[rel + 1]', 'x')} AS y FROM kg JOIN x0 ON x0.node_id = dst, w), u AS (SELECT node_id, unnest(y) AS v, unnest(range(8)) AS i FROM y),
+s AS (SELECT node_id, list(a ORDER BY i) AS a FROM (SELECT node_id, i, avg(v) AS a FROM u GROUP BY ALL) GROUP BY node_id), p AS (SELECT node_id, {_times('own', 'x')} AS p, coalesce(a, {_zeros(8)}) AS a FROM x0 LEFT JOIN s USING (node_id), w)
+SELECT node_id, {_ROUND(_PLUS('p', 'a', 8))} AS x FROM p"""),
+}
+for _name, _pair in _LAYERS.items():
+    QUERIES[_name], SQL[_name] = _layer(*_pair)
 
+_CORE_OF = {4: 6, 5: 4}  # modes of a core -> its size
+_CORE_AT = lambda n: f"list_transform(range({n}), lambda i: (({h_sql(61, 'i')} + 0.5::DOUBLE) / {M} * 2 - 1) * 0.1)"
 
-QUERIES["layer_sage_mean"] = _layer(lambda e, x: gnn.sage(e, x, DIM, _weights(8, 1), _weights(8, 2)))
-QUERIES["layer_sage_gcn"] = _layer(lambda e, x: gnn.sage(e, x, DIM, _weights(8, 1), kind="gcn"))
-QUERIES["layer_gcn"] = _layer(lambda e, x: gnn.gcn(e, x, DIM, _weights(8, 1)))
-QUERIES["layer_gat"] = _layer(lambda e, x: gnn.gat(e, x, DIM, _weights(8, 1), np.ones(8) * 0.1, np.ones(8) * -0.1))
-QUERIES["layer_rgcn"] = _layer(lambda e, x: gnn.rgcn(e, x, DIM, {r: _weights(8, r) for r in range(7)}, _weights(8, 9)))
 
+def _core(modes: int) -> np.ndarray:
+    return _weights(1, 61, _CORE_OF[modes] ** modes).reshape((_CORE_OF[modes],) * modes)
 
-@query()
-def score_tucker3(spark, d):
+
+def _tucker_sql(four: bool) -> str:
+    """Whole vectors are projected into the core, the core is summed over its closed modes, its open mode is projected back."""
+    given = ["a", "b", "c", "f"][: 3 + four]
+    modes, size = 4 + four, _CORE_OF[4 + four]
+    names = {"a": ("src", "me", 0), "b": ("rel", "mr", 1), "c": ("qrel" if four else "qval", "mr" if four else "me", 3), "f": ("qval", "me", 4)}
+    proj = ", ".join(f"list_transform(range(1, {size + 1}), lambda k: list_inner_product({n}.e, list_transform({names[n][1]}, lambda row: row[k]))) AS p{n}" for n in given)
+    digit = lambda m: f"(i // {size ** (len(given) - 1 - m)}) % {size} + 1"
+    product = " * ".join(f"p{n}[{digit(m)}]" for m, n in enumerate(given))
+    # place of (open mode r, closed modes i) in the flat core p q r s [t]
+    place = " + ".join([*[f"({digit(m)} - 1) * {size ** (modes - 1 - names[n][2])}" for m, n in enumerate(given)], f"r * {size ** (modes - 3)}"])
+    return f"""{KG}, {EMB}, core AS (SELECT {_CORE_AT(size**modes)} AS w, {_weights_sql(DIM, 62, size)} AS me, {_weights_sql(DIM, 63, size)} AS mr),
+flat AS (SELECT me, mr, list_transform(range({size}), lambda r: list_transform(range({size ** len(given)}), lambda i: w[({place} + 1)::BIGINT])) AS w FROM core),
+pr AS (SELECT edge_id, {proj}, t.e AS t, w, me FROM kg JOIN emb a ON a.vec_id = src JOIN (SELECT rel AS vec_id, rv AS e FROM rl) b ON b.vec_id = kg.rel {'JOIN (SELECT rel AS vec_id, rv AS e FROM rl) c ON c.vec_id = qval % 7 JOIN emb f ON f.vec_id = qval' if four else 'JOIN emb c ON c.vec_id = qval'} JOIN emb t ON t.vec_id = dst, flat),
+sm AS (SELECT edge_id, t, me, w, list_transform(range({size ** len(given)}), lambda i: {product}) AS o FROM pr),
+op AS (SELECT edge_id, t, me, list_transform(w, lambda v: list_inner_product(v, o)) AS y FROM sm)
+SELECT edge_id, round(list_inner_product(list_transform(me, lambda row: list_inner_product(row, y)), t), 6) + 0.0 AS score FROM op"""
+
+
+def _tucker(spark, d, four: bool) -> DataFrame:
     e, emb = kg(spark, d)[0], nodes(spark, d)[0]
+    e = e.withColumn("qrel", F.col("qval") % 7)
     rows = scoring.lookup(scoring.lookup(scoring.lookup(scoring.lookup(e, emb, "src", "src_e"), relations(emb), "rel", "rel_e"), emb, "qval", "qval_e"), emb, "dst", "dst_e")
-    rng = np.random.default_rng(3)
-    core, entity, relation = rng.normal(0, 0.1, (10, 10, 10, 10)), rng.normal(0, 0.1, (DIM, 10)), rng.normal(0, 0.1, (DIM, 10))
-    return scoring.tucker_qualified(rows, core, entity, relation).select("edge_id", F.round("score", 6).alias("score"))
+    rows = scoring.lookup(rows, relations(emb), "qrel", "qrel_e") if four else rows
+    size = _CORE_OF[4 + four]
+    return scoring.tucker_qualified(rows, _core(4 + four), _weights(DIM, 62, size), _weights(DIM, 63, size)).select("edge_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
-@query()
+@query(_tucker_sql(False))
+def score_tucker3(spark, d):
+    return _tucker(spark, d, False)
+
+
+@query(_tucker_sql(True))
+def score_tucker4(spark, d):
+    return _tucker(spark, d, True)
+
+
+@query(f"""{_SC}, m AS (SELECT edge_id, max(score) AS m FROM sc WHERE score IS NOT NULL GROUP BY ALL), z AS (SELECT edge_id, m, sum(exp(score - m)) AS z FROM sc JOIN m USING (edge_id) WHERE score IS NOT NULL GROUP BY ALL),
+l AS (SELECT edge_id, score - m - ln(z) AS lp, 2 * (1 / (1 + exp(-score)) - 0.5::DOUBLE) AS reward FROM sc JOIN z USING (edge_id) WHERE score IS NOT NULL)
+SELECT edge_id, round(-avg(lp * reward * exp(lp)), 6) + 0.0 AS loss, round(avg(reward), 6) + 0.0 AS reward FROM l GROUP BY ALL""")
 def gan_reward(spark, d):
-    return scoring.gan_rewards(scored_negatives(spark, d)).select("edge_id", F.round("loss", 6).alias("loss"), F.round("reward", 6).alias("reward"))
+    return scoring.gan_rewards(scored_negatives(spark, d)).select("edge_id", (F.round("loss", 6) + 0.0).alias("loss"), (F.round("reward", 6) + 0.0).alias("reward"))
 
 
 # ---- updates ----------------------------------------------------------------------------------------------------------
@@ -526,15 +619,34 @@ def init_glorot(spark, d):
     return emb.select(F.col("vec_id").alias("node_id"), F.round(V.total(F.transform(v, F.abs)), 6).alias("x"))
 
 
-@query()
-def train_epoch_distmult(spark, d):
+def _trained(spark, d, decoder: str, loss: str) -> tuple[DataFrame, DataFrame]:
     e, n = chunked(spark, d)
     emb, _ = nodes(spark, d)
-    neg = negatives.corrupt(e, negatives.uniform(e, 2, n)).select("edge_id", "neg")
+    pairs = negatives.corrupt(e, negatives.uniform(e, 2, n)).select("edge_id", "neg")
     t = _x(spark, d).withColumn("state", F.array_repeat(F.lit(0.1), DIM))
-    rel = relations(emb).select(F.col("vec_id").alias("rel"), V.doubles("embedding").alias("x"))
-    out = optim.distmult_epoch(e.select("edge_id", "src", "rel", "dst"), t, rel, neg, DIM, 0.1)
-    return _rounded(out.select("node_id", "x"), 4)
+    rule = optim.DenseRule("adagrad", 0.1)
+    rel = rule.start(relations(emb).select(F.col("vec_id").cast("bigint").alias("rel"), V.doubles("embedding").alias("x")))
+    new, new_rel, _ = training.step(e.select("edge_id", "src", "rel", "dst"), pairs, t, rel, decoder, loss, rate=0.1, dense=rule)
+    return new, new_rel
+
+
+@query(f"""{KG}, {EMB}, {CHUNKED}, {_UNI}, q AS (SELECT edge_id, src, kg.rel, dst, a.e AS s, rv AS r, {_HAD.replace('s[i]', 'a.e[i]').replace('r[i]', 'rv[i]')} AS q FROM kg JOIN emb a ON a.vec_id = src JOIN rl ON rl.rel = kg.rel),
+c AS (SELECT edge_id, dst AS cand, 1.0::DOUBLE AS y FROM kg UNION ALL SELECT edge_id, neg, 0.0 FROM ch JOIN uni USING (batch_id, chunk) WHERE pos < 2),
+sc AS (SELECT c.edge_id, cand, y, e AS t, q.src, q.rel, s, r, q, list_inner_product(q, e) AS score FROM c JOIN q USING (edge_id) JOIN emb ON vec_id = cand),
+m AS (SELECT edge_id, max(score) AS m FROM sc GROUP BY ALL), z AS (SELECT edge_id, m, sum(exp(score - m)) AS z FROM sc JOIN m USING (edge_id) GROUP BY ALL),
+d AS (SELECT sc.*, exp(score - m) / z - y AS d FROM sc JOIN z USING (edge_id)),
+g AS (SELECT 0 AS kind, cand AS id, unnest(list_transform(q, lambda v: v * d)) AS g, unnest(range({DIM})) AS i FROM d
+      UNION ALL SELECT 0, src, unnest(list_transform(range(1, {DIM + 1}), lambda i: t[i] * r[i] * d)), unnest(range({DIM})) FROM d
+      UNION ALL SELECT 1, rel, unnest(list_transform(range(1, {DIM + 1}), lambda i: t[i] * s[i] * d)), unnest(range({DIM})) FROM d),
+sm AS (SELECT kind, id, i, sum(g) AS g FROM g GROUP BY ALL),
+w AS (SELECT 0 AS kind, vec_id AS id, unnest(e) AS x, unnest(range({DIM})) AS i FROM emb UNION ALL SELECT 1, rel, unnest(rv), unnest(range({DIM})) FROM rl)
+SELECT kind, id, list(round(CASE WHEN g IS NULL THEN x WHEN kind = 0 THEN x - 0.1::DOUBLE * g / (sqrt(0.1::DOUBLE + g * g) + 1e-10) ELSE x - 0.1::DOUBLE * g / (sqrt(g * g) + 1e-8) END, 4) + 0.0 ORDER BY i) AS x
+FROM w LEFT JOIN sm USING (kind, id, i) GROUP BY ALL""")
+def train_epoch_distmult(spark, d):
+    """Nodes (kind 0) and relations (1) after one step of softmax cross-entropy."""
+    new, rel = _trained(spark, d, "distmult", "softmax_ce")
+    one = lambda t, kind, key: t.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "x")
+    return _rounded(one(new, 0, "node_id").unionByName(one(rel, 1, "rel")), 4)
 
 
 # ---- schedules and analyzers ------------------------------------------------------------------------------------------
@@ -759,21 +871,6 @@ def score_qualified(spark, d):
     return rows.select("edge_id", F.round(scoring.score("distmult", F.col("s"), F.col("r"), F.col("t"), F.col("u")), 6).alias("score"))
 
 
-_CORE4 = np.random.default_rng(4).normal(0, 0.2, (4, 4, 4, 4, 4))
-
-
-@query(f"""{KG}, {EMB}, core AS (SELECT [{", ".join(repr(float(x)) for x in _CORE4.ravel())}] AS c),
-ix AS (SELECT p.range AS p, q.range AS q, r.range AS r, s.range AS s, t.range AS t FROM range(4) p, range(4) q, range(4) r, range(4) s, range(4) t),
-fl AS (SELECT p, q, r, s, t, c[(((p * 4 + q) * 4 + r) * 4 + s) * 4 + t + 1] AS c FROM ix, core),
-x AS (SELECT edge_id, a.e AS a, rv AS b, c.e AS c, f.e AS f FROM kg JOIN emb a ON a.vec_id = src JOIN emb c ON c.vec_id = dst JOIN emb f ON f.vec_id = qval JOIN rl ON rl.rel = kg.rel)
-SELECT edge_id, round(sum(fl.c * x.a[p + 1] * x.b[q + 1] * x.c[s + 1] * x.f[t + 1] * x.c[r + 1]), 6) + 0.0 AS score FROM x, fl GROUP BY ALL""")
-def score_tucker4(spark, d):
-    e, emb = kg(spark, d)[0], nodes(spark, d)[0]
-    head = emb.withColumn("embedding", F.slice("embedding", 1, 4))
-    rows = scoring.lookup(scoring.lookup(scoring.lookup(scoring.lookup(e, head, "src", "src_e"), relations(head), "rel", "rel_e"), head, "dst", "dst_e"), head, "qval", "qual_e")
-    return scoring.tucker(rows, _CORE4).select("edge_id", (F.round("score", 6) + 0.0).alias("score"))
-
-
 @query(f"""{KG}, {EMB}, {CHUNKED}, {_UNI}, sc AS (SELECT ch.edge_id, pos, neg, -round(list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) ** 2)), 9) AS score
 FROM ch JOIN uni USING (batch_id, chunk) JOIN emb a ON a.vec_id = src JOIN emb b ON b.vec_id = neg)
 SELECT edge_id, pos, neg FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY score DESC, pos) AS k FROM sc) WHERE k <= 3""")
@@ -812,9 +909,10 @@ def layer_linear_bias_relu(spark, d):
     return _rounded(x.select("node_id", gnn.finish(gnn.linear(_LIN, "a", "b"), np.array([0.05, 0.1]), "relu").alias("x")))
 
 
-@query()
+@query(f"""{KG}, {_X0}, {_TWO}, {_SAGE(8, 'x0', DIM, 1, 2, 'o')}, x1 AS (SELECT node_id, list_transform(x, lambda v: greatest(v + 0.01::DOUBLE, 0)) AS x FROM o), {_SAGE(4, 'x1', 8, 8, 8, 'p')}
+SELECT node_id, list_transform(x, lambda v: round(1 / (1 + exp(-v)), 5) + 0.0) AS x FROM p""")
 def encode_two_layers(spark, d):
-    w = np.random.default_rng(8).normal(0, 0.1, (4, 8))
+    w = _weights(4, 8, 8)
     layers = [(lambda e, x: gnn.sage(e, x, DIM, _weights(8, 1), _weights(8, 2)), np.ones(8) * 0.01, "relu"), (lambda e, x: gnn.sage(e, x, 8, w, w), None, "sigmoid")]
     return _rounded(gnn.encode(kg(spark, d, False)[0], _x(spark, d), layers))
 

@@ -7,26 +7,55 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 NAMES = {2: ["src", "dst"], 3: ["src", "rel", "dst"], 4: ["src", "rel", "dst", "qval"], 5: ["src", "rel", "dst", "qrel", "qval"]}
 
 
 def read_edges(spark: SparkSession, path: str | list[str], columns: list[int], sep: str = "\t", header_lines: int = 0) -> DataFrame:
     """Edges as strings.  ``columns`` are positions in the file in the order src, [rel,] dst[, [qrel,] qval]; so [0, 2, 1] reads a
-    file of src, dst, rel.  gz and bz2 are read as they are."""
+    file of src, dst, rel.  Quote signs are ordinary characters.  gz and bz2 are read as they are.
+
+    With several header lines, those of each file are looked at first and left out wherever they occur in it."""
     if len(columns) not in NAMES:
         raise ValueError("two to five columns are supported")
     width = max(columns) + 1
     schema = ", ".join(f"c{i} string" for i in range(width))
     if header_lines <= 1:
-        rows = spark.read.schema(schema).option("sep", sep).option("header", header_lines == 1).option("enforceSchema", True).csv(path)
-    else:  # several header lines: numbered by file position, the only use of an RDD
-        text = spark.sparkContext.textFile(path).zipWithIndex().filter(lambda x: x[1] >= header_lines).map(lambda x: (x[0],))
-        parts = F.split(F.col("value"), sep.replace("|", r"\|"))
-        rows = spark.createDataFrame(text, "value string").select(*[parts[i].alias(f"c{i}") for i in range(width)])
+        rows = spark.read.schema(schema).option("sep", sep).option("quote", "").option("header", header_lines == 1).option("enforceSchema", True).csv(path)
+    else:
+        rows = None
+        for file in spark.read.text(path).inputFiles():
+            lines = spark.read.text(file)
+            own = lines.filter(~F.col("value").isin([r[0] for r in lines.take(header_lines)]))
+            rows = own if rows is None else rows.unionByName(own)
+        rows = spark.createDataFrame([], "value string") if rows is None else rows
+        parts = _split("value", sep)
+        rows = rows.filter(F.trim("value") != "").select(*[F.get(parts, i).alias(f"c{i}") for i in range(width)])
     return rows.select(*[F.col(f"c{i}").alias(n) for i, n in zip(columns, NAMES[len(columns)])])
 
 
+def _split(column: str, sep: str):
+    return F.split(F.col(column), rf"\Q{sep}\E")
+
+
+def read_splits(spark: SparkSession, paths: str | list[str], columns: list[int], sep: str = "\t", header_lines: int = 0) -> DataFrame:
+    """Edges of one file, or of three (train, valid, test) with their names in ``split``; one file has null there."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if len(paths) not in (1, 3):
+        raise ValueError("a dataset is one file, or three: train, valid and test")
+    names = [None] if len(paths) == 1 else ["train", "valid", "test"]
+    parts = [read_edges(spark, p, columns, sep, header_lines).withColumn("split", F.lit(n).cast("string")) for p, n in zip(paths, names)]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def in_memory(table: DataFrame) -> DataFrame:
+    """``table`` kept in the executors' memory, on their disks where it does not fit; ``unpersist()`` frees it."""
+    from pyspark import StorageLevel
+
+    return table.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def from_arrays(spark: SparkSession, edges: np.ndarray) -> DataFrame:
     """(n, 2..5) integer array."""
     import pandas as pd
@@ -74,8 +103,6 @@ def read_epoch_log(spark: SparkSession, path: str, first: int = 5) -> DataFrame:
     """Average of the first epoch runtimes of each log file: lines ``Epoch runtime: <n>ms``."""
     rows = spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
     rows = rows.withColumn("ms", F.expr(r"try_cast(regexp_extract(value, 'Epoch runtime: ([0-9.]+) ?ms', 1) AS double)")).filter("ms IS NOT NULL")
-    from pyspark.sql.window import Window
-
     n = F.row_number().over(Window.partitionBy("file").orderBy("at"))
     return rows.withColumn("n", n).filter(F.col("n") <= first).groupBy("file").agg(F.avg("ms").alias("epoch_ms"), F.count(F.lit(1)).alias("epochs"))
 
@@ -91,8 +118,22 @@ def read_eval_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_node_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """``raw_id, features, label`` from a file of id, label and features; a label that is missing or not a number is -1."""
-    parts = F.split("value", sep.replace("|", r"\|"))
+    parts = _split("value", sep)
     rows = spark.read.text(path).withColumn("p", parts)
     label = F.expr("coalesce(try_cast(try_cast(get(p, 1) AS double) AS int), -1)")
     features = F.expr("transform(slice(p, 3, greatest(size(p) - 2, 0)), v -> try_cast(v AS float))")
     return rows.select(F.expr("get(p, 0)").alias("raw_id"), features.alias("features"), label.alias("label"))
+
+
+def read_schedule_log(spark: SparkSession, path: str) -> DataFrame:
+    """``file, epoch, round, place, parts, edges, batches, buckets`` of the states that a training log reports, a line each:
+    ``[perf][epoch <e>][gpu <g>][state <round>] phase=<name> state_idx=<i> resident_partitions=<a,b,...> active_buckets=<n> active_edges=<n> batches=<n>``.
+
+    States of a round are in the order of their partitions; other lines are left out."""
+    line = r"\[perf\]\[epoch (\d+)\]\[gpu \d+\]\[state (\d+)\] phase=\w+ state_idx=\d+ resident_partitions=([0-9,]+) active_buckets=(\d+) active_edges=(\d+) batches=(\d+)"
+    rows = spark.read.text(path).withColumn("file", F.input_file_name()).filter(F.col("value").rlike(line))
+    at = lambda k: F.regexp_extract("value", line, k)
+    parts = F.transform(F.filter(F.split(at(3), ","), lambda x: x != ""), lambda x: x.cast("int"))
+    rows = rows.select("file", at(1).cast("int").alias("epoch"), at(2).cast("int").alias("round"), parts.alias("parts"), *[at(k).cast("bigint").alias(n) for k, n in ((5, "edges"), (6, "batches"), (4, "buckets"))])
+    place = F.row_number().over(Window.partitionBy("file", "epoch", "round").orderBy("parts")) - 1  # a round has a state a device
+    return rows.withColumn("place", place).select("file", "epoch", "round", "place", "parts", "edges", "batches", "buckets")
