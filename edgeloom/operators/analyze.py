@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from edgeloom.functions.hashing import M, h
+from edgeloom.functions.ranking import number_in_groups
 
 
 def lanes(states: DataFrame, devices: int) -> DataFrame:
@@ -51,8 +52,6 @@ def first_owner(schedule: DataFrame) -> DataFrame:
 
 def random_owner(schedule: DataFrame, seed: int = 5) -> DataFrame:
     """As first_owner, but any of the states that hold both, by hash."""
-    from edgeloom.functions.hashing import h
-
     a = schedule.select("state", F.col("part").alias("src_part"))
     b = schedule.select("state", F.col("part").alias("dst_part"))
     both = a.join(b, "state").distinct()
@@ -67,9 +66,13 @@ def access_counts(edges: DataFrame, key: str = "state") -> DataFrame:
 
 def top_k_coverage(counts: DataFrame, k: int, key: str = "state") -> DataFrame:
     """Share of a state's accesses that its k most accessed entities take (ties: smallest entity)."""
-    own = Window.partitionBy(key).orderBy(F.col("n").desc(), "entity")
-    rows = counts.withColumn("r", F.row_number().over(own))
-    return rows.groupBy(key).agg(F.sum("n").alias("accesses"), F.round(F.sum(F.when(F.col("r") <= k, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("coverage"))
+    rows = _by_access(counts, key)
+    return rows.groupBy(key).agg(F.sum("n").alias("accesses"), F.round(F.sum(F.when(F.col("r") < k, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("coverage"))
+
+
+def _by_access(counts: DataFrame, key: str) -> DataFrame:
+    """``counts`` with ``r`` (from 0): the place of an entity in its group, most accessed first; numbered in slices of equal counts."""
+    return number_in_groups(counts, [key], {"less": -F.col("n"), "ids": F.floor(F.col("entity") / (1 << 18))}, [F.col("n").desc(), "entity"], "r")
 
 
 def history_coverage(counts: DataFrame, history: int, devices: int) -> DataFrame:
@@ -179,10 +182,9 @@ def overlap_stats(pairs: DataFrame) -> DataFrame:
 
 def top_share_coverage(counts: DataFrame, share: float, key: str = "state") -> DataFrame:
     """Share of a state's accesses that the most accessed ``share`` of its entities take (at least one entity)."""
-    own = Window.partitionBy(key).orderBy(F.col("n").desc(), "entity")
     sizes = counts.groupBy(key).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("k"))
-    rows = counts.withColumn("r", F.row_number().over(own)).join(sizes, key)
-    return rows.groupBy(key).agg(F.max("k").alias("entities"), F.round(F.sum(F.when(F.col("r") <= F.col("k"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("coverage"))
+    rows = _by_access(counts, key).join(sizes, key)
+    return rows.groupBy(key).agg(F.max("k").alias("entities"), F.round(F.sum(F.when(F.col("r") < F.col("k"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("coverage"))
 
 
 def smallest_hashes(edges: DataFrame, key: str, k: int, seed: int = 21, salts: int = 16) -> DataFrame:
@@ -222,3 +224,27 @@ def percent_change(samples: DataFrame, value: str, side: str, base, other, by: t
     mean = lambda v: F.avg(F.when(F.col(side) == v, F.col(value)))
     agg = samples.groupBy(*by).agg(mean(base).alias("base"), mean(other).alias("other"))
     return agg.select(*by, F.round("base", 6).alias("base"), F.round("other", 6).alias("other"), F.round(100 * (F.col("other") - F.col("base")) / F.col("base"), 4).alias("change"))
+
+
+def order_facts(schedule: DataFrame) -> DataFrame:
+    """What the order of states does, a row a state: ``state, parts`` (ascending), ``kept`` (partitions that the state before it held too),
+    ``new_pairs`` (pairs of partitions that meet for the first time) and ``clashes`` (its partitions in other states of the superstep).
+
+    ``schedule``: state, part, lane, superstep."""
+    s = schedule.select("state", "part", "superstep")
+    parts = s.groupBy("state").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    kept = s.join(s.select((F.col("state") + 1).alias("state"), "part"), ["state", "part"]).groupBy("state").agg(F.count(F.lit(1)).alias("kept"))
+    met = s.select("state", F.col("part").alias("a")).join(s.select("state", F.col("part").alias("b")), "state").filter("a < b")
+    new = met.groupBy("a", "b").agg(F.min("state").alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("new_pairs"))
+    other = s.select(F.col("state").alias("other"), "part", "superstep")
+    clashes = s.join(other, ["superstep", "part"]).filter("state <> other").groupBy("state").agg(F.count(F.lit(1)).alias("clashes"))
+    out = parts.join(kept, "state", "left").join(new, "state", "left").join(clashes, "state", "left")
+    return out.na.fill(0, ["kept", "new_pairs", "clashes"])
+
+
+def assign_nodes(nodes: DataFrame, states: DataFrame, part: str = "part", seed: int = 31) -> DataFrame:
+    """``nodes`` (node_id and the partition of each) with ``state``: one of the states that hold the partition, by hash (the only one in an
+    ordering whose states are disjoint).  States are few, so their table is broadcast."""
+    held = states.groupBy(F.col("part").alias("__part")).agg(F.array_sort(F.collect_set("state")).alias("__states"))
+    rows = nodes.join(F.broadcast(held), F.col(part) == F.col("__part"))
+    return rows.withColumn("state", F.get("__states", (h(seed, "node_id") % F.size("__states")).cast("int"))).drop("__part", "__states")

@@ -85,6 +85,8 @@ def bucket_slices(edges: DataFrame, block: int, seed: int) -> DataFrame:
 #: Row ids of a bucket that are numbered together.
 SLICE_ROWS = 1 << 18
 BUCKET = ["src_part", "dst_part"]
+#: Slices of a bucket that is shuffled.
+SHUFFLE_SLICES = 256
 
 
 def _numbered_in_bucket(edges: DataFrame, name: str) -> DataFrame:
@@ -114,6 +116,12 @@ def ordered_in_bucket(edges: DataFrame, by: str) -> DataFrame:
     return number_in_groups(edges, BUCKET, {"end": F.col(by), "ids": F.floor(F.col("edge_id") / SLICE_ROWS)}, [by, "edge_id"], "place")
 
 
+def shuffled_in_bucket(edges: DataFrame, seed: int) -> DataFrame:
+    """Adds ``place``: position of an edge in a shuffle of its bucket."""
+    rows = edges.withColumn("__h", h(seed, "edge_id"))
+    return number_in_groups(rows, BUCKET, {"hash": by_hash(F.col("__h"), SHUFFLE_SLICES)}, ["__h", "edge_id"], "place").drop("__h")
+
+
 def merge_sorted(base: DataFrame, delta: DataFrame, by: str) -> DataFrame:
     """Base and delta edges as one table with ``place`` along ``by``, then base before delta, then edge_id.
 

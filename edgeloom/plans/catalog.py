@@ -998,33 +998,108 @@ def percent_change(spark, d):
     return analyze.percent_change(table(spark, d, "events").withColumn("side", F.col("user_id") % 2), "value", "side", 0, 1, ("event_type",))
 
 
-_ALL_PAIRS = f"SELECT a.range::INT AS a, b.range::INT AS b FROM range({PARTS}) a JOIN range({PARTS}) b ON a.range < b.range"
 _ORDERINGS = {
     "swap": lambda: SWAPS,
     "two_level": lambda: schedule.two_level_ordering(PARTS, 4, 2),
     "relabelled": lambda: [s for r in schedule.relabelled(schedule.disjoint_rounds(PARTS), 3) for s in r],
     "overlap": lambda: schedule.overlap_order(STATES),
-    "grouped": lambda: schedule.group_disjoint(STATES, DEVICES),
+    "grouped": lambda: schedule.group_disjoint(STATES[::5] + STATES[1::5] + STATES[2::5] + STATES[3::5] + STATES[4::5], DEVICES, strict=True),
     "coverage": lambda: schedule.coverage_order(STATES, DEVICES),
+    "access": lambda: schedule.access_order(STATES, DEVICES),
+    "old_beta": lambda: schedule.ordered(schedule.Ordering("old_beta", PARTS))[0],
+    "comet": lambda: schedule.ordered(schedule.Ordering("comet", PARTS, 4, fine_per_coarse=2, random_owner=True))[0],
+    "custom_devices": lambda: schedule.ordered(schedule.Ordering("custom", PARTS, 4, devices=DEVICES))[0],
 }
 
 
-def _pairs_met(spark, states) -> DataFrame:
-    s = schedule.as_table(spark, states)
-    pairs = s.withColumnRenamed("part", "a").join(s.withColumnRenamed("part", "b"), "state").filter("a < b")
-    return pairs.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")).distinct()
+def _facts_sql(states) -> str:
+    """The planner's states, and what their order does in SQL."""
+    return f"""WITH sch AS (SELECT state, part, state // {DEVICES} AS superstep FROM {schedule.as_values(states)}),
+k AS (SELECT a.state, count(*) AS kept FROM sch a JOIN sch b ON b.state = a.state - 1 AND b.part = a.part GROUP BY ALL),
+f AS (SELECT a.part AS pa, b.part AS pb, min(a.state) AS state FROM sch a JOIN sch b ON a.state = b.state AND a.part < b.part GROUP BY ALL), m AS (SELECT state, count(*) AS new_pairs FROM f GROUP BY ALL),
+c AS (SELECT a.state, count(*) AS clashes FROM sch a JOIN sch b ON a.superstep = b.superstep AND a.state <> b.state AND a.part = b.part GROUP BY ALL)
+SELECT s.state, list(s.part ORDER BY s.part) AS parts, coalesce(any_value(kept), 0) AS kept, coalesce(any_value(new_pairs), 0) AS new_pairs, coalesce(any_value(clashes), 0) AS clashes
+FROM sch s LEFT JOIN k USING (state) LEFT JOIN m USING (state) LEFT JOIN c USING (state) GROUP BY s.state"""
 
 
 for _name, _states in _ORDERINGS.items():
-    # whatever the order of states, every pair of partitions must meet in one of them
-    QUERIES[f"schedule_{_name}"] = lambda spark, d, f=_states: _pairs_met(spark, f())
-    SQL[f"schedule_{_name}"] = _ALL_PAIRS
+    QUERIES[f"schedule_{_name}"] = lambda spark, d, f=_states: analyze.order_facts(_sched(spark, f()))
+    SQL[f"schedule_{_name}"] = _facts_sql(_states())
 
 
-@query(_ALL_PAIRS)
-def schedule_balanced(spark, d):
+def _bucket_table(spark, d) -> list[list[int]]:
     e, n = kg(spark, d, False)
     sizes = [[0] * PARTS for _ in range(PARTS)]
     for r in partition.bucket_sizes(e, n, PARTS).collect():  # parts x parts rows
         sizes[r["src_part"]][r["dst_part"]] = r["edges"]
-    return _pairs_met(spark, [s for r in schedule.balanced(schedule.disjoint_rounds(PARTS), sizes) for s in r])
+    return sizes
+
+
+@query()
+def schedule_balanced(spark, d):
+    """States, facts and weights of the rounds that are balanced by the table's bucket sizes."""
+    e, n = kg(spark, d, False)
+    s = _sched(spark, schedule.ordered(schedule.Ordering("custom", PARTS, 4, optimised=True), _bucket_table(spark, d))[0])
+    return analyze.order_facts(s).join(analyze.state_weight(s, partition.bucket_sizes(e, n, PARTS)), "state")
+
+
+@query()
+def schedule_hot(spark, d):
+    """States in the order of shared hotness for one device."""
+    return analyze.order_facts(_sched(spark, schedule.hot_order(STATES, _bucket_table(spark, d))))
+
+
+@query(f"""{KG}, {BUCKETS} SELECT edge_id, row_number() OVER (PARTITION BY src_part, dst_part ORDER BY {h_sql(23, 'edge_id')}, edge_id) - 1 AS place FROM bk""")
+def bucket_shuffle(spark, d):
+    e, n = kg(spark, d)
+    return partition.shuffled_in_bucket(partition.with_buckets(e, n, PARTS), 23).select("edge_id", "place")
+
+
+@query(f"""{KG}, sch AS (SELECT state, part FROM {schedule.as_values(schedule.node_ordering(PARTS, 4))}), np AS (SELECT vec_id AS node_id, (vec_id // {PSIZE})::INT AS part FROM embeddings)
+SELECT node_id, np.part, state FROM np JOIN sch USING (part)""")
+def node_states_dispersed(spark, d):
+    """Nodes of a dispersed node ordering: its states are disjoint, so each node has one."""
+    emb, n = nodes(spark, d)
+    rows = emb.select(F.col("vec_id").alias("node_id"), partition.partition_of("vec_id", n, PARTS).alias("part"))
+    return analyze.assign_nodes(rows, schedule.as_table(spark, schedule.node_ordering(PARTS, 4)))
+
+
+@query(f"""{KG}, {SCHED}, np AS (SELECT vec_id AS node_id, (vec_id // {PSIZE})::INT AS part FROM embeddings), h AS (SELECT part, list(state ORDER BY state) AS s FROM sch GROUP BY ALL)
+SELECT node_id, np.part, s[({h_sql(31, 'node_id')} % len(s) + 1)::BIGINT] AS state FROM np JOIN h USING (part)""")
+def node_states_random(spark, d):
+    """Nodes of an ordering whose states overlap: one of those that hold the node's partition."""
+    emb, n = nodes(spark, d)
+    rows = emb.select(F.col("vec_id").alias("node_id"), partition.partition_of("vec_id", n, PARTS).alias("part"))
+    return analyze.assign_nodes(rows, _sched(spark).select("state", "part"))
+
+
+@query("""WITH s AS (SELECT event_type, value FROM events), p AS (SELECT unnest([0.5, 0.9, 0.99])::DOUBLE AS p),
+g AS (SELECT event_type, list(value ORDER BY value) FILTER (value IS NOT NULL) AS v FROM s GROUP BY ALL)
+SELECT event_type, p, v[greatest(1, ceil(p * len(v)))::BIGINT]::DOUBLE AS nearest,
+       round(v[floor(p * (len(v) - 1))::BIGINT + 1] + (v[least(len(v), floor(p * (len(v) - 1))::BIGINT + 2)] - v[floor(p * (len(v) - 1))::BIGINT + 1]) * (p * (len(v) - 1) - floor(p * (len(v) - 1))), 6) AS interpolated FROM g, p""")
+def sample_percentiles(spark, d):
+    return analyze.percentiles(table(spark, d, "events"), "value", (0.5, 0.9, 0.99), ("event_type",)).withColumn("interpolated", F.round("interpolated", 6))
+
+
+@query(f"""{KG}, {CHUNKED} SELECT batch_id, chunk, pos, {draw_sql(11, f'(batch_id // 4) * {negatives.CHUNKS} + chunk', 'pos', 'SELECT n FROM n')} AS neg FROM plan""")
+def neg_pooled(spark, d):
+    e, n = chunked(spark, d)
+    return negatives.pooled(e, NEGATIVES, n, 4)
+
+
+@query(f"""{KG}, {EMB}, c AS (SELECT emb.vec_id, label, list(list_inner_product(emb.e, rv) ORDER BY rl.rel) AS l FROM emb, rl GROUP BY ALL)
+SELECT vec_id AS node_id, round(ln(list_sum(list_transform(l, lambda v: exp(v)))) - l[(label + 1)::BIGINT], 6) + 0.0 AS loss FROM c""")
+def loss_cross_entropy(spark, d):
+    """Seven logits a node, the label as their class; a label beyond them has no loss."""
+    emb, _ = nodes(spark, d)
+    rel = relations(emb).orderBy("vec_id").select(F.col("embedding").cast("array<double>")).collect()  # seven rows
+    logits = F.array(*[V.dot(F.col("e"), F.array(*[F.lit(x) for x in r[0]])) for r in rel])
+    rows = emb.select("vec_id", "label", V.doubles("embedding").alias("e")).select(F.col("vec_id").alias("node_id"), "label", logits.alias("logits"))
+    return scoring.cross_entropy(rows).select("node_id", (F.round("loss", 6) + 0.0).alias("loss"))
+
+
+for _name in ("softmax_ce", "mse", "ranking"):
+    for _reduction in ("sum", "mean"):
+        _terms = {"softmax_ce": "1", "mse": "k + 1", "ranking": "k"}[_name]
+        QUERIES[f"reduced_{_name}_{_reduction}"] = lambda spark, d, a=_name, b=_reduction: scoring.reduced(scoring.losses(scored_negatives(spark, d)), a, b).select(F.round("loss", 4).alias("loss"))
+        SQL[f"reduced_{_name}_{_reduction}"] = f"WITH {_SC}, e AS (SELECT {_LOSS[_name]} AS l, count(score) AS k FROM sc GROUP BY edge_id) SELECT round(sum(l)::DOUBLE{f' / sum({_terms})' if _reduction == 'mean' else ''}, 4) AS loss FROM e"
