@@ -146,10 +146,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str] |
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
-    version = hashlib.md5(b"\0".join(shared.value[0]) + pattern.encode()).hexdigest()
 
     def run(batches):
-        codec = _codec(version, shared)
+        codec = Codec(*shared.value)  # of a task: kept by workers, it would take 100 MB of each while other stages run
         for batch in batches:
             for at, packed in _encoded(codec, batch.column(0)):
                 columns = [
@@ -166,17 +165,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str] |
     return docs.select("text", *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def _codec(version: str, shared) -> Codec:
-    """One codec a worker, with the pre-tokens that it has met: the tasks that follow find it."""
-    if version not in _codecs:
-        _codecs.clear()
-        _codecs[version] = Codec(*shared.value)
-    return _codecs[version]
-
-
 def _encoded(codec: Codec, column: pa.Array):
     """(first row, packed ids of it and the following rows): a few MB of text at a time."""
     held, size, first = [], 0, 0

@@ -155,17 +155,15 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
     empty result, and a model of no language keeps nothing."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        m = shared.value
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        m, texts = shared.value, column.to_pylist()
         out = np.zeros(len(texts))
         known = [i for i, t in enumerate(texts) if t is not None and m.langs and _LETTER.search(t)]
         if known:
-            s = _totals([texts.iloc[i] for i in known], m) + m.prior
+            s = _totals([texts[i] for i in known], m) + m.prior
             out[known] = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
-        return pd.Series(out)
+        return pa.array(out)
 
     return docs.filter(score(F.col("text")) >= least)
 
