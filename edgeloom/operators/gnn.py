@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions import vectors as V
+from edgeloom.functions.work import materialise
+from edgeloom.operators import graph
 
 
 def vector_sum(rows: DataFrame, key: list[str], vector: str, dim: int, name: str = "x", mean: bool = False) -> DataFrame:
@@ -152,3 +154,28 @@ def encode(edges: DataFrame, x: DataFrame, layers: list) -> DataFrame:
     for f, bias, activation in layers:
         x = f(edges, x).select("node_id", finish(F.col("x"), bias, activation).alias("x"))
     return x
+
+
+def encode_sampled(seeds: DataFrame, edges: DataFrame, x: DataFrame, layers: list, method: str = "all", limit: int = 10, rate: float = 0.5, seed: int = 1) -> DataFrame:
+    """``node_id, x`` of ``seeds`` (node_id) through a stack of layers over their sampled neighbourhood; ``edges`` have edge_id.
+
+    Hop k samples the in- and out-edges of the nodes that hop k - 1 reached.  The first layer uses the edges of all hops and each
+    further one drops the outermost hop; a layer's output is kept for the nodes that later layers need."""
+    reached = materialise(seeds.select("node_id").distinct()).withColumn("hop", F.lit(0))
+    frontier, sampled = reached.select("node_id"), []
+    for k in range(len(layers)):
+        both = [graph.neighbours(frontier, edges, incoming).withColumn("incoming", F.lit(incoming)) for incoming in (True, False)]
+        drawn = graph.sample(both[0].unionByName(both[1]), method, limit, rate, seed + k)
+        found = materialise(drawn.select("edge_id", "rel", "incoming", "node_id", "nbr").distinct())
+        sampled.append(found)
+        frontier = materialise(found.select(F.col("nbr").alias("node_id")).distinct().join(reached, "node_id", "left_anti"))
+        reached = reached.unionByName(frontier.withColumn("hop", F.lit(k + 1)))
+    for depth, (f, bias, activation) in zip(range(len(layers) - 1, -1, -1), layers):
+        used = sampled[0]
+        for found in sampled[1 : depth + 1]:
+            used = used.unionByName(found)
+        used = used.select("edge_id", "rel", F.when(F.col("incoming"), F.col("nbr")).otherwise(F.col("node_id")).alias("src"), F.when(F.col("incoming"), F.col("node_id")).otherwise(F.col("nbr")).alias("dst")).distinct()
+        needed = reached.filter(F.col("hop") <= depth).select("node_id")
+        x = f(used, x.join(reached.select("node_id"), "node_id", "left_semi")).join(needed, "node_id", "left_semi")
+        x = materialise(x.select("node_id", finish(F.col("x"), bias, activation).alias("x")))
+    return x

@@ -7,6 +7,8 @@ before the shuffle), so neither a hub nor a relation that all edges share is one
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,8 +61,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.exp(-np.logaddexp(0, -x))
 
 
-def loss_and_slopes(loss: str, pos: np.ndarray, neg: np.ndarray, owner: np.ndarray, margin: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Loss of each edge and its derivatives by the positive (one an edge) and by the negatives (``owner``: their edges)."""
+def loss_and_slopes(loss: str | Callable, pos: np.ndarray, neg: np.ndarray, owner: np.ndarray, margin: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss of each edge and its derivatives by the positive (one an edge) and by the negatives (``owner``: their edges).
+
+    ``loss`` may be a function of (pos, neg, owner) that returns the same three arrays."""
+    if callable(loss):
+        return loss(pos, neg, owner)
     n = len(pos)
     add = lambda x: np.bincount(owner, weights=x, minlength=n)
     if loss == "softmax_ce":
@@ -118,7 +124,7 @@ def _gathered(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, relations: D
     return rows.withColumn("n", F.coalesce("n", none)).select("edge_id", F.col("src").cast("bigint"), F.col("rel").cast("bigint"), F.col("dst").cast("bigint"), "s", "r", "t", F.col("n.neg").cast("array<bigint>").alias("neg"), F.flatten("n.v").alias("v"))
 
 
-def gradients(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, relations: DataFrame, decoder: str = "distmult", loss: str = "softmax_ce", margin: float = 0.1) -> DataFrame:
+def gradients(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, relations: DataFrame, decoder: str = "distmult", loss: str | Callable = "softmax_ce", margin: float = 0.1) -> DataFrame:
     """``kind, id, g``: parts of the gradients of nodes (kind 0) and relations (1), to be summed by id, and of the loss (2: its sum, the
     number of edges and of negatives).
 
@@ -190,7 +196,7 @@ def resident_local(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def step(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, relations: DataFrame, decoder: str = "distmult", loss: str = "softmax_ce", margin: float = 0.1,
+def step(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, relations: DataFrame, decoder: str = "distmult", loss: str | Callable = "softmax_ce", margin: float = 0.1,
          reduction: str = "sum", rate: float = 0.1, dense: optim.DenseRule | None = None, number: int = 1) -> tuple[DataFrame, DataFrame, float]:
     """One step over all edges: the new node table (node_id, x, state), the new relation table, and the loss.
 

@@ -64,6 +64,13 @@ class Config:
         if not self.remap_ids and (self.train_nodes_first or self.top_degree_first):
             raise ValueError("ids can be put in order only if they are made anew")
 
+    @classmethod
+    def of_preset(cls, name: str, edges: str | list[str], dataset: str, **more) -> "Config":
+        """Settings of a public dataset whose files are at ``edges``: its columns, separator, header and split (three files bring theirs)."""
+        p = readers.PRESETS[name]
+        own = {"columns": p.columns, "sep": p.sep, "header_lines": p.header_lines} | ({"split": list(p.split)} if p.split else {})
+        return cls(dataset=dataset, edges=edges, **(own | more))
+
     @classmethod
     def load(cls, path: str) -> "Config":
         with open(path) as f:

@@ -109,3 +109,19 @@ def test_rgcn_rewards_and_theta_sketch(spark):
 
     few = spark.range(100).select(F.lit(0).alias("g"), F.col("id").alias("src"), F.col("id").alias("dst"))
     assert round(analyze.sketch_distinct(few, "g").first()["estimate"]) == 100
+
+
+def test_a_sampled_encoding_of_all_neighbours_is_the_whole_one(spark):
+    rng = np.random.default_rng(8)
+    n = 12
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, (15, 2))]
+    e = spark.createDataFrame([(i, a, 0, b) for i, (a, b) in enumerate(pairs)], "edge_id bigint, src bigint, rel int, dst bigint")
+    x = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(n)], "node_id bigint, x array<double>")
+    w = [rng.normal(size=(3, 3)) for _ in range(4)]
+    layers = [(lambda e, x: gnn.sage(e, x, 3, w[0], w[1]), np.ones(3) * 0.1, "relu"), (lambda e, x: gnn.sage(e, x, 3, w[2], w[3]), None, "sigmoid")]
+    seeds = spark.createDataFrame([(0,), (5,), (5,)], "node_id bigint")
+    whole = {r.node_id: r.x for r in gnn.encode(e, x, layers).collect()}
+    got = {r.node_id: r.x for r in gnn.encode_sampled(seeds, e, x, layers).collect()}
+    assert set(got) == {0, 5} and all(np.allclose(got[i], whole[i]) for i in got)
+    few = gnn.encode_sampled(seeds, e, x, layers, "uniform", limit=1).collect()
+    assert {r.node_id for r in few} == {0, 5}

@@ -71,3 +71,9 @@ def test_config():
     for bad in ({"columns": [0]}, {"loss": "x"}, {"strategy": "x"}, {"remap_ids": False, "num_nodes": 1, "num_relations": 1, "top_degree_first": 3}):
         with pytest.raises(ValueError):
             replace(runs.Config(), **bad)
+
+
+def test_presets():
+    c = runs.Config.of_preset("twitter", "t.txt", "out", dim=16)
+    assert (c.columns, c.sep, c.split, c.dim) == ([0, 1], " ", [0.9, 0.05, 0.05], 16)
+    assert runs.Config.of_preset("freebase86m", ["a", "b", "c"], "out").columns == [0, 2, 1]

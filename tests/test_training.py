@@ -146,3 +146,18 @@ def test_generator_step(spark):
     assert np.array([q.x for q in got.orderBy("node_id").collect()]) == pytest.approx(y - 0.1 * g / np.sqrt(0.1 + g * g), abs=1e-5)
     lists = training.resident_local(*[spark.createDataFrame([(k, [1.0])], "node_id bigint, g array<double>") for k in (1, 2, 1)])
     assert {q.node_id: q.g for q in optim.reduce_gradients(lists, 1).collect()} == {1: [2.0], 2: [1.0]}
+
+
+def test_a_loss_of_ones_own(spark):
+    def hinge(pos, neg, owner):
+        over = np.maximum(neg - pos[owner] + 1, 0)
+        slope = (over > 0).astype(float)
+        return np.bincount(owner, weights=over, minlength=len(pos)), -np.bincount(owner, weights=slope, minlength=len(pos)), slope
+
+    e = spark.createDataFrame([(0, 0, 0, 1)], "edge_id bigint, src bigint, rel bigint, dst bigint")
+    x, r = np.eye(3)[:, :3] + 0.5, np.ones((1, 3))
+    rel = optim.DenseRule().start(table(spark, "rel", r))
+    args = (e, spark.createDataFrame([(0, 2)], "edge_id bigint, neg bigint"), table(spark, "node_id", x, state=0.1), rel)
+    own = training.step(*args, "distmult", hinge)
+    same = training.step(*args, "distmult", "ranking", margin=1.0)
+    assert own[2] == pytest.approx(same[2]) and sorted(own[0].collect()) == sorted(same[0].collect())
