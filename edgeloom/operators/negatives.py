@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from edgeloom.functions.hashing import draw, h
+from edgeloom.functions.keyfilter import with_maybe
+from edgeloom.functions.work import materialise
 
 
 #: Chunks of a batch at most, so that a batch and a chunk make one integer key.
@@ -125,6 +127,28 @@ def filter_known(pairs: DataFrame, known: DataFrame, side: str = "dst", same_bat
     return pairs.join(facts, keys, "left_anti")
 
 
+def unknown_counts(scored: DataFrame, known: DataFrame, side: str = "dst", key: str = "edge_id") -> DataFrame:
+    """``key, better``: of each edge the candidates that score at least as its positive and form no edge of ``known``; and ``bad``, its scores
+    that are not finite.
+
+    Candidates are counted where they are scored; only those that a filter of the known edges cannot rule out are shuffled
+    for the exact comparison."""
+    facts, keys = _facts(known, side, False, ())
+    odd = lambda c: F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    rows = with_maybe(scored, [F.col(c) for c in keys], facts.select(*keys))
+    reaches = F.col("score") >= F.col("pos_score")
+    fixed = [c for c in keys if c != "neg"]
+    own = rows.groupBy(key).agg(
+        F.count_if(reaches & ~F.col("maybe")).alias("sure"),
+        F.collect_list(F.when(reaches & F.col("maybe"), F.struct(*keys))).alias("open"),
+        F.count_if(odd("score") | odd("pos_score")).alias("bad"),
+    )
+    own = materialise(own)
+    opened = own.select(key, F.explode("open").alias("o")).select(key, "o.*")
+    left = opened.join(facts, [*fixed, "neg"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("more"))
+    return own.join(left, key, "left").select(key, (F.col("sure") + F.coalesce("more", F.lit(0))).alias("better"), "bad")
+
+
 def mask_known(scored: DataFrame, known: DataFrame, side: str = "dst", same_batch: bool = False, qualifiers: tuple[str, ...] = ()) -> DataFrame:
     """``scored`` with a null score where ``filter_known`` drops the row: such a candidate never counts, and its edge remains."""
     facts, keys = _facts(known, side, same_batch, qualifiers)

@@ -171,6 +171,14 @@ def rank(scored: DataFrame, key: str = "edge_id") -> DataFrame:
     return ranks.withColumn("rank", F.when(F.col("__bad") > 0, F.raise_error(F.lit("score is not finite"))).otherwise(F.col("rank"))).drop("__bad")
 
 
+def filtered_rank(scored: DataFrame, known: DataFrame, key: str = "edge_id") -> DataFrame:
+    """``key, rank`` as ``rank`` gives for candidates masked by ``known``, without shuffling all of them."""
+    from edgeloom.operators.negatives import unknown_counts
+
+    counts = unknown_counts(scored, known, key=key)
+    return counts.select(key, F.when(F.col("bad") > 0, F.raise_error(F.lit("score is not finite"))).otherwise(F.col("better") + 1).alias("rank"))
+
+
 HITS = (1, 3, 5, 10, 50, 100)
 
 

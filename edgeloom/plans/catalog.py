@@ -300,12 +300,17 @@ for _name, _expr in {
     SQL[f"score_{_name}"] = f"WITH {_SRD} SELECT edge_id, round({_expr}, 6) AS score FROM p"
 
 
-def scored_negatives(spark, d) -> DataFrame:
-    """edge_id, pos, neg, pos_score, score: uniform negatives under DistMult, the score of known edges masked."""
+def _scored(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Uniform negatives of all edges under DistMult, and the edges."""
     e, n = chunked(spark, d)
     emb, _ = nodes(spark, d)
     own = e.select("edge_id", "batch_id", "chunk", "src", "rel", "dst")
-    scored = scoring.score_negatives(own, negatives.uniform(e, NEGATIVES, n), emb, relations(emb))
+    return scoring.score_negatives(own, negatives.uniform(e, NEGATIVES, n), emb, relations(emb)), e
+
+
+def scored_negatives(spark, d) -> DataFrame:
+    """edge_id, pos, neg, pos_score, score: the score of known edges is masked."""
+    scored, e = _scored(spark, d)
     return negatives.mask_known(scored, e).select("edge_id", "pos", "neg", "pos_score", "score")
 
 
@@ -319,13 +324,13 @@ sc AS (SELECT edge_id, pos, neg, pos_score, CASE WHEN NOT known THEN list_inner_
 
 @query(f"{_SC} SELECT edge_id, count_if(score >= pos_score) + 1 AS rank FROM sc GROUP BY ALL")
 def rank_sampled(spark, d):
-    return scoring.rank(scored_negatives(spark, d))
+    return scoring.filtered_rank(*_scored(spark, d))
 
 
 @query(f"""{_SC}, rk AS (SELECT edge_id, count_if(score >= pos_score) + 1 AS rank FROM sc GROUP BY ALL)
 SELECT count(*) AS n, round(avg(1 / rank), 6) AS mrr, round(avg(rank), 6) AS mean_rank, {", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS hits_{k}" for k in scoring.HITS)} FROM rk""")
 def lp_metrics(spark, d):
-    return scoring.metrics(scoring.rank(scored_negatives(spark, d)))
+    return scoring.metrics(scoring.filtered_rank(*_scored(spark, d)))
 
 
 @query(f"{_SC} SELECT edge_id, pos, neg FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY round(score, 9) DESC, pos) AS k FROM sc WHERE score IS NOT NULL) WHERE k <= 3")

@@ -178,7 +178,7 @@ def evaluate(spark: SparkSession, c: Config, checkpoint: str) -> DataFrame:
     e, neg = _negatives(_split(spark, c, "test"), c, emb.count())
     scored = scoring.score_negatives(e.select("edge_id", "batch_id", "chunk", "src", "rel", "dst"), neg, emb, rel, c.decoder)
     known = reduce(DataFrame.unionByName, [_split(spark, c, name) for name in _splits(c)])
-    ranks = scoring.rank(negatives.mask_known(scored, known))
+    ranks = scoring.filtered_rank(scored, known)
     sinks.write_scores(e.join(ranks, "edge_id"), f"{c.dataset}/ranks")
     return scoring.metrics(ranks)
 

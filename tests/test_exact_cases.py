@@ -46,6 +46,20 @@ def test_an_edge_whose_negatives_are_all_known_ranks_first(spark):
     assert scoring.top_k(masked, 2).count() == 1
 
 
+def test_filtered_ranks_are_those_of_masked_scores(spark):
+    rng = np.random.default_rng(9)
+    rows = [(e, e % 7, e % 3, p, int(rng.integers(20)), float(rng.integers(4)), float(rng.integers(4))) for e in range(60) for p in range(5)]
+    positive = {e: s for e, *_, s, _ in rows}
+    rows = [(e, s, r, p, n, positive[e], x) for e, s, r, p, n, _, x in rows]
+    scored = spark.createDataFrame(rows, "edge_id bigint, src bigint, rel int, pos int, neg bigint, pos_score double, score double")
+    known = spark.createDataFrame([(int(a), int(b), int(c)) for a, b, c in zip(rng.integers(7, size=150), rng.integers(3, size=150), rng.integers(20, size=150))], "src int, rel bigint, dst int")
+    want = {r.edge_id: r["rank"] for r in scoring.rank(negatives.mask_known(scored, known)).collect()}
+    assert {r.edge_id: r["rank"] for r in scoring.filtered_rank(scored, known).collect()} == want and 1 in want.values()
+    assert scoring.filtered_rank(scored.limit(0), known).count() == 0
+    with pytest.raises(Exception):
+        scoring.filtered_rank(scored.withColumn("score", F.lit(float("nan"))), known).collect()
+
+
 def test_saturated_scores_lose_no_term(spark):
     rows = [(0, 0.5, 50.0), (0, 0.5, 0.0), (1, -800.0, 0.0), (2, 1.0, 900.0)]
     got = {r.edge_id: r for r in scoring.losses(spark.createDataFrame(rows, "edge_id bigint, pos_score double, score double")).collect()}
