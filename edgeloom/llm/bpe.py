@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm.common import small_batches
+
 #: Characters of text that are cut into pre-tokens at a time, roughly.
 SLICE = 1 << 20
 #: Pre-tokens whose ids are kept by a worker (about 150 bytes each).
@@ -162,7 +164,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str] |
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
 
-    return docs.select("text", *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return small_batches(docs.select("text", *[F.col(f"`{c}`") for c in keep])).mapInArrow(run, schema)
 
 
 def _encoded(codec: Codec, column: pa.Array):

@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: key filters, anti-joins that shuffle few texts, and the work tables of the library."""
+"""Helpers shared by the training-data operators: anti-joins that shuffle few texts, small batches; the rest is the library's."""
 
 from __future__ import annotations
 
@@ -8,27 +8,20 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.functions.keyfilter import maybe_among  # noqa: F401
 from edgeloom.functions.work import checked_broadcast, made, materialise, release, salted_left_join, work_dir  # noqa: F401
 
-#: Bits of a key filter: 1,024 bitmaps of 4 kB (4 MB) at most, whatever the number of keys.
-FILTER_BITS = 1 << 25
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def maybe_among(rows: DataFrame, columns: list[Column], keys: DataFrame, negate: bool = False) -> DataFrame:
-    """Rows whose ``columns`` may equal a row of ``keys`` (its columns in the same order): no such row is lost, few others pass.
-    ``negate``: the other rows, none of which is among ``keys``.
-
-    The keys' hashes set bits of at most ``FILTER_BITS``, which are broadcast, so a join that follows shuffles hardly more
-    than the rows that it keeps.  With very many keys the filter lets more rows pass; the join is exact all the same.
-    """
-    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS)) + 1
-    marks = keys.select(place(keys.columns).alias("h")).withColumn("__bucket", F.bitmap_bucket_number("h")).repartition("__bucket")
-    bits = marks.groupBy("__bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
-    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(columns)) == F.col("__bucket"), "left")
-    at = F.bitmap_bit_position(place(columns))
-    byte = F.conv(F.hex(F.col("__bits").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
-    return joined.filter(~hit if negate else hit).drop("__bucket", "__bits")
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose texts go to Python in batches of ``BATCH_BYTES`` unless the session says otherwise: some texts are very long, and
+    what a worker and its JVM hold grows with a batch."""
+    if _BATCH not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+    return df
 
 
 def without(docs: DataFrame, columns: list[Column], keys: DataFrame) -> DataFrame:

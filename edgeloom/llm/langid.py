@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm.common import crc_of_id, small_batches
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Labelled rows of each language that the fit reads, in expectation (a hash of the id selects them).
@@ -90,7 +92,7 @@ def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG, smoothing: floa
             b = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), lang, dtype=np.int32)), pa.array(b.astype(np.int32)), pa.array(own[b])], names=["l", "b", "n"])
 
-    rows = picked.select("place", "text").mapInArrow(count, "l int, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
+    rows = small_batches(picked.select("place", "text")).mapInArrow(count, "l int, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((buckets, len(langs)), smoothing)
     counts[rows["b"].to_numpy(), rows["l"].to_numpy()] += rows["n"].to_numpy()
     total = sum(sizes.values())
@@ -145,7 +147,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     langs[i], scores[i] = m.langs[j], q
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -165,10 +167,8 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
             out[known] = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
         return pa.array(out)
 
-    return docs.filter(score(F.col("text")) >= least)
+    return small_batches(docs).filter(score(F.col("text")) >= least)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    from edgeloom.llm.common import crc_of_id
-
     return crc_of_id(id_col) % 4 == 2

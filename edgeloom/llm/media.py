@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm.common import small_batches
+
 #: Rows of pixels whose prefix sums are held at a time.
 BAND = 4096
 
@@ -141,7 +143,7 @@ def tiles(images: DataFrame, id_col: str = "id", image_col: str = "image", side:
             c = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(c, (pa.int32(), pa.int32(), pa.binary(), pa.string())))], names=["id", "height", "width", "tile", "dhash"])
 
-    return images.select(F.col(id_col).alias("id"), image_col).mapInArrow(run, f"id {kind}, height int, width int, tile binary, dhash string")
+    return small_batches(images.select(F.col(id_col).alias("id"), image_col)).mapInArrow(run, f"id {kind}, height int, width int, tile binary, dhash string")
 
 
 #: Payloads are padded to a multiple of this; it is also the width of the stored picture.
@@ -178,6 +180,6 @@ def text_media(docs: DataFrame, tile_side: int = 16) -> DataFrame:
             columns = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", *names])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
+    return small_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text"))).mapInArrow(
         run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     )

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import materialise, maybe_among, one_each, salted_left_join, without
+from edgeloom.llm.common import materialise, maybe_among, one_each, salted_left_join, small_batches, without
 from edgeloom.llm.components import components
 
 SEED = 42
@@ -108,7 +108,7 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64) -> DataFrame:
             ones = [int.from_bytes(f, "big").bit_count() for f in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array(ones, pa.int32())], names=["doc_id", "fp", "ones"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary, ones int")
+    return small_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text"))).mapInArrow(run, f"doc_id {kind}, fp binary, ones int")
 
 
 def tile_links(fp: np.ndarray, ones: np.ndarray, radius: int, tile: int = TILE) -> list[tuple[int, int]]:
@@ -291,7 +291,7 @@ def profiles(docs: DataFrame, words: int, bits: int, anchors: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *body], names=["doc_id", "text_key", "node", "fp", "size", "anchors"])
 
     rows = docs.select("doc_id", text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, node binary, fp binary, size int, anchors array<bigint>")
+    return small_batches(rows).mapInArrow(run, f"doc_id {kind}, text_key binary, node binary, fp binary, size int, anchors array<bigint>")
 
 
 CELL = ["tbl", "key", "cell"]
@@ -470,7 +470,7 @@ def _verified(cells: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: f
             made = [shingle_set(t.as_py() or b"", words).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], names=["doc_id", "text_key", "members"])
 
-    held = texts.mapInArrow(sets, f"doc_id {kind}, text_key binary, members binary")
+    held = small_batches(texts).mapInArrow(sets, f"doc_id {kind}, text_key binary, members binary")
     held = held.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("node", "fp", "size", "anchors", "members")
 
     def verified(batches):

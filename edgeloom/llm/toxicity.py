@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import crc_of_id
+from edgeloom.llm.common import crc_of_id, small_batches
 
 DIMS = 1 << 20
 #: Labelled rows that the fit reads, in expectation (a hash of the id selects them).
@@ -157,7 +157,7 @@ def fit(labelled: DataFrame, passes: int = PASSES) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(every.astype(np.int32)), pa.array(w[every])], names=["i", "w"])
 
     # one task by design: online learning of about MAX_ROWS rows
-    rows = sample.repartition(1).sortWithinPartitions("h", "y", "text").mapInArrow(run, "i int, w double").toArrow()
+    rows = small_batches(sample.repartition(1).sortWithinPartitions("h", "y", "text")).mapInArrow(run, "i int, w double").toArrow()
     out = np.zeros(DIMS + 1, dtype=np.float32)
     out[rows["i"].to_numpy()] = rows["w"].to_numpy()
     return out
@@ -186,7 +186,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
             p = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

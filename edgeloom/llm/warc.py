@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import materialise, salted_left_join
+from edgeloom.llm.common import materialise, salted_left_join, small_batches
 
 #: Uncompressed bytes after which a new archive begins; a record is never split.
 ARCHIVE_BYTES = 8 << 20
@@ -150,7 +150,7 @@ def write_monolithic(records: DataFrame) -> DataFrame:
         if size:
             yield close()
 
-    return records.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "archive string, data binary")
+    return small_batches(records.select("page_id", "url", "payload", "refers_to")).mapInArrow(run, "archive string, data binary")
 
 
 def normalise(archives: DataFrame, part_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -167,7 +167,7 @@ def normalise(archives: DataFrame, part_bytes: int = ARCHIVE_BYTES) -> DataFrame
                     own = name.as_py() if not k else f"{name.as_py()}-{k:05d}"
                     yield pa.RecordBatch.from_arrays([pa.array([own], pa.string()), pa.array([body], pa.binary()), pa.array([cdx], pa.string())], names=["archive", "data", "cdx"])
 
-    return archives.select("archive", "data").mapInArrow(run, "archive string, data binary, cdx string")
+    return small_batches(archives.select("archive", "data")).mapInArrow(run, "archive string, data binary, cdx string")
 
 
 def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -220,7 +220,7 @@ def read_records(archives: DataFrame, payloads: bool = False) -> DataFrame:
                 names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 5 + payloads]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[: len(names)], types)], names=names)
 
-    return archives.select("data", "cdx").mapInArrow(run, schema)
+    return small_batches(archives.select("data", "cdx")).mapInArrow(run, schema)
 
 
 def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
