@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions import vectors as V
 from edgeloom.functions.hashing import M, draw_sql, h_numpy, h_sql
 from edgeloom.functions.ranking import by_value, number_rows
-from edgeloom.operators import analyze, checks, gnn, graph, ids, negatives, optim, partition, scoring, training
+from edgeloom.operators import analyze, checks, gnn, gnn_training, graph, ids, negatives, optim, partition, scoring, training
 from edgeloom.plans import schedule
 from edgeloom.streaming.events import windowed_counts
 
@@ -922,6 +922,19 @@ def encode_two_layers(spark, d):
     return _rounded(gnn.encode(kg(spark, d, False)[0], _x(spark, d), layers))
 
 
+@query(f"""{KG}, {_X0}, {_TWO}, {_SAGE(8, 'x0', DIM, 1, 2, 'o')}, lab AS (SELECT vec_id AS node_id, label FROM embeddings WHERE label BETWEEN 0 AND 7),
+s AS (SELECT node_id, label, x, list_max(x) AS m FROM o JOIN lab USING (node_id)), z AS (SELECT node_id, label, list_transform(x, lambda v: exp(v - m)) AS e FROM s),
+g AS (SELECT node_id, list_transform(range(1, 9), lambda k: (e[k] / list_sum(e) - (label = k - 1)::INT) / n) AS g FROM z, (SELECT count(*) AS n FROM lab)),
+i AS (SELECT node_id, g, x0.x, coalesce(a, {_zeros(DIM)}) AS a FROM g JOIN x0 USING (node_id) LEFT JOIN o_n USING (node_id)), kj AS (SELECT k.range::INT AS k, j.range::INT AS j FROM range(8) k, range({DIM}) j)
+SELECT 'self' AS weight, k, j, round(sum(g[k + 1] * x[j + 1]), 6) + 0.0 AS g FROM i, kj GROUP BY ALL UNION ALL SELECT 'nbr', k, j, round(sum(g[k + 1] * a[j + 1]), 6) + 0.0 FROM i, kj GROUP BY ALL""")
+def gnn_weight_gradients(spark, d):
+    """Gradients of a layer's weights for node classification over all labelled nodes."""
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), "label")
+    found, _, _ = gnn_training.gradients(kg(spark, d, False)[0], _x(spark, d), labels, [gnn_training.Sage({"self": _weights(8, 1), "nbr": _weights(8, 2)})])
+    rows = [(name, k, j, round(float(g), 6) + 0.0) for name, w in found[0].items() for (k, j), g in np.ndenumerate(w)]  # two matrices of 8 x 64
+    return spark.createDataFrame(rows, "weight string, k int, j int, g double")
+
+
 for _kind, _f in {"uniform": "u * 2 - 1", "normal": "sqrt(-2 * ln(u)) * cos(2 * pi() * u2)"}.items():
     QUERIES[f"init_{_kind}"] = lambda spark, d, k=_kind: nodes(spark, d)[0].select(F.col("vec_id").alias("node_id"), F.posexplode(optim.initialise(k, 4, "vec_id")).alias("i", "x")).withColumn("x", F.round("x", 6) + 0.0)
     SQL[f"init_{_kind}"] = f"WITH k AS (SELECT vec_id AS node_id, k.range::INT AS i, ({h_sql(3, 'vec_id', 'k.range')} + 0.5::DOUBLE) / {M} AS u, ({h_sql(4, 'vec_id', 'k.range')} + 0.5::DOUBLE) / {M} AS u2 FROM embeddings, range(4) k) SELECT node_id, i, round({_f}, 6) + 0.0 AS x FROM k"
