@@ -30,12 +30,11 @@ def without(docs: DataFrame, columns: list[Column], keys: DataFrame) -> DataFram
     Few keys are broadcast.  Many are joined, but only rows that pass a filter of the keys are shuffled with their texts.
     """
     keys = keys.toDF(*[f"__key{i}" for i in range(len(columns))]).distinct()
-    same = reduce(and_, [c.eqNullSafe(F.col(f"__key{i}")) for i, c in enumerate(columns)])
+    marked, own, row = _marked(docs, columns)  # a column is computed once, however often the join's condition names it
+    same = reduce(and_, [c.eqNullSafe(F.col(f"__key{i}")) for i, c in enumerate(own)])
     few = checked_broadcast(keys)
     if few is not keys:
-        return docs.join(few, same, "left_anti")
-    marked, own, row = _marked(docs, columns)
-    same = reduce(and_, [c.eqNullSafe(F.col(f"__key{i}")) for i, c in enumerate(own)])
+        return marked.join(few, same, "left_anti").select(f"{row}.*")
     kept = maybe_among(marked, own, keys).join(keys, same, "left_anti").unionByName(maybe_among(marked, own, keys, negate=True))
     return kept.select(f"{row}.*")
 
