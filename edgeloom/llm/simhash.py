@@ -272,6 +272,20 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *shingle_hashes(text, words)]))
 
 
+#: Bytes of a shingle's hash in the sets that are moved: two shingles of a pair of sets agree by chance in one of a billion pairs.
+HASH_BYTES = 6
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // HASH_BYTES, 8), dtype=np.uint8)
+    wide[:, :HASH_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, HASH_BYTES)
+    return wide.view("<u8")[:, 0]
+
+
 def text_key(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
@@ -430,7 +444,7 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
 def set_links(rows: list[tuple], tbl: int, similarity: float, radius: int) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the pairs of a cell (node, fp, size, anchors, ask, set) whose sets have this Jaccard similarity at least."""
     rows, fp, size, anchors, ask = _sorted_cell(rows)
-    every, flat = np.unique(np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint64), return_inverse=True)
+    every, flat = np.unique(unpacked(b"".join(r[5] for r in rows)), return_inverse=True)
     ends = np.cumsum(size)
     own = [flat[e - n : e] for e, n in zip(ends.tolist(), size.tolist())]
     mark, group, links = np.zeros(len(every), dtype=np.int32), np.arange(len(rows)), []
@@ -467,7 +481,7 @@ def _verified(cells: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: f
 
     def sets(batches):
         for batch in batches:
-            made = [shingle_set(t.as_py() or b"", words).tobytes() for t in batch.column(2)]
+            made = [packed(shingle_set(t.as_py() or b"", words)) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], names=["doc_id", "text_key", "members"])
 
     held = small_batches(texts).mapInArrow(sets, f"doc_id {kind}, text_key binary, members binary")
