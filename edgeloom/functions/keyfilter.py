@@ -1,4 +1,4 @@
-"""Filters of keys: a bounded bitmap tells rows that cannot match from those that may, so that an exact join shuffles few rows."""
+"""Filters of keys: a bounded set of bits tells rows that cannot match from those that may, so that an exact join shuffles few rows."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-#: Bits of a key filter: 1,024 bitmaps of 4 kB (4 MB) at most, whatever the number of keys.
-FILTER_BITS = 1 << 25
+#: Bits of a key filter: 262,144 words of 64 bits at most, whatever the number of keys (about 6 MB as broadcast).
+FILTER_BITS = 1 << 24
 
 
 def _alike(rows: DataFrame, columns: list[Column], keys: DataFrame) -> tuple[list[Column], list[Column]]:
@@ -28,13 +28,14 @@ def with_maybe(rows: DataFrame, columns: list[Column], keys: DataFrame, name: st
     The keys' hashes set bits of at most ``bits``, which are broadcast.  With very many keys more rows are told true; what
     follows must be exact all the same."""
     ours, theirs = _alike(rows, columns, keys)
-    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(bits)) + 1
-    marks = keys.select(place(theirs).alias("h")).withColumn("__bucket", F.bitmap_bucket_number("h")).repartition("__bucket")
-    maps = marks.groupBy("__bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
-    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(ours)) == F.col("__bucket"), "left")
-    at = F.bitmap_bit_position(place(ours))
-    byte = F.conv(F.hex(F.col("__bits").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return joined.withColumn(name, F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop("__bucket", "__bits")
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(bits)).cast("bigint")
+    word = lambda h: F.shiftright(h, 6)
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), (h % 64).cast("int"))
+    marks = keys.select(place(theirs).alias("h"))
+    maps = F.broadcast(marks.groupBy(word(F.col("h")).alias("__word")).agg(F.bit_or(bit(F.col("h"))).alias("__bits")))
+    joined = rows.join(maps, word(place(ours)) == F.col("__word"), "left")
+    hit = F.coalesce(F.col("__bits").bitwiseAND(bit(place(ours))) != 0, F.lit(False))
+    return joined.withColumn(name, hit).drop("__word", "__bits")
 
 
 def maybe_among(rows: DataFrame, columns: list[Column], keys: DataFrame, negate: bool = False) -> DataFrame:

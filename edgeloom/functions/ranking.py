@@ -14,6 +14,8 @@ from edgeloom.functions.hashing import M
 
 #: Buckets at least, and rows that a bucket holds on average in larger tables.
 BUCKETS, BUCKET_ROWS = 2048, 1 << 18
+#: Buckets of a hash or digest where the row count is not known: even ones, of 15 million rows in a table of 10**12.
+HASH_BUCKETS = 1 << 16
 
 
 def buckets_for(rows: int) -> int:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.functions.ranking import buckets_for, by_digest, number_rows
+from edgeloom.functions.ranking import HASH_BUCKETS, by_digest, number_rows
 
 
 def distinct_values(df: DataFrame, columns: list[str], name: str = "raw_id") -> DataFrame:
@@ -22,7 +22,7 @@ def encode(values: DataFrame, first: Column | None = None) -> DataFrame:
     """``raw_id`` (distinct) -> ``raw_id, mapped_id``.  Rows with ``first`` true get the lowest ids."""
     rank = F.lit(0) if first is None else F.when(first, 0).otherwise(1)
     rows = values.withColumn("digest", F.md5(F.col("raw_id").cast("binary"))).withColumn("later", rank)
-    bucket = F.concat(F.col("later").cast("string"), by_digest("digest", buckets_for(values.count())))
+    bucket = F.concat(F.col("later").cast("string"), by_digest("digest", HASH_BUCKETS))
     return number_rows(rows, bucket, ["later", "digest", "raw_id"], "mapped_id").select("raw_id", "mapped_id")
 
 

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from edgeloom.functions.hashing import draw, h
 from edgeloom.functions.keyfilter import with_maybe
-from edgeloom.functions.work import materialise
 
 
 #: Chunks of a batch at most, so that a batch and a chunk make one integer key.
@@ -135,18 +134,20 @@ def unknown_counts(scored: DataFrame, known: DataFrame, side: str = "dst", key:
     for the exact comparison."""
     facts, keys = _facts(known, side, False, ())
     odd = lambda c: F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
-    rows = with_maybe(scored, [F.col(c) for c in keys], facts.select(*keys))
+    rows = with_maybe(scored, [F.col(c) for c in keys], known.withColumnRenamed(side, "neg").select(*keys))
     reaches = F.col("score") >= F.col("pos_score")
-    fixed = [c for c in keys if c != "neg"]
     own = rows.groupBy(key).agg(
         F.count_if(reaches & ~F.col("maybe")).alias("sure"),
         F.collect_list(F.when(reaches & F.col("maybe"), F.struct(*keys))).alias("open"),
         F.count_if(odd("score") | odd("pos_score")).alias("bad"),
     )
-    own = materialise(own)
-    opened = own.select(key, F.explode("open").alias("o")).select(key, "o.*")
-    left = opened.join(facts, [*fixed, "neg"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("more"))
-    return own.join(left, key, "left").select(key, (F.col("sure") + F.coalesce("more", F.lit(0))).alias("better"), "bad")
+    rows = own.select(key, "sure", "bad", F.explode_outer("open").alias("o"))
+    # most edges have no open candidate: a number of their own keeps their rows apart in the join
+    spread = F.coalesce(F.col(f"o.{keys[0]}").cast("bigint"), -1 - F.pmod(F.xxhash64(key), F.lit(1 << 31)))
+    rows = rows.select(key, "sure", "bad", spread.alias(keys[0]), *[F.col(f"o.{c}").alias(c) for c in keys[1:]])
+    rows = rows.join(facts.withColumn("__known", F.lit(True)), keys, "left")
+    more = F.count_if(F.col("neg").isNotNull() & F.col("__known").isNull())
+    return rows.groupBy(key).agg((F.max("sure") + more).alias("better"), F.max("bad").alias("bad"))
 
 
 def mask_known(scored: DataFrame, known: DataFrame, side: str = "dst", same_batch: bool = False, qualifiers: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from edgeloom.functions.hashing import h
-from edgeloom.functions.ranking import buckets_for, by_hash, by_value, number_in_groups, number_rows
+from edgeloom.functions.ranking import HASH_BUCKETS, buckets_for, by_hash, by_value, number_in_groups, number_rows
 
 
 def partition_size(num_nodes: int, parts: int) -> int:
@@ -46,10 +46,10 @@ def permuted(edges: DataFrame, permutation: DataFrame) -> DataFrame:
     return edges
 
 
-def shuffled_rank(edges: DataFrame, seed: int, name: str = "place") -> DataFrame:
-    """Place of every edge in a full shuffle."""
-    rows = edges.withColumn("__h", h(seed, "edge_id"))
-    return number_rows(rows, by_hash(F.col("__h"), buckets_for(edges.count())), ["__h", "edge_id"], name).drop("__h")
+def shuffled_rank(edges: DataFrame, seed: int, name: str = "place", rows: int | None = None) -> DataFrame:
+    """Place of every edge in a full shuffle; ``rows`` is their number, if it is known."""
+    buckets = HASH_BUCKETS if rows is None else buckets_for(rows)
+    return number_rows(edges.withColumn("__h", h(seed, "edge_id")), by_hash(F.col("__h"), buckets), ["__h", "edge_id"], name).drop("__h")
 
 
 def split(edges: DataFrame, fractions: tuple[float, ...], seed: int = 1) -> DataFrame:
@@ -64,7 +64,7 @@ def split(edges: DataFrame, fractions: tuple[float, ...], seed: int = 1) -> Data
         # rounded: a sum of fractions may lie just below 1
         end = end + int(total * f) if name != "test" else int(round(sum(fractions), 9) * total)
         label = F.when(F.col("__at") < end, name) if label is None else label.when(F.col("__at") < end, name)
-    return shuffled_rank(edges, seed, "__at").withColumn("split", label).drop("__at").filter(F.col("split").isNotNull())
+    return shuffled_rank(edges, seed, "__at", total).withColumn("split", label).drop("__at").filter(F.col("split").isNotNull())
 
 
 def hold_out(edges: DataFrame, k: int, seed: int = 12345) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions import vectors as V
 from edgeloom.functions.hashing import M, draw_sql, h_numpy, h_sql
 from edgeloom.functions.ranking import by_value, number_rows
+from edgeloom.functions.work import materialise
 from edgeloom.operators import analyze, checks, gnn, gnn_training, graph, ids, negatives, optim, partition, scoring, training
 from edgeloom.plans import schedule
 from edgeloom.streaming.events import windowed_counts
@@ -80,8 +81,9 @@ def hetero(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunked(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Numbered edges in batches and chunks, written once: the queries read them several times."""
     edges, n = kg(spark, d)
-    return negatives.chunk_edges(edges, BATCH, CHUNKS), n
+    return materialise(negatives.chunk_edges(edges, BATCH, CHUNKS)), n
 
 
 # ---- ids --------------------------------------------------------------------------------------------------------------
@@ -381,7 +383,7 @@ al AS (SELECT edge_id, src, rel, dst, vec_id, list_inner_product(q, e) >= s - 1e
 SELECT edge_id, count_if(hit AND vec_id <> dst) + 1 AS rank_raw, count_if(hit AND NOT EXISTS (SELECT 1 FROM kg k WHERE k.src = al.src AND k.rel = al.rel AND k.dst = al.vec_id)) + 1 AS rank FROM al GROUP BY edge_id""")
 def rank_filtered_all_nodes(spark, d):
     """The last 5 % in shuffled order are the test set; every node but the edge's own dst is a candidate."""
-    e, _ = kg(spark, d)
+    e = materialise(kg(spark, d)[0])
     emb, _ = nodes(spark, d)
     total = e.count()
     test = partition.shuffled_rank(e, 1).filter(F.col("place") >= int(total * 0.95)).select("edge_id", "src", "rel", "dst")
@@ -420,17 +422,17 @@ def _seeds(spark, d):
 
 @query(_khop_sql(lambda seed: "SELECT node_id, nbr FROM nb"))
 def khop_all(spark, d):
-    return graph.khop(_seeds(spark, d), kg(spark, d)[0], 2, by=("batch_id",))
+    return graph.khop(_seeds(spark, d), materialise(kg(spark, d)[0]), 2, by=("batch_id",))
 
 
 @query(_khop_sql(lambda seed: f"SELECT node_id, nbr FROM nb QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY {h_sql(seed, 'edge_id', 'node_id')}, edge_id, nbr) <= 5"))
 def khop_uniform(spark, d):
-    return graph.khop(_seeds(spark, d), kg(spark, d)[0], 2, "uniform", limit=5, by=("batch_id",))
+    return graph.khop(_seeds(spark, d), materialise(kg(spark, d)[0]), 2, "uniform", limit=5, by=("batch_id",))
 
 
 @query(_khop_sql(lambda seed: f"SELECT node_id, nbr FROM nb WHERE {h_sql(seed, 'edge_id', 'node_id')} >= {int(0.9 * M)}"))
 def khop_dropout(spark, d):
-    return graph.khop(_seeds(spark, d), kg(spark, d)[0], 2, "dropout", rate=0.9, by=("batch_id",))
+    return graph.khop(_seeds(spark, d), materialise(kg(spark, d)[0]), 2, "dropout", rate=0.9, by=("batch_id",))
 
 
 def _x(spark, d):
