@@ -23,8 +23,8 @@ DIMS = 1 << 20
 #: Labelled rows that the fit reads, in expectation (a hash of the id selects them).
 MAX_ROWS = 16_000
 THRESHOLD = 0.7
-#: (alpha, l1) among which a fit chooses by the log-loss on the rows kept aside, the first of equal ones: powers of two around
-#: 1 that were fixed before any score was looked at.
+#: (alpha, l1) among which a fit chooses by the log-loss on the rows kept aside, the first of equal ones: a plain grid around the
+#: values of an earlier version, fixed before its own scores were looked at.
 SETTINGS = ((0.5, 2.0), (2.0, 2.0), (0.5, 8.0), (2.0, 8.0))
 #: One text in so many of the sample is kept aside (a hash of the text decides, so copies stay together).
 ASIDE = 5
