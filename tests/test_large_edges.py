@@ -191,3 +191,7 @@ def test_edge_scores_in_blocks(spark, monkeypatch, decoder):
         got = run(*t)
         assert_no_vectors_move(got)
         same_rows(w, got.collect())
+
+
+def test_score_relation_corruption_in_blocks(spark, monkeypatch):
+    assert_in_blocks(spark, monkeypatch, "score_relation_corruption", 1 << 16)
