@@ -195,3 +195,7 @@ def test_edge_scores_in_blocks(spark, monkeypatch, decoder):
 
 def test_score_relation_corruption_in_blocks(spark, monkeypatch):
     assert_in_blocks(spark, monkeypatch, "score_relation_corruption", 1 << 16)
+
+
+def test_score_tucker3_in_blocks(spark, monkeypatch):
+    assert_in_blocks(spark, monkeypatch, "score_tucker3", 1 << 12)
