@@ -199,3 +199,7 @@ def test_score_relation_corruption_in_blocks(spark, monkeypatch):
 
 def test_score_tucker3_in_blocks(spark, monkeypatch):
     assert_in_blocks(spark, monkeypatch, "score_tucker3", 1 << 12)
+
+
+def test_score_tucker4_in_blocks(spark, monkeypatch):
+    assert_in_blocks(spark, monkeypatch, "score_tucker4", 1 << 12)
